@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this library where only the driver's sys.path names it."""
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one Parquet table of a data directory."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
