@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.llm import bpe, contamination
+from sorrel.llm import bpe, contamination, quality
 from sorrel.llm.oracles import ORACLES  # noqa: F401
 from sorrel.plans.runtime import cut, table
 
@@ -29,4 +29,12 @@ def p9_clean(spark, d):
     return contamination.without_leaks(docs, contamination.leaks(docs, table(spark, d, "eval_items"))).select("doc_id", "lang", "source", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_report, p9_clean)}
+def p10_stats(spark, d):
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_found(spark, d):
+    return p10_stats(spark, d).where("form in ('list', 'table', 'junk')").select("doc_id", "form")
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
