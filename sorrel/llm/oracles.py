@@ -1,3 +1,5 @@
 """SQL of the llm queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT chunk_key FROM doc_chunks WHERE length(text) > 1600",
+}

@@ -4,11 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.llm import bpe, contamination, quality
+from sorrel.llm import bpe, contamination, markup, quality, splitting
 from sorrel.llm.oracles import ORACLES  # noqa: F401
 from sorrel.plans.runtime import cut, table
 
 
+def p4_pieces(spark, d):
+    """All pieces of each chunk's distinct rows."""
+    chunks = table(spark, d, "doc_chunks").select("chunk_key", "chunk_index", "heading_path", "start_line", "end_line", "text").distinct()
+    return splitting.split_oversized(chunks)
+
+
+def p4_found(spark, d):
+    return p4_pieces_of_long(spark, d).select("chunk_key").distinct()
+
+
+def p4_pieces_of_long(spark, d):
+    """Pieces of the chunks that had to be cut."""
+    long = table(spark, d, "doc_chunks").where(F.length("text") > splitting.LIMIT)
+    return splitting.split_oversized(long.select("chunk_key", "chunk_index", "heading_path", "start_line", "end_line", "text").distinct()).where("pieces > 1")
+
+
+def p7_found(spark, d):
+    return markup.markup_kinds(table(spark, d, "doc_chunks"))
+
+
+def p7_clean(spark, d):
+    return markup.clean_chunks(table(spark, d, "doc_chunks"))
+
+
 def p8_ids(spark, d):
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -37,4 +61,4 @@ def p10_found(spark, d):
     return p10_stats(spark, d).where("form in ('list', 'table', 'junk')").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
+QUERIES = {f.__name__: f for f in (p4_pieces, p4_pieces_of_long, p4_found, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
