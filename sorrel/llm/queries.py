@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.llm import bpe, contamination, markup, quality, splitting
+from sorrel.llm import bpe, contamination, documentation, markup, quality, splitting
 from sorrel.llm.oracles import ORACLES  # noqa: F401
 from sorrel.plans.runtime import cut, table
 
@@ -25,6 +25,14 @@ def p4_pieces_of_long(spark, d):
     return splitting.split_oversized(long.select("chunk_key", "chunk_index", "heading_path", "start_line", "end_line", "text").distinct()).where("pieces > 1")
 
 
+def p5_found(spark, d):
+    return documentation.documented(table(spark, d, "symbols"), table(spark, d, "files"), table(spark, d, "symbol_docs"))
+
+
+def p5_pairs(spark, d):
+    return documentation.pairs(table(spark, d, "symbols"), table(spark, d, "files"), table(spark, d, "symbol_docs"))
+
+
 def p7_found(spark, d):
     return markup.markup_kinds(table(spark, d, "doc_chunks"))
 
@@ -61,4 +69,4 @@ def p10_found(spark, d):
     return p10_stats(spark, d).where("form in ('list', 'table', 'junk')").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p4_pieces, p4_pieces_of_long, p4_found, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
+QUERIES = {f.__name__: f for f in (p4_pieces, p4_pieces_of_long, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
