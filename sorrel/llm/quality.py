@@ -47,6 +47,10 @@ MOJIBAKE = re.compile(r"[ÃÂâåçéäèæïðãê][\x80-\xbfŒ-Ÿˆ˜–-›
 WORD = re.compile(r"[^\W\d_]+")
 CJK = re.compile(r"[一-鿿]")
 ODD = re.compile(r"[←-⯿\U0001f000-\U0001faff�\x00-\x08\x0e-\x1f\x7f-\x9f-]")
+MARKS = re.compile(r"[|\t<&\\/+=_]|  |[,;]\S|^.[.)]|^\(")
+NO_DIGITS = str.maketrans("", "", "0123456789")
+NO_PUNCT = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
+LATIN1 = re.compile(r"[\x80-\xff]")
 PUNCT = re.compile(r"[^\w\s]")
 DIGIT = re.compile(r"\d")
 RUN = re.compile(r"([^\w\s])\1{3,}")
@@ -67,6 +71,8 @@ def line_forms(text: str) -> tuple[float, float, float, float, int]:
             kinds.append("code")
         elif fenced:
             kinds.append("code")
+        elif n > 60 and s[-1] in ".!?" and s[0].isupper() and not MARKS.search(x):
+            kinds.append("prose")
         elif HEX.match(s) and not re.search(r"[g-zG-Z]{3}", s[:40]):
             kinds.append("hex")
         elif BLOB.search(s) and sum(map(len, BLOB.findall(s))) > 0.7 * n and "_" not in s and "." not in s and re.search(r"[a-z]", s) and re.search(r"[A-Z0-9]", s):
@@ -149,27 +155,29 @@ class Stats:
         words = WORD.findall(text.lower())
         n_chars = len(text)
         solid = len(text) - text.count(" ") - text.count("\n") or 1
-        cjk = len(CJK.findall(text))
+        plain = text.isascii()
+        cjk = 0 if plain else len(CJK.findall(text))
         n_words = len(words)
         counts = Counter(words)
         best, share = "und", 0.0
         for lang, known in self.common.items():
-            c = sum(n for w, n in counts.items() if w in known) / (n_words or 1)
+            c = sum(map(counts.__getitem__, known & counts.keys())) / (n_words or 1)
             if c > share:
                 best, share = lang, c
         if cjk > 0.2 * solid and self.zh is not None:
             best, share = self.zh_name, min(1.0, 2.5 * sum(map(len, self.zh.findall(text))) / cjk)
         lists, tables, coded, repeated, ended = line_forms(text)
-        tokens = text.split()
-        symbols = len(PUNCT.findall(text)) / solid
-        digits = len(DIGIT.findall(text)) / solid
+        tokens = text.lower().split()
+        symbols = (n_chars - len(text.translate(NO_PUNCT)) if plain else len(PUNCT.findall(text))) / solid
+        digits = (n_chars - len(text.translate(NO_DIGITS)) if plain else len(DIGIT.findall(text))) / solid
         odd = len(ODD.findall(text)) / solid
-        moji = len(MOJIBAKE.findall(text))
-        latin1 = sum("\x80" <= c <= "\xff" for c in text) / solid
-        runs = sum(len(m.group(0)) for m in RUN.finditer(text)) / solid
-        single = sum(len(t) == 1 and not CJK.match(t) for t in tokens) / (len(tokens) or 1)
-        again = repetition([t.lower() for t in tokens]) if cjk <= 0.2 * solid else repetition(re.split(r"[,。,；;!?\s]+", text))
-        bare = [w for w in counts if len(w) > 3]
+        moji = 0 if plain else len(MOJIBAKE.findall(text))
+        latin1 = 0.0 if plain else len(LATIN1.findall(text)) / solid
+        runs = sum(len(m.group(0)) for m in RUN.finditer(text)) / solid if symbols > 0.1 else 0.0
+        # the mean token of spaced letters is one character long
+        single = sum(len(t) == 1 and not CJK.match(t) for t in tokens) / len(tokens) if tokens and solid < 2 * len(tokens) else 0.0
+        again = repetition(tokens) if cjk <= 0.2 * solid else repetition(re.split(r"[,。,；;!?\s]+", text))
+        bare = [w for w in counts if len(w) > 3] if share < 0.12 else []
         # letters that form no words: few vowels, or runs of consonants
         odd_words = sum(1 for w in bare if w.isascii() and (not VOWEL.search(w) or re.search(r"[bcdfghjklmnpqrstvwxz]{5,}|(.)\1\1", w) or len(VOWEL.findall(w)) < 0.2 * len(w))) / (len(bare) or 1)
         junk = max(
