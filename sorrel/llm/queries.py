@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.llm import bpe, contamination, documentation, markup, quality, splitting
+from sorrel.llm import bpe, contamination, documentation, foreign, markup, quality, splitting
 from sorrel.llm.oracles import ORACLES  # noqa: F401
 from sorrel.plans.runtime import cut, table
 
 
+def p3_found(spark, d):
+    return foreign.foreign_files(table(spark, d, "files")).select("file_key")
+
+
+def p3_reasons(spark, d):
+    return foreign.foreign_files(table(spark, d, "files"))
+
+
+def p3_handwritten(spark, d):
+    """Keys of the files that remain."""
+    files = table(spark, d, "files")
+    return files.select("file_key", "repo_name").distinct().join(foreign.foreign_files(files), "file_key", "left_anti")
+
+
 def p4_pieces(spark, d):
     """All pieces of each chunk's distinct rows."""
     chunks = table(spark, d, "doc_chunks").select("chunk_key", "chunk_index", "heading_path", "start_line", "end_line", "text").distinct()
@@ -69,4 +83,4 @@ def p10_found(spark, d):
     return p10_stats(spark, d).where("form in ('list', 'table', 'junk')").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p4_pieces, p4_pieces_of_long, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p3_handwritten, p4_pieces, p4_pieces_of_long, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
