@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.llm import bpe, contamination, documentation, foreign, markup, quality, splitting
+from sorrel.llm import bpe, contamination, documentation, foreign, markup, parsing, quality, splitting
 from sorrel.llm.oracles import ORACLES  # noqa: F401
 from sorrel.plans.runtime import cut, table
 
 
+def p2_found(spark, d):
+    return parsing.unparsable(table(spark, d, "files")).select("file_key")
+
+
+def p2_rates(spark, d):
+    files = table(spark, d, "files")
+    return parsing.rates(files, parsing.unparsable(files))
+
+
 def p3_found(spark, d):
     return foreign.foreign_files(table(spark, d, "files")).select("file_key")
 
@@ -83,4 +92,4 @@ def p10_found(spark, d):
     return p10_stats(spark, d).where("form in ('list', 'table', 'junk')").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p3_handwritten, p4_pieces, p4_pieces_of_long, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_reasons, p3_handwritten, p4_pieces, p4_pieces_of_long, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
