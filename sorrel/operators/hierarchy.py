@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from sorrel.plans.runtime import cut, is_empty
 
 FAN = 2
-STEPS = 4
+STEPS = 2
+SOLVE_LINKS = 200_000
 
 
 def clean_links(df: DataFrame, grp, child: str, parent: str) -> DataFrame:
@@ -109,28 +110,76 @@ def _closed(links: DataFrame) -> DataFrame:
     return links.join(back, ["grp", "child", "parent"], "left_semi")
 
 
-def cycle_links(links: DataFrame, max_levels: int = 40) -> DataFrame:
-    """The links that lie on a cycle: grp, child, parent."""
-    levels, found = [], []
-    cur, n = cut(links), None
-    base = None
+def _on_cycles(pdf):
+    """The links of one group that lie on a cycle: both ends in one strongly connected component (Tarjan, iterative)."""
+    out: dict[str, list[str]] = {}
+    for c, p in zip(pdf["child"], pdf["parent"]):
+        out.setdefault(c, []).append(p)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    comp: dict[str, int] = {}
+    open_: list[str] = []
+    for root in out:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        open_.append(root)
+        work = [(root, iter(out[root]))]
+        while work:
+            node, todo = work[-1]
+            for p in todo:
+                if p not in index:
+                    index[p] = low[p] = len(index)
+                    open_.append(p)
+                    work.append((p, iter(out.get(p, ()))))
+                    break
+                if p not in comp:
+                    low[node] = min(low[node], index[p])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    while True:
+                        x = open_.pop()
+                        comp[x] = index[node]
+                        if x == node:
+                            break
+    return pdf[[c == p or comp[c] == comp[p] for c, p in zip(pdf["child"], pdf["parent"])]]
+
+
+def _solved(links: DataFrame) -> DataFrame:
+    """Cycle links of a reduced graph of at most SOLVE_LINKS links in all (checked by the caller), a group at a time."""
+    return links.groupBy("grp").applyInPandas(_on_cycles, links.select("grp", "child", "parent").schema)
+
+
+def cycle_links(links: DataFrame, solve_links: int = SOLVE_LINKS, max_levels: int = 40) -> DataFrame:
+    """The links that lie on a cycle: grp, child, parent.
+
+    The reduced graph is solved in one step when it has at most ``solve_links`` links; else it is trimmed and contracted again.
+    """
+    levels = []
+    cur, on, n = cut(links), None, None
     for level in range(max_levels):
         if level:
-            loops = cur.where("child = parent")
-            cur = cut(_trim(cur.where("child <> parent")))
-            levels[-1]["self"] = loops
-        m = cur.count()
-        if m == 0:
-            break
-        if n is not None and m > 0.9 * n:
-            base = _closed(cur)
-            break
-        n = m
+            m = cur.count()
+            if m > solve_links:
+                loops = cur.where("child = parent")
+                cur = _trim(cur.where("child <> parent"))
+                levels[-1]["self"] = loops
+                m = cur.count()
+            if m == 0:
+                break
+            if m <= solve_links:
+                on = _solved(cur)
+                break
+            if n is not None and m > 0.9 * n:
+                on = _closed(cur)
+                break
+            n = m
         segs = cut(walk(cur, level))
         levels.append({"segs": segs, "self": None})
-        starts = _from_splitters(segs, cur, level)
-        cur = cut(starts.select("grp", F.col("start").alias("child"), F.col("end").alias("parent")).distinct())
-    on = base
+        cur = cut(_from_splitters(segs, cur, level).select("grp", F.col("start").alias("child"), F.col("end").alias("parent")).distinct())
     for level in reversed(levels):
         if level["self"] is not None:
             on = level["self"] if on is None else on.unionAll(level["self"])
@@ -143,17 +192,17 @@ def cycle_links(links: DataFrame, max_levels: int = 40) -> DataFrame:
     return on if on is not None else links.limit(0)
 
 
+def cycle_nodes(links: DataFrame, solve_links: int = SOLVE_LINKS) -> DataFrame:
+    """Each node that reaches itself over one or more links: grp, node."""
+    return cycle_links(links, solve_links).select("grp", F.col("child").alias("node")).distinct()
+
+
 def _from_splitters(segs: DataFrame, links: DataFrame, salt: int) -> DataFrame:
     wide = links.groupBy("grp", "child").agg(F.count("*").alias("n")).where(F.col("n") > FAN).select("grp", F.col("child").alias("start"))
     split = segs.where("kind = 'split'")
     return split.where(_hashed("start", salt)).unionAll(split.where(~_hashed("start", salt)).join(wide, ["grp", "start"], "left_semi"))
 
 
-def cycle_nodes(links: DataFrame) -> DataFrame:
-    """Each node that reaches itself over one or more links: grp, node."""
-    return cycle_links(links).select("grp", F.col("child").alias("node")).distinct()
-
-
 def paths(links: DataFrame) -> DataFrame:
     """grp, node, path (array, root first), depth, root, root_on_cycle, on_cycle: one row for each chain of each node."""
     links = cut(links)
