@@ -1,11 +1,11 @@
 """All queries of the core library and their SQL."""
 
-from sorrel.plans import data_queries
+from sorrel.plans import data_queries, reference_queries
 
 
 def queries() -> dict:
-    return dict(data_queries.QUERIES)
+    return data_queries.QUERIES | reference_queries.QUERIES
 
 
 def oracles() -> dict:
-    return dict(data_queries.ORACLES)
+    return data_queries.ORACLES | reference_queries.ORACLES
