@@ -79,7 +79,7 @@ def line_forms(text: str) -> tuple[float, float, float, float, int]:
             kinds.append("hex")
         elif HTML_ROW.search(s) or WIKI_ROW.match(s) or TEX_ROW.match(s):
             kinds.append("table")
-        elif s.count("|") >= 2 and (s[0] in "|+" or s.count("|") >= 3):
+        elif s.count("|") >= 2:
             kinds.append("table")
         elif "\t" in s and not (s[-1] in ".!?。" and s.count(" ") > 8):
             kinds.append("table")
@@ -175,7 +175,7 @@ class Stats:
         latin1 = 0.0 if plain else len(LATIN1.findall(text)) / solid
         runs = sum(len(m.group(0)) for m in RUN.finditer(text)) / solid if symbols > 0.1 else 0.0
         # the mean token of spaced letters is one character long
-        single = sum(len(t) == 1 and not CJK.match(t) for t in tokens) / len(tokens) if tokens and solid < 2 * len(tokens) else 0.0
+        single = sum(len(t) == 1 and t.isalpha() and not CJK.match(t) for t in tokens) / len(tokens) if tokens and solid < 2 * len(tokens) and tables < 0.5 else 0.0
         again = repetition(tokens) if cjk <= 0.2 * solid else repetition(re.split(r"[,。,；;!?\s]+", text))
         bare = [w for w in counts if len(w) > 3] if share < 0.12 else []
         # letters that form no words: few vowels, or runs of consonants
