@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.plans.runtime import cut, is_empty
+from sorrel.plans.runtime import cut
 from sorrel.sources import extract as X
 
 EXACT = ("exact_local", "exact_import", "self_direct", "cls_direct", "inherited_method", "super_method")
@@ -106,11 +106,14 @@ def linearizations(types: DataFrame, bases: DataFrame) -> DataFrame:
         "snap", "qname", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), (F.coalesce("incomplete", F.lit(False)) | (F.col("n") > 1)).alias("broken")))
     up = info.select("snap", "qname", F.explode("parents").alias("parent")).distinct()
     near = cut(info.select("snap", "qname", F.col("qname").alias("above")).unionAll(up.select("snap", "qname", F.col("parent").alias("above"))).distinct())
-    front = near.where("qname <> above")
-    while not is_empty(front):
-        further = front.join(up.select("snap", F.col("qname").alias("above"), "parent"), ["snap", "above"]).select("snap", "qname", F.col("parent").alias("above")).distinct()
-        front = cut(further.join(near, ["snap", "qname", "above"], "left_anti"))
-        near = cut(near.unionAll(front))
+    known = near.count()
+    while True:  # doubling: the number of rounds is the logarithm of the depth
+        again = near.select("snap", "qname", F.col("above").alias("mid")).join(near.select("snap", F.col("qname").alias("mid"), "above"), ["snap", "mid"])
+        near = cut(again.select("snap", "qname", "above").distinct())
+        now = near.count()
+        if now == known:
+            break
+        known = now
     rows = near.join(info.select("snap", F.col("qname").alias("above"), "parents", "broken"), ["snap", "above"]).groupBy("snap", "qname").agg(F.collect_list(F.struct("above", "parents", "broken")).alias("rows"))
 
     def run(batches: Iterator) -> Iterator:
@@ -137,6 +140,7 @@ def _lexical(owner: str = "owner_qname", module: str = "module_qname", name: str
 
 def resolve(facts: DataFrame) -> DataFrame:
     """One row per call site with status, owner_key, target_key, candidate_keys, construction_target_key, initializer columns and site_key."""
+    facts = cut(facts)  # parsed once, read five times
     symbols, inits = cut(X.symbol_rows(facts)), X.init_rows(facts)
     types = symbols.where("kind = 'type'")
     bound = cut(bindings(X.import_rows(facts)))
