@@ -7,7 +7,6 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -51,12 +50,23 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
-def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
-    """Raise the partition count of a narrow scan to the cluster's width before a Python stage; never lowers it."""
-    want = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+SPREAD_BYTES = 128 << 20
 
 
-def null_safe_key(*cols: str):
-    """One string per combination of columns that keeps nulls apart from empty strings."""
-    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
+def width(spark: SparkSession) -> int:
+    """Tasks of a CPU-heavy Python stage: two a core, or the session's shuffle partitions if those are more."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "0")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input of few files over all cores before a CPU-heavy Python stage.
+
+    An input of as many files as cores, or of more than SPREAD_BYTES a core, is split well enough by its scan and is not shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if not 0 < files < cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size > cores * SPREAD_BYTES else df.repartition(2 * cores)

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sorrel.plans.runtime import spread
+
 SYMBOL = "struct<kind:string,name:string,qname:string,signature:string,start_line:int,end_line:int,cyclomatic:int,parent_qname:string,docstring:string>"
 CALL = "struct<owner_qname:string,raw_callee:string,callee_name:string,callee_qname_hint:string,receiver_kind:string,start_line:int,start_column:int,end_line:int,end_column:int,ordinal:int>"
 FILE_SCHEMA = (
@@ -192,7 +194,7 @@ def extract(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     source = files.where(F.lower("path").endswith(".py") & F.col("content").isNotNull()).select("repo_name", "commit_sha", "path", "content")
-    return source.mapInPandas(run, FILE_SCHEMA)
+    return spread(source).mapInPandas(run, FILE_SCHEMA)
 
 
 def snapshot():
