@@ -18,6 +18,8 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sorrel.plans.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 200_000
@@ -156,7 +158,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     start, size = k + 1, 0
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 _KEPT: list = [None, None]

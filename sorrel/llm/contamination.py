@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from sorrel.plans.runtime import spread
+
 SHARE = 0.4
 GRAM = 3
 MAX_ITEMS = 100_000
@@ -165,7 +167,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.int32()))], names=["doc_id", "item_id", "share", "spans"])
 
-    return documents.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, item_id long, share double, spans array<int>")
+    return spread(documents.select("doc_id", "text").where("text is not null")).mapInArrow(run, "doc_id long, item_id long, share double, spans array<int>")
 
 
 def without_leaks(documents: DataFrame, leaked: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sorrel.plans.runtime import spread
+
 KINDS = ("function", "method")
 
 # fixed values: words that carry no description by themselves
@@ -265,7 +267,7 @@ def documented_declarations(files: DataFrame, with_code: bool = False) -> DataFr
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array(sigs, pa.string()), pa.array(founds, kind)], names=["file_key", "sig", "found"])
 
     source = files.where("content is not null and path is not null").select("file_key", "path", "content")
-    return source.where(F.col("path").rlike(r"\.(py|pyi|js|mjs|cjs|jsx|ts)$")).mapInArrow(run, schema)
+    return spread(source.where(F.col("path").rlike(r"\.(py|pyi|js|mjs|cjs|jsx|ts)$"))).mapInArrow(run, schema)
 
 
 def signature_key(signature="signature"):

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sorrel.plans.runtime import spread
+
 # fixed values: HTML element names
 ELEMENTS = set(
     "a abbr address article aside audio b bdi bdo big blockquote body br button canvas caption center cite code col colgroup dd del details dfn div dl dt em "
@@ -409,7 +411,7 @@ def markup_kinds(chunks: DataFrame) -> DataFrame:
             rows = [(k, m) for k, t, p in zip(keys, texts, paths) for m in sorted(all_kinds(t, p))]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["chunk_key", "markup"])
 
-    return chunks.select("chunk_key", "text", "heading_path").mapInArrow(run, "chunk_key string, markup string").distinct()
+    return spread(chunks.select("chunk_key", "text", "heading_path")).mapInArrow(run, "chunk_key string, markup string").distinct()
 
 
 def clean_chunks(chunks: DataFrame) -> DataFrame:

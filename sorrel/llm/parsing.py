@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sorrel.llm import grammar as G
 from sorrel.llm import js_grammar as js
-from sorrel.plans.runtime import cut
+from sorrel.plans.runtime import cut, spread, width
 
 EXTENSIONS = {"py": "python", "js": "javascript", "json": "json", "toml": "toml"}
 OPENERS, CLOSERS = {"(": 1, "[": 2, "{": 3, "TPLH": 3}, {")": 1, "]": 2, "}": 3, "TPLT": 3}
@@ -393,7 +393,7 @@ def lexed(files: DataFrame) -> DataFrame:
                     rows, seen = [], 0
             yield _rows(pa, rows, kind)
 
-    return files.where("content is not null and path is not null").select("file_key", "path", "content").mapInArrow(run, schema)
+    return spread(files.where("content is not null and path is not null").select("file_key", "path", "content")).mapInArrow(run, schema)
 
 
 def _rows(pa, rows: list[tuple], kind):
@@ -442,7 +442,9 @@ def bad_productions(units: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     shaped = units.where("lang <> 'json'").select("file_key", "lang", "tokens")
-    wrong = shaped.select("lang", "tokens").distinct().mapInArrow(run, "lang string, tokens array<short>")
+    # a fixed number of partitions: the shapes are few bytes and much work, which size-based coalescing would put into one task
+    shapes = shaped.select("lang", "tokens").repartition(width(units.sparkSession), "lang", "tokens").distinct()
+    wrong = shapes.mapInArrow(run, "lang string, tokens array<short>")
     return shaped.join(wrong, ["lang", "tokens"], "left_semi").select("file_key").distinct()
 
 

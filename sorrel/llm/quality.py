@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sorrel.plans.runtime import cut
+from sorrel.plans.runtime import cut, spread
 
 STATS = ("list_share", "table_share", "junk_share", "symbol_ratio", "digit_ratio", "repeat_share", "rare_words", "open_lines")
 ENOUGH = 0.5
@@ -220,7 +220,7 @@ def document_stats(documents: DataFrame, common_words: DataFrame) -> DataFrame:
             found = [stats.of(t.as_py()) or {} for t in batch.column(1)]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array([f.get(n) for f in found], kinds.get(n, pa.float64())) for n in names[1:])], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, SCHEMA)
 
 
 def tail_probabilities(values: DataFrame, parts: int) -> DataFrame:
