@@ -186,7 +186,7 @@ class Stats:
             0.9 if digits > 0.6 and tables < 0.3 and lists < 0.5 else 0.0,
             min(1.0, 2.5 * odd_words) if n_words > 5 and odd_words > 0.12 and share < 0.12 else 0.0,
             min(1.0, 1.1 * again) if again > 0.7 and (n_words > 20 or cjk > 20) else 0.0,
-            repeated if repeated > 0.5 and len(tokens) > 8 else 0.0,
+            1.0 if repeated > 0.6 and len(tokens) > 8 else 0.0,
             0.8 if share < 0.08 and lists < 0.45 and tables < 0.45 and n_words >= 8 and cjk <= 0.2 * solid and (share == 0 or n_words >= 30 or ended < 0.5) else 0.0,
             0.8 if best == self.zh_name and cjk > 20 and share < 0.1 and lists < 0.45 and tables < 0.45 else 0.0,
             0.7 if n_words < 3 and cjk < 3 and solid > 12 else 0.0,
