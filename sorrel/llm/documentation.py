@@ -29,7 +29,7 @@ EMPTY_WORDS = set(
     "class object helper helpers util utility utilities here there goes docstring docstrings documentation doc docs description describe describes comment comments "
     "return returns returned result results value values param params parameter parameters arg args argument arguments none null void todo fixme xxx tbd tba wip hack note "
     "see above below also other elsewhere same placeholder missing added add later write me please fill na n stub generated auto autogenerated implementation implements call calls "
-    "main code private public internal section block module self cls int str string bool boolean list dict float any type types number array".split()
+    "async main code private public internal section block module self cls int str string bool boolean list dict float any type types number array".split()
 )
 DIRECTIVE = re.compile(
     r"^\W*(?:noqa\b|type:\s*ignore|pylint\b|flake8\b|fmt:|yapf\b|isort\b|mypy\b|ruff\b|pragma\b|nosec\b|pyright\b|coverage:|eslint\b|eslint-|prettier-|jshint\b|jslint\b|tslint|istanbul\b|c8\b|@ts-|ts-ignore|"
@@ -298,7 +298,8 @@ def _callables(symbols: DataFrame) -> DataFrame:
 def _own_texts(symbols: DataFrame, symbol_docs: DataFrame) -> DataFrame:
     """Judged docstrings, and judged Markdown descriptions after the four heading lines of a symbol document."""
     doc = _callables(symbols).where("length(trim(docstring)) > 3").select("symbol_key", "signature", F.col("docstring").alias("doc"), F.lit("docstring").alias("source"))
-    tail = F.expr("substring(text, length(substring_index(text, '\\n', 4)) + 2)")
+    head = "substring_index(text, '\\n', 4)"
+    tail = F.expr(f"CASE WHEN endswith({head}, signature) THEN substring(text, length({head}) + 2) ELSE text END")
     md = symbol_docs.where("text is not null").select("symbol_key", "signature", tail.alias("doc"), F.lit("markdown").alias("source")).where("length(trim(doc)) > 3")
     return judged(doc.unionAll(md))
 
