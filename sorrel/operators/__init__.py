@@ -1,0 +1 @@
+"""Relational operators over graph and reference tables."""

@@ -1,0 +1 @@
+"""Session helpers, the graph queries, registered queries, command line."""

@@ -1,0 +1 @@
+"""Reading sources and notes, publishing tables, exporting."""

@@ -1,0 +1 @@
+"""No streaming operator: the graph has no event-time semantics to match. Batches replace a repository through ``sorrel.sources.store``."""
