@@ -61,3 +61,12 @@ def lexical_metrics(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     return h.agg(
         ratio(F.sum((F.coalesce("rank", F.lit(0)) == 1).cast("int")), n).alias("top1"), ratio(F.sum((F.col("rank") <= 5).cast("int")), n).alias("recall5"),
         ratio(F.sum(F.coalesce(1 / F.col("rank"), F.lit(0.0))), n).alias("mrr"), ratio(F.sum(F.col("some").isNull().cast("int")), n).alias("zero_results"))
+
+
+def structural_metrics(g) -> DataFrame:
+    """metric, n: symbols by kind, call sites, resolved sites, calls, inheritance edges, and sites by status."""
+    out = g.symbols.groupBy(F.concat(F.lit("symbols_"), "kind").alias("metric")).agg(F.count("*").alias("n"))
+    one = lambda df, name: df.agg(F.lit(name).alias("metric"), F.count("*").alias("n"))
+    for part in (one(g.sites, "call_sites"), one(g.sites.where("target_key is not null"), "resolves_to"), one(g.edges, "exact_calls"), one(g.inherits, "inherits")):
+        out = out.unionAll(part)
+    return out.unionAll(g.sites.groupBy(F.concat(F.lit("status_"), F.coalesce("resolution", F.lit("none"))).alias("metric")).agg(F.count("*").alias("n")))

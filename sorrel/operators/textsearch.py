@@ -80,3 +80,18 @@ def consistency(expected: DataFrame, live: DataFrame, indexed: DataFrame, replac
         tag(e.join(l, "key", "left_anti"), "document_without_symbol").unionAll(tag(l.join(e, "key", "left_anti"), "symbol_without_document"))
         .unionAll(tag(e.join(i, "key", "left_anti"), "document_not_indexed")).unionAll(tag(r.join(e, "key", "left_anti").join(i, "key", "left_semi"), "replaced_still_indexed"))
     )
+
+
+def fetch_documents(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents of the given keys (column ``key``), joined by document id."""
+    from sorrel.functions.scalars import doc_id
+
+    wanted = keys.select(doc_id("key").alias("doc_id")).distinct()
+    return docs.withColumn("doc_id", doc_id("key")).join(wanted, "doc_id", "left_semi")
+
+
+def without_documents(docs: DataFrame, keys: DataFrame | None = None, repo: str | None = None) -> DataFrame:
+    """The documents that remain when keys, or all of a repository, are deleted."""
+    if keys is not None:
+        docs = docs.join(keys.select("key"), "key", "left_anti")
+    return docs if repo is None else docs.where(~F.col("repo_name").eqNullSafe(repo))

@@ -181,6 +181,21 @@ def truth_diff(spark, d):
     return E.call_site_difference(pick(F.min_by, "truth").drop("site_key"), pick(F.max_by, "now").drop("site_key"), cols).groupBy("difference").agg(F.count("*").alias("n"))
 
 
+def structural_metrics(spark, d):
+    return E.structural_metrics(G.from_tables(spark, d))
+
+
+def fetched_documents(spark, d):
+    """Documents of every symbol that was ever deleted, by document id."""
+    gone = table(spark, d, "symbols").where("deleted_at is not null").select(F.col("symbol_key").alias("key"))
+    return S.fetch_documents(G.from_tables(spark, d).docs, gone).select("key", "doc_id", "repo_name")
+
+
+def remaining_documents(spark, d):
+    gone = table(spark, d, "symbols").where("deleted_at is not null").select(F.col("symbol_key").alias("key"))
+    return S.without_documents(G.from_tables(spark, d).docs, gone).groupBy("repo_name").agg(F.count("*").alias("n"))
+
+
 def dup_keys(spark, d):
     return E.duplicate_keys(table(spark, d, "symbols"), "symbol_key")
 
@@ -241,7 +256,7 @@ def chunk_notes(spark, d):
 _NAMES = (
     list_repositories, current_symbols, definition_unique, qname_ambiguity, callers_d1, callees_d1, callees_d3, callers_d3, call_path, hierarchy_up, hierarchy_down, importers, dead_code,
     complexity_topn, complexity_per_repository, search_graph, search_lexical_bm25, lexical_items, index_terms, normalize_name, symbol_texts, snippets, doc_ids, csv_values, mention_symbols,
-    status_histogram, has_method, inherits, projection_completeness, key_consistency, edge_set_diff, truth_diff, dup_keys, dangling_edges, export_counts, consistency_counts,
+    status_histogram, has_method, inherits, projection_completeness, key_consistency, edge_set_diff, truth_diff, structural_metrics, fetched_documents, remaining_documents, dup_keys, dangling_edges, export_counts, consistency_counts,
     extract_symbols, extract_calls, extract_diagnostics, resolve_calls, resolved_histogram, chunk_notes,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -332,6 +347,11 @@ ORACLES = {
   j AS (SELECT CASE WHEN b.raw_callee IS NULL THEN 'missing' WHEN a.raw_callee IS NULL THEN 'extra' WHEN a.status IS DISTINCT FROM b.status THEN 'mismatch' END AS difference FROM a FULL JOIN b
     ON a.repo_name = b.repo_name AND a.owner_qname = b.owner_qname AND a.start_line = b.start_line AND a.start_column = b.start_column AND a.ordinal = b.ordinal AND a.raw_callee = b.raw_callee)
   SELECT difference, count(*) AS n FROM j WHERE difference IS NOT NULL GROUP BY 1""",
+    "structural_metrics": f"""WITH {_EDGES}, {_INH[len(_SYM) + 2 :]} SELECT 'symbols_' || kind AS metric, count(*) AS n FROM sym GROUP BY 1 UNION ALL SELECT 'call_sites', count(*) FROM sites
+  UNION ALL SELECT 'resolves_to', count(*) FROM sites WHERE target_key IS NOT NULL UNION ALL SELECT 'exact_calls', count(*) FROM edges UNION ALL SELECT 'inherits', count(*) FROM inherits
+  UNION ALL SELECT 'status_' || coalesce(status, 'none'), count(*) FROM sites GROUP BY 1""",
+    "fetched_documents": "SELECT symbol_key AS key, sha256(symbol_key) AS doc_id, repo_name FROM symbol_docs WHERE symbol_key IN (SELECT symbol_key FROM symbols WHERE deleted_at IS NOT NULL)",
+    "remaining_documents": "SELECT repo_name, count(*) AS n FROM symbol_docs WHERE symbol_key NOT IN (SELECT symbol_key FROM symbols WHERE deleted_at IS NOT NULL) GROUP BY 1",
     "dup_keys": "SELECT symbol_key AS key, count(*) AS n FROM symbols GROUP BY 1 HAVING count(*) > 1",
     "dangling_edges": f'WITH {_SYM}, {_SITES} SELECT site_key AS edge_key, owner_key AS "end" FROM sites WHERE owner_key IS NOT NULL AND owner_key NOT IN (SELECT key FROM sym)',
     "export_counts": f"""WITH {_EDGES}, {_INH[len(_SYM) + 2 :]} SELECT 'nodes_' || k AS file, count(key) AS rows FROM (VALUES ('type'), ('function'), ('method'), ('module_init')) v(k) LEFT JOIN sym ON sym.kind = k GROUP BY 1

@@ -79,3 +79,22 @@ def test_search(g):
     assert q(G.search_symbols(g, "ledger harbour", mode="lexical"), "qname") == [("lib.main.target",)]
     assert q(G.search_symbols(g, "pelicans", mode="lexical"), "qname") == [("lib.main.orphan",)]
     assert G.search_symbols(g, "pelicans", mode="lexical", kind="type").count() == 0
+
+
+def test_tools_check_bounds_and_name_failures(g):
+    from sorrel.plans.api import ReadError, Tools, read_rows
+
+    tools = Tools(g)
+    assert len(tools.names) == 10
+    assert [r["repo_name"] for r in tools.call("list_repositories")] == ["r", "s"]
+    for bad in ({"limit": 0}, {"depth": 11}, {"limit": 501}):
+        with pytest.raises(ValueError):
+            tools.call("find_callees", "lib.main.source", repo="r", **bad)
+    with pytest.raises(ValueError):
+        tools.call("search_symbols", "x", mode="semantic")
+    with pytest.raises(ValueError):
+        tools.call("delete_everything")
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ReadError, match="broken"):
+        read_rows(g.symbols.select(F.raise_error(F.lit("no"))), "broken")
