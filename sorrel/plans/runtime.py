@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -37,7 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sorrel-checkpoint-"))
+    own = tempfile.mkdtemp(prefix="sorrel-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
 
 
 def cut(df: DataFrame) -> DataFrame:
