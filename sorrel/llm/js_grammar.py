@@ -8,6 +8,7 @@ their text. A class that begins on a new line has ``NL`` (a newline) before it.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 NL = "\n"
 # fixed values: reserved words and contextual words of the language
@@ -20,23 +21,172 @@ OPEN, CLOSE = {"(": ")", "[": "]", "{": "}", "${": "}"}, {")": "(", "]": "[", "}
 
 _TOKEN = re.compile(
     r"(?P<ws>[ \t\v\f\xa0﻿ -  　]+)|(?P<nl>\r\n|[\n\r  ])|(?P<lc>//[^\n\r  ]*)|(?P<bc>/\*[\s\S]*?\*/)"
-    r"|(?P<num>(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*|0\d+)\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)(?![\w$]))"
+    r"|(?P<num>(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0\d+|0|[1-9](?:_?\d)*)\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)(?![\w$]))"
     r"|(?P<name>\#?(?:[A-Za-z_$]|[^\x00-\x7f\W]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)"
     r"|(?P<str>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')"
     r"|(?P<punct>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])"
 )
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/([A-Za-z]*)")
+_ESCAPE = re.compile(r"\\(?:u(?:[0-9a-fA-F]{4}|\{0*(?:10|[0-9a-fA-F])?[0-9a-fA-F]{1,4}\})|x[0-9a-fA-F]{2}|[^ux])", re.S)
+_TEMPLATE_ESCAPE = re.compile(r"\\(?:u(?:[0-9a-fA-F]{4}|\{0*(?:10|[0-9a-fA-F])?[0-9a-fA-F]{1,4}\})|x[0-9a-fA-F]{2}|0(?!\d)|[^ux0-9])", re.S)
+_BACKSLASH = re.compile(r"\\[\s\S]")
+_NAME_ESCAPE = re.compile(r"\\u(?:\{([0-9a-fA-F]+)\}|([0-9a-fA-F]{4}))")
+_DIGITS = re.compile(r"0|[1-9][\d_]*|0\d*[89]\d*")
+_LEGACY = re.compile(r"0\d")
 _BEFORE_REGEX = set("return typeof case do else in instanceof new void delete throw yield await of".split())
 _VALUE_END = {"NAME", "NUM", "STR", "TPL", "TPLT", "REGEX", "PRIV", "]", "this", "super", "null", "true", "false", "++", "--"} | (CONTEXTUAL - {"of", "yield", "await"})
 
 
+def _escaped(s: str, kind: re.Pattern = _ESCAPE) -> bool:
+    """Whether all escapes of a string or template are right."""
+    return "\\" not in s or all(kind.match(s, m.start()) for m in _BACKSLASH.finditer(s))
+
+
+def _number(s: str, after: str) -> bool:
+    """A number that begins with 0 and a digit has no separators, and an octal one no fraction; the point after digits belongs to them."""
+    if _LEGACY.match(s) and ("_" in s or not re.search("[89]", re.split("[.eE]", s)[0]) and re.search("[.eE]", s)):
+        return False
+    return after != "." or not _DIGITS.fullmatch(s)
+
+
+def _name(s: str) -> bool:
+    """Escapes and letters beyond ASCII give characters that a name may hold."""
+    s = s.lstrip("#")
+    if s.isascii() and "\\" not in s:
+        return True
+    codes = [int(a or b, 16) for a, b in _NAME_ESCAPE.findall(s)]
+    if any(c > 0x10FFFF for c in codes):
+        return False
+    s = _NAME_ESCAPE.sub(lambda m: chr(int(m.group(1) or m.group(2), 16)), s)
+    kinds = [unicodedata.category(c) for c in s]
+    start = s[0] in "$_" or kinds[0][0] == "L" or kinds[0] == "Nl" or s[0].isidentifier()
+    return start and all(c in "$\u200c\u200d" or k[0] == "L" or k in ("Nl", "Mn", "Mc", "Nd", "Pc") or f"a{c}".isidentifier() for c, k in zip(s[1:], kinds[1:]))
+
+
+def _pattern(body: str, flags: str) -> bool:
+    """Whether the text between the slashes is a pattern (ECMAScript 2022 with annex B; flag v is read like u, its nested classes are not judged)."""
+    uni = "u" in flags or "v" in flags
+    if "u" in flags and "v" in flags:
+        return False
+    if not uni:  # without u a pattern is read by UTF-16 units
+        body = "".join(c if c <= "\uffff" else chr(0xD7C0 + (ord(c) >> 10)) + chr(0xDC00 + (ord(c) & 0x3FF)) for c in body)
+    n, i = len(body), 0
+    capturing = len(re.findall(r"\((?!\?)|\(\?<(?![=!])", re.sub(r"\\[\s\S]|\[(?:[^\]\\]|\\[\s\S])*\]", "", body)))
+    names = re.findall(r"\(\?<([^=!>][^>]*)>", re.sub(r"\\[\s\S]|\[(?:[^\]\\]|\\[\s\S])*\]", "", body))
+    stack: list[str] = []
+    atom = False  # whether a quantifier may follow
+
+    def escape(i: int, inside: bool) -> tuple[int, int | None]:
+        """The end of the escape at i and its character (None: a class); -1 if there is none."""
+        c = body[i + 1 : i + 2]
+        if c == "k" and not inside and (uni or names):
+            m = re.compile(r"<([^>]+)>").match(body, i + 2)
+            return (m.end(), 0) if m and m.group(1) in names else (-1, 0)
+        m = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|c([A-Za-z]))").match(body, i)
+        if m:
+            return m.end(), int(m.group(1) or m.group(2), 16) if m.group(1) or m.group(2) else ord(m.group(3)) % 32
+        if uni:
+            m = re.compile(r"\\u\{([0-9a-fA-F]+)\}").match(body, i)
+            if m:
+                return (m.end(), int(m.group(1), 16)) if int(m.group(1), 16) <= 0x10FFFF else (-1, 0)
+            if c in "pP":
+                m = re.compile(r"\{\w+(?:=\w+)?\}").match(body, i + 2)
+                return (m.end(), None) if m else (-1, 0)
+            if c.isdigit():
+                m = re.compile(r"\d+").match(body, i + 1)
+                if m.group(0) == "0":
+                    return m.end(), 0
+                return (m.end(), 0) if not inside and c != "0" and int(m.group(0)) <= capturing else (-1, 0)
+            if c not in "dDsSwWfnrtvbB^$\\.*+?()[]{}|/" and not (inside and (c == "-" or "v" in flags)) or c == "B" and inside:
+                return -1, 0
+        if c in "dDsSwW":
+            return i + 2, None
+        return i + 2, {"n": 10, "r": 13, "t": 9, "f": 12, "v": 11, "b": 8}.get(c) or (None if c.isdigit() or c == "c" else ord(c))
+
+    while i < n:
+        c = body[i]
+        if c == "\\":
+            edge = body[i + 1 : i + 2] in ("b", "B")
+            i, _ = escape(i, False)
+            if i < 0:
+                return False
+            atom = not edge
+        elif c == "[":
+            m = re.compile(r"\[(?:[^\]\\]|\\[\s\S])*\]").match(body, i)
+            if not m:
+                return False
+            if "v" in flags:  # classes in classes
+                depth = 0
+                while i < n:
+                    if body[i] == "\\":
+                        i += 1
+                    depth += (body[i : i + 1] == "[") - (body[i : i + 1] == "]") if body[i - 1 : i] != "\\" else 0
+                    i += 1
+                    if not depth:
+                        break
+                if depth:
+                    return False
+            else:
+                items, k, end = [], i + 1 + body.startswith("^", i + 1), m.end() - 1
+                while k < end:
+                    if body[k] == "\\":
+                        k, x = escape(k, True)
+                        if k < 0:
+                            return False
+                        items.append((False, x))
+                    else:
+                        items.append((body[k] == "-", ord(body[k])))
+                        k += 1
+                k = 0
+                while k < len(items):
+                    if k + 2 < len(items) and items[k + 1][0]:
+                        a, b = items[k][1], items[k + 2][1]
+                        if a is None or b is None:
+                            if uni:
+                                return False
+                        elif a > b:
+                            return False
+                        k += 3
+                    else:
+                        k += 1
+                i = m.end()
+            atom = True
+        elif c == "(":
+            m = re.compile(r"\((?:\?(?:[:=!]|<[=!]|<([^>]*)>))?").match(body, i)
+            if body.startswith("(?", i) and m.end() == i + 1 or m.group(1) is not None and not re.fullmatch(r"(?:[^\W\d]|\$|\\u[0-9a-fA-F{}]+)(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F{}]+)*", m.group(1)):
+                return False
+            stack.append(m.group(0))
+            i, atom = m.end(), False
+        elif c == ")":
+            if not stack:
+                return False
+            head = stack.pop()
+            i, atom = i + 1, not (head in ("(?<=", "(?<!") or uni and head in ("(?=", "(?!"))
+        elif c in "*+?" or c == "{":
+            m = re.compile(r"[*+?]|\{(\d+)(?:(,)(\d*))?\}").match(body, i)
+            if not m:
+                if uni:
+                    return False
+                i, atom = i + 1, True
+                continue
+            if not atom or m.group(3) and int(m.group(3)) < int(m.group(1)):
+                return False
+            i, atom = m.end() + body.startswith("?", m.end()), False
+        elif c in "]}" and uni:
+            return False
+        else:
+            i, atom = i + 1, c not in "|^$"
+    return not stack and len(set(names)) == len(names)
+
+
 def lex(text: str) -> list[str]:
     """Token classes with newline marks; ``ERR`` where no token fits (the rest is left out)."""
     out: list[str] = []
     at, n, nl = 0, len(text), False
     parens: list[bool] = []  # whether the bracket follows if, while, for or with
     braces: list[str] = []
+    tags: list[bool] = []  # whether the open template has a tag, after which any escape may stand
     closed = ""  # what the last closing bracket ended: "head", "block", "value"
     if text.startswith("#!"):
         at = next((k for k in range(n) if text[k] in "\n\r"), n)
@@ -53,7 +203,7 @@ def lex(text: str) -> list[str]:
             value = last in _VALUE_END or (last == ")" and closed != "head") or (last == "}" and closed == "value")
             if not value:
                 m = _REGEX.match(text, at)
-                if not m or not set(m.group(1)) <= set("dgimsuyv") or len(set(m.group(1))) < len(m.group(1)):
+                if not m or not set(m.group(1)) <= set("dgimsuyv") or len(set(m.group(1))) < len(m.group(1)) or not _pattern(m.group(0)[1 : -1 - len(m.group(1))], m.group(1)):
                     add("ERR")
                     break
                 add("REGEX")
@@ -62,10 +212,15 @@ def lex(text: str) -> list[str]:
         if c == "`" or (c == "}" and braces and braces[-1] == "tpl"):
             head = c == "`"
             m = _TEMPLATE.match(text, at + 1)
-            if not m.group(1):
+            if head:
+                last = out[-1].lstrip(NL) if out else ""
+                tags.append(last in _VALUE_END or (last == ")" and closed != "head") or (last == "}" and closed == "value"))
+            if not m.group(1) or not tags[-1] and not _escaped(m.group(0), _TEMPLATE_ESCAPE):
                 add("ERR")
                 break
             at = m.end()
+            if m.group(1) == "`":
+                tags.pop()
             if not head:
                 braces.pop()
             if m.group(1) == "`":
@@ -80,6 +235,9 @@ def lex(text: str) -> list[str]:
             break
         kind, s = m.lastgroup, m.group(0)
         at = m.end()
+        if kind == "str" and not _escaped(s) or kind == "num" and not _number(s, text[at : at + 1]) or kind == "name" and not _name(s):
+            add("ERR")
+            break
         if kind == "ws" or kind == "lc":
             continue
         if kind == "nl":

@@ -1,11 +1,12 @@
 """Source files that do not parse.
 
 1. Each file is lexed into rows: one row per top-level statement with its token classes, exploded to tokens where a step
-   needs them. The language is that of the path's extension, whatever the language column says.
+   needs them. A token's class says nothing of its text, so literals are judged here: a wrong one is an ``ERR``. The language is that of the path's extension, whatever the language column says.
 2. Adjacent token pairs are anti-joined with the pairs that the language's grammar permits (a fixed table, broadcast).
 3. Nesting is validated by windows over the bracket tokens of a statement.
 4. Statement productions: equal statements are one shape; each distinct shape is recognised once, and the statements of
-   shapes that no production makes are flagged. TOML keys given twice in a table are flagged by a grouped count.
+   shapes that no production makes are flagged. TOML keys and tables that clash with another one of the same name, or
+   with one that stands above it, are flagged by grouped counts over the prefixes of their names.
 5. An exact check of the flagged files follows, with whole texts; it only removes false alarms.
 
 Null contents and paths, and other extensions, give no case. An empty text is valid, except as JSON. Repeated rows count
@@ -24,6 +25,7 @@ import tokenize
 import tomllib
 import warnings
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -44,12 +46,12 @@ def language(path: str | None) -> str | None:
 
 # lexers: (unit of token classes, key name or None)
 def python_units(text: str) -> list[list[str]]:
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     units: list[list[str]] = [[]]
     depth = level = 0
     if "\0" in text:
         return [["ERR"]]
-    rows = text.splitlines(keepends=True)
+    rows = list(io.StringIO(text))
     fstart: list[tuple[int, int]] = []
     fresh, decorated = True, False
     try:
@@ -72,9 +74,11 @@ def python_units(text: str) -> list[list[str]]:
             elif kind == T.NAME:
                 cls = s if keyword.iskeyword(s) or s in G.SOFT else "NAME"
             elif kind == T.NUMBER:
-                cls = "NUM"
+                cls = "NUM" if s[0] != "0" and len(s) < 4000 or len(s) == 1 or _expression(s) else "ERR"
             elif kind == T.STRING:
                 cls = "BSTR" if "b" in s[: s.find(s[-1])].lower() else "STR"
+                if ("\\" in s or cls == "BSTR" and not s.isascii()) and not _expression(s):
+                    cls = "ERR"
             elif kind == T.INDENT:
                 cls, level = "INDENT", level + 1
             elif kind == T.DEDENT:
@@ -105,6 +109,7 @@ def _slice(rows: list[str], start: tuple[int, int], end: tuple[int, int]) -> str
     return rows[start[0] - 1][start[1] :] + "".join(rows[start[0] : end[0] - 1]) + rows[end[0] - 1][: end[1]]
 
 
+@lru_cache(4096)
 def _expression(text: str) -> bool:
     try:
         with warnings.catch_warnings():
@@ -160,6 +165,7 @@ def json_units(text: str) -> list[list[str]]:
     return [out]
 
 
+_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 _TKEY = re.compile(r"[ \t]*(?:(?P<bare>[A-Za-z0-9_-]+)|(?P<q>\"(?:[^\"\\\x00-\x08\x0a-\x1f\x7f]|\\(?:[btnfr\"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*\"|'[^'\x00-\x08\x0a-\x1f\x7f]*'))[ \t]*")
 _TVALUE = re.compile(
     r"(?P<ml>\"\"\"(?:[^\"\\]|\\(?:[btnfr\"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[ \t]*\r?\n)|\"{1,2}(?!\"))*\"{3,5}|'''(?:[^']|'{1,2}(?!'))*'{3,5})"
@@ -169,8 +175,24 @@ _TVALUE = re.compile(
     r"|(?P<int>[+-]?(?:0|[1-9](?:_?\d)*)|0x[0-9a-fA-F](?:_?[0-9a-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*)(?![\w.])|(?P<bool>(?:true|false)(?!\w))")
 
 
+@lru_cache(4096)
+def _toml_literal(text: str) -> str | None:
+    """The JSON text of a TOML literal's value; None if it is none."""
+    try:
+        return json.dumps(tomllib.loads("k=" + text)["k"], default=str)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _clash(keys: list[str]) -> bool:
+    """Whether one of the names is, or stands above, another one."""
+    keys = sorted(keys)
+    return any(b.startswith(a) for a, b in zip(keys, keys[1:]))
+
+
 def toml_units(text: str) -> list[tuple[list[str], str | None]]:
-    """Statements with the dotted name they define; headers' names begin with a bracket."""
+    """Statements with the name they define: kind (k: key, t: table, a: array of tables), number and name of the table around it,
+    own name, split by \\x1e; each part of a name is JSON text and a closing \\x1f."""
     units: list[tuple[list[str], str | None]] = []
     text = text.removeprefix("﻿").replace("\r\n", "\n")
     at, n = 0, len(text)
@@ -182,22 +204,29 @@ def toml_units(text: str) -> list[tuple[list[str], str | None]]:
             if not m:
                 out.append("ERR")
                 return -1, ""
-            out.append("KEY")
-            parts.append(m.group("bare") or m.group("q")[1:-1])
+            q = m.group("q")
+            part = json.dumps(m.group("bare")) if q is None else _toml_literal(q) if "\\" in q else json.dumps(q[1:-1])
+            out.append("ERR" if part is None else "KEY")
+            parts.append(f"{part}\x1f")
             at = m.end()
             if text[at : at + 1] == ".":
                 out.append(".")
                 at += 1
                 continue
-            return at, "\x1f".join(parts)
+            return at, "".join(parts)
 
     def value(at: int, out: list[str]) -> int:
         stack: list[str] = []
+        tables: list[list[str]] = []  # names in the open inline tables
         while True:
             while at < n and (text[at] in " \t" or stack and stack[-1] == "[" and text[at] in "\n#"):
                 if text[at] == "#":
                     e = text.find("\n", at)
-                    at = n if e < 0 else e
+                    e = n if e < 0 else e
+                    if _CONTROL.search(text, at, e):
+                        out.append("ERR")
+                        return -1
+                    at = e
                 else:
                     at += 1
             c = text[at : at + 1]
@@ -209,9 +238,11 @@ def toml_units(text: str) -> list[tuple[list[str], str | None]]:
                 stack.append(c)
                 out.append(c)
                 at += 1
+                tables.append([])
                 m = re.compile(r"[ \t]*\}").match(text, at)
                 if not m:
-                    at, _ = key(at, out)
+                    at, name = key(at, out)
+                    tables[-1].append(name)
                     if at < 0 or text[at : at + 1] != "=":
                         out.append("ERR")
                         return -1
@@ -220,7 +251,7 @@ def toml_units(text: str) -> list[tuple[list[str], str | None]]:
             elif c and c in "]}":
                 out.append(c)
                 at += 1
-                if not stack or (stack.pop() == "[") != (c == "]"):
+                if not stack or (stack.pop() == "[") != (c == "]") or c == "}" and _clash(tables.pop()):
                     out.append("ERR")
                     return -1
                 if not stack:
@@ -229,7 +260,8 @@ def toml_units(text: str) -> list[tuple[list[str], str | None]]:
                 out.append(",a" if stack[-1] == "[" else ",i")
                 at += 1
                 if stack[-1] == "{":
-                    at, _ = key(at, out)
+                    at, name = key(at, out)
+                    tables[-1].append(name)
                     if at < 0 or text[at : at + 1] != "=":
                         out.append("ERR")
                         return -1
@@ -237,7 +269,7 @@ def toml_units(text: str) -> list[tuple[list[str], str | None]]:
                     at += 1
             else:
                 m = _TVALUE.match(text, at)
-                if not m:
+                if not m or (m.lastgroup in ("ml", "date") or "\\" in m.group(0) or len(m.group(0)) > 4000) and _toml_literal(m.group(0)) is None:
                     out.append("ERR")
                     return -1
                 out.append({"ml": "MLSTR", "str": "STR", "date": "DATE", "float": "FLOAT", "int": "INT", "bool": "BOOL"}[m.lastgroup])
@@ -245,6 +277,7 @@ def toml_units(text: str) -> list[tuple[list[str], str | None]]:
                 if not stack:
                     return at
 
+    table = "0\x1e"
     while at < n:
         m = re.compile(r"[ \t]*(?:#[^\n\x00-\x08\x0b-\x1f\x7f]*)?(?:\n|$)").match(text, at)
         if m and m.end() > at:
@@ -260,14 +293,15 @@ def toml_units(text: str) -> list[tuple[list[str], str | None]]:
             if at >= 0 and text.startswith(close, at):
                 out.append("TT]" if double else "T]")
                 at += len(close)
-                name = ("[[" if double else "[") + name
+                table = f"{len(units) + 1}\x1e{name}"
+                name = f"{'a' if double else 't'}\x1e0\x1e\x1e{name}"
             else:
                 at = -1
         else:
             at, name = key(at, out)
             if at >= 0 and text[at : at + 1] == "=":
                 out.append("=")
-                at = value(at + 1, out)
+                at, name = value(at + 1, out), f"k\x1e{table}\x1e{name}"
             else:
                 at = -1
         if at >= 0:
@@ -449,14 +483,22 @@ def bad_productions(units: DataFrame) -> DataFrame:
 
 
 def repeated_keys(units: DataFrame) -> DataFrame:
-    """file_key of TOML files that define a key or table twice."""
-    named = units.where("name is not null")
-    header = F.when(F.col("name").startswith("["), F.struct("unit", "name"))
-    inside = W.partitionBy("file_key").orderBy("unit").rowsBetween(W.unboundedPreceding, 0)
-    placed = named.withColumn("table", F.last(header, True).over(inside))
-    keys = placed.where(~F.col("name").startswith("[")).groupBy("file_key", "table", "name").count()
-    tables = placed.where(F.col("name").startswith("[") & ~F.col("name").startswith("[[")).groupBy("file_key", F.lit(None).alias("table"), "name").count()
-    return keys.select("file_key", "count").unionAll(tables.select("file_key", "count")).where("count > 1").select("file_key").distinct()
+    """file_key of TOML files that define a key or table twice, or as a value and as a table, by counts over all prefixes of their names.
+
+    Every condition holds for more rows if it holds for fewer, so rows of one file key hide nothing from each other."""
+    p = F.split("name", "\x1e")
+    named = units.where("name is not null").select("file_key", "unit", p[0].alias("kind"), p[1].alias("table"), p[2].alias("above"), F.concat(p[2], p[3]).alias("full"))
+    twice = named.where("kind <> 'a'").groupBy("file_key", "kind", "table", "full").count().where("count > 1").select("file_key")
+    parts = named.withColumn("parts", F.split("full", "\x1f")).withColumn("n", F.size("parts") - 1).withColumn("outer", F.size(F.split("above", "\x1f")) - 1)
+    levels = parts.select("file_key", "unit", "kind", "n", "outer", F.posexplode(F.transform(F.sequence(F.lit(1), "n"), lambda k: F.array_join(F.slice("parts", 1, k), "\x1f"))).alias("k", "path"))
+    last = F.col("k") == F.col("n") - 1
+    dotted = ~last & (F.col("kind") == "k") & (F.col("k") >= F.col("outer"))
+    has = lambda c: F.max(F.when(c, 1).otherwise(0)) > 0
+    value, table, array = has(last & (F.col("kind") == "k")), has(last & (F.col("kind") == "t")), has(last & (F.col("kind") == "a"))
+    early = F.min(F.when(~last, F.col("unit"))) < F.max(F.when(last & (F.col("kind") == "a"), F.col("unit")))
+    clash = (value & (has(~last) | table | array)) | (has(dotted) & (table | array)) | (table & array) | F.coalesce(early, F.lit(False))
+    clashing = levels.groupBy("file_key", "path").agg(clash.alias("clash")).where("clash").select("file_key")
+    return twice.unionAll(clashing).distinct()
 
 
 def unparsable(files: DataFrame) -> DataFrame:

@@ -48,6 +48,35 @@ def test_unparsable_files(spark):
     assert parsing.unparsable(df.limit(0)).count() == 0
 
 
+# invalid only inside a literal, or by two names that clash; and their valid neighbours
+LITERALS = {
+    "py": (
+        ["a = '\\x1'", "a = '\\u12'", "a = '\\N{NOPE}'", "a = b'é'", "a = 0777", "f(x, b'\\x1')", "a = ('b'\n  '\\U00110000')", "\x0c\na = f'{b!q}'", "a = 1\rb = '\\x1'"],
+        ["a = '\\x41\\u1234\\N{EM DASH}'", "a = r'\\x1'", "a = rb'\\x1'", "a = 'é'", "a = 00", "a = 0o17 + 0x1F + 0.5 + 0j", "a = '\\d'", "\x0c\na = f'{b!r}'", "a = 'a\\\nb'"],
+    ),
+    "toml": (
+        ["a = 2021-13-45", "a = 25:61:00", 'a = "\\uD800"', "a = {x=1,x=2}", "a.b=1\na=2", "a=2\na.b=1", "[a]\n[[a]]", "[[a]]\n[a]", "[a.b]\n[[a]]", "a={}\n[a.b]", "a={b=1}\na.c=2", "[a]\nb.c=1\n[a.b]", "[a.b]\n[a]\nb.c=1", '"a"=1\na=2', '"\\u0061"=1\na=2', "a=[]\n[[a]]", "a={x=1, x.y=2}", 'a="""\\uD800"""', "a=[{b=1,b=2}]", "[[a]]\n[[a.b]]\n[[a]]\n[a.b.c]\n[[a.b]]", '"[a"=1\n"[a"=2', "a=[1, # \x01\n2]", "[a]\nb=1\n[c]\n[a.b.d]"],
+        ["a = 2020-02-29", "a = 23:59:59", 'a = "\\u00e9"', "a = {x=1,y=2}", "a.b=1\na.c=2", "[a.b]\n[a]\nc=1", "[[a]]\n[a.b]\n[[a]]\n[a.b]", "[[a]]\nb=1\n[[a]]\nb=2", '"a.b"=1\na.b=2', "[a]\nb.c=1\nb.d=1", "[a]\nb=1\n[c]\nb=1", "a=[{b=1},{b=2}]", "a={b.c=1,b.d=2}", '""=1\na=1', "[[a]]\nb=1\n[[a]]\nb.c=1"],
+    ),
+    "js": (
+        ["'\\x1'", "'\\u{zz}'", '"\\u12"', "'\\u{110000}'", "`\\x1`", "`a${b}\\u1`", "`\\01`", "/(/", "/a**/", "/[b-a]/", "/a{2,1}/", "/(?<a>x)(?<a>y)/", "/\\p{L/u", "/(?<a>x)\\k<b>/", "/)/", "/+/", "/\\-/u", "/a/uv", "/]/u", "0_7", "07_7", "07.5", "5.toString()", "let ٣a", "\\u0030a", "/[😀-😎]/"],
+        ["'\\x41\\u0041\\u{1F600}\\0\\q'", "a`\\x1`", "f()`\\u`", "`\\x41\\0`", "`a${b`\\u`}c`", "/a{2/", "/a{1,2}?[\\w-a]/", "/(?<a>x)\\k<a>/", "/\\p{Script=Greek}/u", "/[^]*/", "/]/", "/(?=a)*/", "/(?<!a)b|c/", "/\\u{61}/u", "/\\-[\\-a]/", "/[\\-a]/u", "0777", "08.5", "5..toString()", "5.5.toFixed()", "1n", "let é٣", "\\u0061b", "'a\\\nb'", "/[😀-😎]/u", "/\\//", "/(a)\\1\\2/", "/[[a-z]--[b]]/v"],
+    ),
+}
+
+
+def test_literals_and_clashes(spark):
+    rows = [(f"{e}{ok}{k}", "r", f"src/{e}{ok}{k}.{e}", t + "\n", "x", 1) for e, both in LITERALS.items() for ok, texts in enumerate(both) for k, t in enumerate(texts)]
+    for _, _, path, t, *_ in rows:
+        assert parsing.exact(parsing.language(path), t) == path.startswith(f"src/{path.rsplit('.')[1]}1"), t
+    found = {r.file_key for r in parsing.unparsable(files_frame(spark, rows)).collect()}
+    texts = {r[0]: r[3] for r in rows}
+    assert {texts[k] for k in texts if (k in found) != (k.lstrip("pytomljs")[0] == "0")} == set()
+    # a valid row of the same key hides nothing
+    both = files_frame(spark, [("k", "r", "a.toml", "[[a]]\nb=1\n[c]\n", "x", 1), ("k", "r", "a.toml", "x=1\n[a.b]\nc=1\n[[a]]\n", "x", 1)])
+    assert [r.file_key for r in parsing.unparsable(both).collect()] == ["k"]
+
+
 # p3
 def library_file(k):
     rng = random.Random(k)
