@@ -27,6 +27,7 @@ MAX_ITEMS = 100_000
 GAP = 14  # text words that a passage may hold between two matches (line prefixes, replaced words)
 ITEM_GAP = 6  # item words that a passage may leave out between two matches
 MIN_RUN = 5  # matched words of a passage
+STEPS = sorted((i + j + 3 * abs(i - j), i, j) for i in range(1, GAP + 1) for j in range(1, ITEM_GAP + 1))  # cost, text words, item words from one match to the next
 DENSE = 0.7  # matched words against the item words a passage spans; one in ten may be replaced
 BATCH_CHARS = 8_000_000
 
@@ -52,6 +53,7 @@ class ItemIndex:
             if len(ws) >= GRAM:
                 self.items[item] = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64)
         self.n = len(self.vocab) + 1
+        self.upto = np.arange(1, max(map(len, self.items.values()), default=0) + 1)
         grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item, ids in self.items.items():
             for j, g in enumerate(self.codes(ids).tolist()):
@@ -80,17 +82,22 @@ class ItemIndex:
         want = self.items[item]
         pairs = sorted({(i + k, j + k) for i, j in hits for k in range(GRAM)})
         chains: list[list[tuple[int, int]]] = []
+        last: dict[tuple[int, int], int] = {}  # chain by its last pair, which no other chain has
         for i, j in pairs:
-            best = None
-            for chain in reversed(chains[-40:]):
-                a, b = chain[-1]
-                if 0 < i - a <= GAP and 0 < j - b <= ITEM_GAP:
-                    if best is None or (i - a) + (j - b) + 3 * abs((i - a) - (j - b)) < best[0]:
-                        best = ((i - a) + (j - b) + 3 * abs((i - a) - (j - b)), chain)
-            if best:
-                best[1].append((i, j))
+            cheapest, best = 0, -1  # of equal steps, the chain that began last
+            for cost, di, dj in STEPS:
+                if best >= 0 and cost > cheapest:
+                    break
+                k = last.get((i - di, j - dj), -1)
+                if k > best:
+                    cheapest, best = cost, k
+            if best >= 0:
+                del last[chains[best][-1]]
+                chains[best].append((i, j))
             else:
+                best = len(chains)
                 chains.append([(i, j)])
+            last[i, j] = best
         out = []
         for chain in chains:
             (i0, j0), (i1, j1), m = chain[0], chain[-1], len(chain)
@@ -111,19 +118,31 @@ class ItemIndex:
     def coverage(self, item: int, found: list[tuple[int, int, int, int, int]]) -> tuple[float, list]:
         """Share of the item in its best one or two passages in order, and those passages."""
         n = len(self.items[item])
-        best, used = 0.0, []
-        top = sorted(found, key=lambda p: p[2] - p[3])[:24]
-        for k, p in enumerate(top):
-            size = p[3] - p[2] + 1
-            if size / n > best:
-                best, used = size / n, [p]
-            for q in top[k + 1 :]:
-                a, b = (p, q) if p[2] <= q[2] else (q, p)
-                if a[1] < b[0] and a[2] < b[2]:
-                    both = (a[3] - a[2] + 1) + (b[3] - max(b[2], a[3] + 1) + 1)
-                    if both / n > best and b[3] > a[3]:
-                        best, used = both / n, [a, b]
-        return best, used
+        used = [max(found, key=lambda p: p[3] - p[2])] if found else []
+        best = used[0][3] - used[0][2] + 1 if used else 0
+        if len(found) < 2:
+            return best / n, used
+        # a sweep over the text: of the passages that ended before b, only the one that begins first in the item counts for each last item word
+        start, firsts = np.arange(1, n + 1), [None] * n
+        ended, k = sorted(found, key=lambda p: p[1]), 0
+        for b in sorted(found):
+            while ended[k][1] < b[0]:
+                a = ended[k]
+                if a[2] < start[a[3]]:
+                    start[a[3]], firsts[a[3]] = a[2], a
+                k += 1
+            lo, hi = b[2], b[3]
+            if not k or not lo:
+                continue
+            e = int((self.upto[:lo] - start[:lo]).argmax())  # apart in the item
+            both, a = e + 1 - int(start[e]) + hi - lo + 1, firsts[e]
+            if hi > lo:  # overlapping in the item
+                e = lo + int(start[lo:hi].argmin())
+                if start[e] < lo and hi + 1 - int(start[e]) > both:
+                    both, a = hi + 1 - int(start[e]), firsts[e]
+            if a and both > best:
+                best, used = both, [a, b]
+        return best / n, used
 
     def scan(self, text: str | None) -> list[tuple[int, float, list]]:
         """Items of which the text holds something: item, share, passages as word spans."""

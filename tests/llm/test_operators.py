@@ -206,6 +206,33 @@ def test_leaks(spark):
     assert contamination.leaks(d.limit(0), i).count() == 0 and contamination.leaks(d, i.limit(0)).count() == 0
 
 
+def test_leaks_of_repetitive_texts(spark):
+    rng = random.Random(6)
+    item = [f"w{k}" for k in range(100)]
+    filler = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    often = " ".join((" ".join(item[10:40]) + " " + filler(20) + " ") for _ in range(30))
+    same = " ".join(f"a b c d x{k} y{k}" for k in range(150))
+    part = " ".join("replaced" if k % 13 == 5 else w for k, w in enumerate(same.split()[100:550]))
+    d = spark.createDataFrame([(1, often + " ".join(item[60:75])), (2, " ".join(item[60:75]) + " " + filler(20) + " " + often), (3, filler(30) + " " + part + " " + filler(30))], "doc_id long, text string")
+    i = spark.createDataFrame([(0, " ".join(item)), (1, same)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, round(r.share, 2)) for r in contamination.leaks(d, i).collect()} == {(1, 0, 0.45), (3, 1, 0.5)}
+
+
+def test_coverage_is_that_of_all_pairs():
+    rng = random.Random(7)
+    n = 40
+    index = contamination.ItemIndex([(0, " ".join(f"w{k}" for k in range(n)))])
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randrange(1, 60)):
+            i, j = rng.randrange(200), rng.randrange(n)
+            found.append((i, i + rng.randrange(12), j, min(n - 1, j + rng.randrange(15)), 1))
+        one = max(p[3] - p[2] + 1 for p in found)
+        two = [a[3] - a[2] + 1 + b[3] - max(b[2], a[3] + 1) + 1 for a in found for b in found if a[1] < b[0] and a[2] < b[2] and a[3] < b[3]]
+        share, used = index.coverage(0, found)
+        assert share == max([one, *two]) / n and set(used) <= set(found)
+
+
 # p10
 PROSE = "The keeper of the mill says that all of the ledgers are kept there, and nobody has ever asked for more than one of them. It was a long way to the water. "
 FORMS = [
