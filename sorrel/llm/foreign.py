@@ -5,11 +5,13 @@
 2. For the rest, an inverted index of rare line hashes (hashes of three consecutive lines, blank and trivial lines left
    out) finds copies from other repositories: each hash names one file of its first and one of its last repository (by
    hash order), so every file gets a partner in another repository without any pairs within a hash. The partner that
-   holds most of a file's rarest hashes is verified by exact containment.
+   holds most of a file's rarest hashes is verified by exact containment. Files whose partner fails are counted against
+   all files of other repositories: files that share the same of their hashes are one, and a file that holds enough of
+   another one must hold one of its rarest hashes, so that only those make pairs.
 3. A library's own files, in the repository of its name, are no copies.
 
 Null contents and null paths give no case; an empty file is none. Repeated rows count once per file key. A hash that a
-third of all files share costs one row per file and no pair.
+third of all files share costs one row per file and no pair, unless it is among the rarest of a file whose partner fails.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sorrel.plans.runtime import cut, spread
@@ -221,7 +224,29 @@ def copies(seen: DataFrame) -> DataFrame:
     likely = cut(top.join(sizes, "file_key").where((F.col("size") >= LEAST_LINES) & (F.col("shared") >= SHARED * F.col("size")) & (F.col("lib") != F.col("repo"))))
     mine = post.join(likely.select("file_key", "partner", "size"), "file_key").select("file_key", "partner", "size", "h")
     theirs = post.join(likely.select(F.col("partner").alias("file_key")).distinct(), "file_key", "left_semi").select(F.col("file_key").alias("partner"), "h")
-    return mine.join(theirs, ["partner", "h"]).groupBy("file_key", "partner", "size").agg(F.count("*").alias("n")).where(F.col("n") >= CONTAINED * F.col("size")).select("file_key", "partner", (F.col("n") / F.col("size")).alias("contained"))
+    held = cut(mine.join(theirs, ["partner", "h"]).groupBy("file_key", "partner", "size").agg(F.count("*").alias("n")).where(F.col("n") >= CONTAINED * F.col("size")).select("file_key", "partner", (F.col("n") / F.col("size")).alias("contained")))
+    return held.unionAll(elsewhere(post, cut(likely.join(held, "file_key", "left_anti").select("file_key", "size"))))
+
+
+def elsewhere(post: DataFrame, failed: DataFrame) -> DataFrame:
+    """file_key, partner, contained of those of the failed files that any file of another repository holds."""
+    near = cut(post.join(post.join(failed, "file_key", "left_semi").select("h").distinct(), "h", "left_semi").select("file_key", "repo", "h"))
+    # files with the same of these hashes are one set, named by one of them
+    signed = near.groupBy("file_key", "repo").agg(F.count("*").alias("c"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
+    place = F.struct("repo", "file_key")
+    sets = cut(signed.groupBy("c", "x", "y").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("file_key").alias("set")))
+    hashes = cut(near.join(sets.select(F.col("set").alias("file_key")), "file_key", "left_semi").select(F.col("file_key").alias("set"), "h"))
+    others = hashes.withColumnRenamed("set", "other")
+    asked = cut(signed.join(failed, "file_key").join(sets, ["c", "x", "y"]).select("file_key", "repo", "size", "set"))
+    wanted = asked.select("set", "repo", "size").distinct()
+    # all but the last need - 1 hashes, rarest first: who holds enough holds one of them
+    rank = F.row_number().over(W.partitionBy("set").orderBy("df", "h"))
+    rare = hashes.join(wanted.select("set", "size").distinct(), "set").join(hashes.groupBy("h").agg(F.count("*").alias("df")), "h").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(CONTAINED * F.col("size")) + 1)
+    partner = F.when(F.col("lo.repo") != F.col("repo"), F.col("lo.file_key")).when(F.col("hi.repo") != F.col("repo"), F.col("hi.file_key"))
+    pairs = rare.select("set", "h").join(others, "h").select("set", "other").distinct().join(wanted, "set").join(sets.select(F.col("set").alias("other"), "lo", "hi"), "other").withColumn("partner", partner).where("partner is not null")
+    counted = pairs.select("set", "repo", "size", "other", "partner").join(hashes, "set").join(others, ["other", "h"]).groupBy("set", "repo", "size", "partner").agg(F.count("*").alias("n")).where(F.col("n") >= CONTAINED * F.col("size"))
+    best = counted.groupBy("set", "repo").agg(F.max(F.struct("n", "partner")).alias("best"))
+    return asked.join(best, ["set", "repo"]).select("file_key", F.col("best.partner").alias("partner"), (F.col("best.n") / F.col("size")).alias("contained"))
 
 
 def foreign_files(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sorrel.llm import bpe, contamination, documentation, foreign, js_grammar, markup, parsing, quality, splitting
 
@@ -100,6 +101,31 @@ def test_foreign_files(spark):
     assert foreign.foreign_files(df.limit(0)).count() == 0
 
 
+def seen_frame(spark, rows):
+    return spark.createDataFrame([(k, r, None, None, list(h)) for k, r, h in rows], "file_key string, repo_name string, library string, verdict string, hashes array<long>")
+
+
+def test_copies_whose_partner_fails(spark):
+    low, own, middle, high = [r.repo for r in spark.createDataFrame([(f"r{k}",) for k in range(4)], "repo string").orderBy(F.xxhash64("repo")).collect()]
+    rows = [("a", low, range(1, 46)), ("f", own, range(1, 101)), ("m", middle, range(1, 101)), ("z", high, range(56, 101)), ("a2", low, range(1000, 1300)), ("twin", own, range(1, 101))]
+    got = {r.file_key: (r.partner, r.contained) for r in foreign.copies(seen_frame(spark, rows)).collect()}
+    assert got["f"] == ("m", 1.0) and got["twin"] == ("m", 1.0) and "a2" not in got
+
+
+def test_copies_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(f"f{k}", f"r{rng.randrange(6)}", sorted({rng.choice(pool) for _ in range(rng.randrange(4, 30))})) for pool in (range(20), range(100, 160)) for k in range(pool[0], pool[0] + 60)]
+    expected = set()
+    for k, r, h in rows:
+        other = [set(g) for _, q, g in rows if q != r]
+        if len(h) >= foreign.LEAST_LINES and len(set(h) & set().union(*other)) >= foreign.SHARED * len(h) and any(len(set(h) & g) >= foreign.CONTAINED * len(h) for g in other):
+            expected.add(k)
+    got = foreign.copies(seen_frame(spark, rows)).collect()
+    held, repo = {k: set(h) for k, _, h in rows}, {k: r for k, r, _ in rows}
+    assert sorted(r.file_key for r in got) == sorted(expected)
+    assert all(repo[r.file_key] != repo[r.partner] and r.contained == len(held[r.file_key] & held[r.partner]) / len(held[r.file_key]) for r in got)
+
+
 # p4
 def test_split_frame(spark):
     text = "# Head\n" + "word " * 700 + "\n\ntail"
