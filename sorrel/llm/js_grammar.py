@@ -1011,9 +1011,9 @@ class Parser:
 
 
 def valid(tokens: list[str]) -> bool:
-    """Whether the token classes form a script or module."""
+    """Whether the token classes form a script or module; RecursionError if they are nested too deep to tell."""
     try:
         Parser(tokens).program()
         return True
-    except (Bad, IndexError, RecursionError):
+    except (Bad, IndexError):
         return False

@@ -20,6 +20,7 @@ import io
 import json
 import keyword
 import re
+import sys
 import token as T
 import tokenize
 import tomllib
@@ -37,6 +38,7 @@ from sorrel.plans.runtime import cut, spread, width
 
 EXTENSIONS = {"py": "python", "js": "javascript", "json": "json", "toml": "toml"}
 OPENERS, CLOSERS = {"(": 1, "[": 2, "{": 3, "TPLH": 3}, {")": 1, "]": 2, "}": 3, "TPLT": 3}
+FRAMES = 1_000_000  # Python frames for texts nested deep
 MID = re.compile(r"^(?:else|elif|except|finally)$")
 
 
@@ -337,7 +339,10 @@ def production(lang: str, tokens: list[str]) -> bool:
     if "ERR" in tokens or js.NL + "ERR" in tokens:
         return False
     if lang == "javascript":
-        return js.valid(tokens)
+        try:
+            return js.valid(tokens)
+        except RecursionError:
+            return False  # the exact check judges it
     if lang == "json":
         return True  # pairs and nesting are complete
     if lang == "toml":
@@ -374,24 +379,59 @@ def production(lang: str, tokens: list[str]) -> bool:
 def exact(lang: str, text: str) -> bool:
     """Whether the whole text is valid."""
     text = text.removeprefix("﻿")
+    try:
+        return _valid(lang, text)
+    except RecursionError:
+        return lang == "python" or _deep(lang, text)  # Python's parser has made what is too deep for its tree
+
+
+def _valid(lang: str, text: str, decoder: type[json.JSONDecoder] = json.JSONDecoder) -> bool:
     try:
         if lang == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(text)
         elif lang == "json":
-            json.loads(text, parse_constant=_no_constant)
+            json.loads(text, cls=decoder, parse_constant=_no_constant)
         elif lang == "toml":
             tomllib.loads(text)
         else:
             return js.valid(js.lex(text))
         return True
-    except RecursionError:
-        return True  # too deep to judge: no case
     except (SyntaxError, ValueError, MemoryError):
         return False
 
 
+class _Deep(json.JSONDecoder):
+    """The decoder in Python, whose depth only the recursion limit bounds."""
+
+    def __init__(self, **kw):
+        super().__init__(**kw)
+        self.parse_array, self.parse_object = json.decoder.JSONArray, json.decoder.JSONObject
+        self.scan_once = json.scanner.py_make_scanner(self)
+
+
+def _deep(lang: str, text: str) -> bool:
+    """exact() for texts nested deeper than the usual frames: their brackets by a stack, then with up to FRAMES frames; beyond those, only brackets and lexer judge."""
+    stack: list[int] = []
+    for t in (t.lstrip(js.NL) for tokens, _ in units_of(lang, text) for t in tokens):
+        t = {"T[": "[", "TT[": "[", "T]": "]", "TT]": "]"}.get(t, t)
+        if t == "ERR" or t in CLOSERS and (not stack or stack.pop() != CLOSERS[t]):
+            return False
+        if t in OPENERS:
+            stack.append(OPENERS[t])
+    if stack:
+        return False
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(FRAMES)
+    try:
+        return _valid(lang, text, _Deep)
+    except RecursionError:
+        return True
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 

@@ -78,6 +78,14 @@ def test_literals_and_clashes(spark):
     assert [r.file_key for r in parsing.unparsable(both).collect()] == ["k"]
 
 
+def test_deep_files(spark):
+    n = 5000
+    good = {"json": "[" * n + "]" * n, "toml": "a = " + "[" * n + "]" * n, "js": "x = " + "(" * n + "1" + ")" * n, "py": "x = 1" + " + 1" * n}
+    bad = {"json": ["[" * 50_000, "[" * n + "1 1" + "]" * n, "[" * n + "]" * (n + 1)], "toml": ["a = " + "[" * n, "a = " + "[" * n + "]" * n + "\na = 1"], "js": ["x = " + "(" * n, "x = " + "(" * n + "1 1" + ")" * n, "x = " + "(" * n + ")" * n]}
+    rows = [(f"{ok}{e}{k}", "r", f"a.{e}", t + "\n", "x", 1) for ok, texts in ((1, {e: [t] for e, t in good.items()}), (0, bad)) for e, ts in texts.items() for k, t in enumerate(ts)]
+    assert {r.file_key for r in parsing.unparsable(files_frame(spark, rows)).collect()} == {r[0] for r in rows if r[0][0] == "0"}
+
+
 # p3
 def library_file(k):
     rng = random.Random(k)
