@@ -31,6 +31,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 HIDDEN = set("head script style template noscript title iframe object svg canvas".split())
 BLOCK = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 # an opening tag closes these open elements first
+HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())  # what stands in head; all else ends it
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 IMPLIED = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr", "td", "th"}, "option": {"option"},
@@ -163,6 +166,14 @@ def all_kinds(text: str | None, heading_path: str | None) -> set[str]:
     return found
 
 
+def _hides(attrs: str) -> bool:
+    """Whether the attribute hidden or a declaration of the style hides the element."""
+    seen = {}
+    for name, *values in ATTR.findall(attrs):
+        seen.setdefault(name.lower(), "".join(values))
+    return "hidden" in seen and seen["hidden"].strip().lower() != "until-found" or bool(UNSEEN.search(html.unescape(seen.get("style", ""))))
+
+
 class _Layout:
     """Tree builder and renderer in one pass: the open elements are a stack, tables collect their rows until they close."""
 
@@ -171,18 +182,24 @@ class _Layout:
         self.stack: list[str] = []
         self.lists: list[list] = []
         self.tables: list[list[list[list[str]]]] = []
+        self.loose: list[list[str]] = []  # text of each open table that is in no cell
+        self.cells: list[bool] = []  # whether a cell of each open table is open
         self.hidden: list[bool] = []
 
     def emit(self, s: str) -> None:
         if any(self.hidden):
             return
-        if self.tables and self.tables[-1] and self.tables[-1][-1]:
-            self.tables[-1][-1][-1].append(s)
-        elif not self.tables:
+        if not self.tables:
             self.out.append(s)
+        elif self.cells[-1]:
+            self.tables[-1][-1][-1].append(s)
+        else:
+            self.loose[-1].append(s)
 
     def text(self, s: str) -> None:
         s = ENTITY.sub(lambda m: html.unescape(m.group(0)) if _entity(m) else m.group(0), s)
+        if self.stack[-1:] == ["head"] and s.strip():
+            self.close("head")
         self.emit(s.replace("\xa0", " "))
 
     def line(self) -> None:
@@ -199,7 +216,11 @@ class _Layout:
                 self.line()
             elif top == "table" and self.tables:
                 rows = [["".join(c).strip().replace("\n", " ") for c in row] for row in self.tables.pop()]
-                self.emit("\n" + align(rows) + "\n")
+                self.cells.pop()
+                loose = "\n".join(x.strip() for x in "".join(self.loose.pop()).split("\n") if x.strip())
+                self.emit("\n" + (loose + "\n" if loose else "") + align(rows) + "\n")
+            elif top in ("td", "th") and self.tables:
+                self.cells[-1] = False
             elif top == "pre":
                 self.emit("\n```\n")
             elif top in BLOCK:
@@ -212,6 +233,8 @@ class _Layout:
                 break
 
     def open(self, name: str, attrs: str, closed: bool) -> None:
+        if self.stack[-1:] == ["head"] and name not in HEAD:  # its end may be left out
+            self.close("head")
         stop = SCOPE.get(name, set())
         while self.stack and self.stack[-1] in IMPLIED.get(name, ()) and self.stack[-1] not in stop:
             self.close(self.stack[-1])
@@ -224,9 +247,8 @@ class _Layout:
             return self.emit(m.group(1) or m.group(2) or "") if m else None
         if name in VOID or closed:
             return None
-        low = attrs.lower()
         self.stack.append(name)
-        self.hidden.append(name in HIDDEN or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b(?!\s*=\s*[\"']?until)", low)))
+        self.hidden.append(name in HIDDEN or _hides(attrs))
         if name in ("ul", "ol"):
             self.lists.append([name, 0])
             self.line()
@@ -239,12 +261,15 @@ class _Layout:
             self.emit("\n" + "  " * depth + mark)
         elif name == "table":
             self.tables.append([])
+            self.loose.append([])
+            self.cells.append(False)
         elif name == "tr" and self.tables:
             self.tables[-1].append([])
         elif name in ("td", "th") and self.tables:
             if not self.tables[-1]:
                 self.tables[-1].append([])
             self.tables[-1][-1].append([])
+            self.cells[-1] = True
         elif name == "pre":
             self.emit("\n```\n")
         elif name in BLOCK:

@@ -195,6 +195,18 @@ def test_render():
     assert len(markup.render("<b>" * 20_000)) >= 0 and len(markup.render("[" * 20_000)) > 0
 
 
+def test_render_all_visible_text():
+    t = markup.render("<table><caption>Cap</caption><tr>loose<td>a</td>between<td>b</td></tr>direct<tr><td>c<td><table><caption>In</caption><tr><td>d</table></table>after")
+    assert all(w in t for w in ("Cap", "loose", "a  b", "between", "direct", "In", "c", "d", "after")) and t.index("Cap") < t.index("a  b") < t.index("after")
+    for attrs in ('style="overflow:hidden"', 'class="hidden-print"', 'aria-hidden="true"', 'title="a hidden place"', "hidden=until-found", "data-x='display:none'"):
+        assert markup.render(f"<p {attrs}>seen</p>").strip() == "seen", attrs
+    for attrs in ("hidden", 'hidden=""', "class=a HIDDEN", "style='color:red; Display : none'", 'style="visibility:hidden"'):
+        assert markup.render(f"<p>x</p><p {attrs}>unseen</p>").strip() == "x", attrs
+    assert markup.render("<html><head><title>no</title><body><p>yes</p></body></html>").strip() == "yes"
+    for t in ("<head><title>no</title><p>yes</p>", "<head><noscript><img alt='no'></noscript>\nyes", "<head><meta a=b><main>yes</main>"):
+        assert markup.render(t).strip() == "yes", t
+
+
 def test_markup_frames(spark):
     rows = [("k", "H > <i>x</i>", "**b**", 1, "m"), ("k", "H > <i>x</i>", "**b**", 2, "m"), ("n", None, None, 1, "m"), ("p", "H", "plain", 1, "m")]
     df = spark.createDataFrame(rows, "chunk_key string, heading_path string, text string, arrived_at int, markup string")
