@@ -17,6 +17,7 @@ third of all files share costs one row per file and no pair, unless it is among
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -44,6 +45,7 @@ NUMBERED = re.compile(r"^\s*(?:async\s+)?(?:def|class|function|static|const|let|
 DEFINED = re.compile(r"^\s*(?:async\s+)?(?:def|class|function)\s+(\w+)", re.M)
 LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b\d[\w.]*")
 NAME = re.compile(r"[A-Za-z_$][\w$]*")
+JSON_PART = re.compile(r"\"(?:[^\"\\]|\\.)*\"(?=(\s*:)?)|[{}\[\]]", re.S)
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|;)")
 
 
@@ -51,7 +53,7 @@ def leading_comment(content: str) -> str:
     """Comment lines before the first line of code."""
     out = []
     block = False
-    for line in content.lstrip("﻿").split("\n", 40)[:40]:
+    for line in io.StringIO(content.lstrip("﻿")):
         s = line.strip()
         if not s or s in ("'use strict';", '"use strict";'):
             continue
@@ -66,11 +68,21 @@ def leading_comment(content: str) -> str:
     return "\n".join(out)
 
 
+def _top_key(content: str, key: str) -> bool:
+    """Whether a JSON object, also one that is cut off, has the key at its top."""
+    depth = 0
+    for m in JSON_PART.finditer(content):
+        if m.group(0) == key and depth == 1 and m.group(1):
+            return True
+        depth += (m.group(0) in "{[") - (m.group(0) in "}]")
+    return False
+
+
 def _lock(path: str, content: str) -> bool:
     if LOCK_NAME.search(path):
         return True
     if path.endswith(".json"):
-        return '"lockfileVersion"' in content[:400] or content.count('"integrity"') >= 3
+        return '"lockfileVersion"' in content and _top_key(content, '"lockfileVersion"') or content.count('"integrity"') >= 3
     if path.endswith(".toml"):
         blocks = content.count("[[package]]")
         return blocks >= 3 and len(re.findall(r"^(?:hash|checksum|sha256|integrity)\s*=", content, re.M)) >= 0.6 * blocks

@@ -134,6 +134,15 @@ def test_copies_are_those_of_all_pairs(spark):
     assert all(repo[r.file_key] != repo[r.partner] and r.contained == len(held[r.file_key] & held[r.partner]) / len(held[r.file_key]) for r in got)
 
 
+def test_marks_far_from_the_start():
+    licence = "".join(f"# Line {k} of a licence.\n" for k in range(60))
+    assert foreign.verdict("a/x.py", "a", licence + "# Code generated by t. DO NOT EDIT.\nx = 1\n") == "generated"
+    assert foreign.verdict("a/x.py", "a", licence + "x = 1\n# Code generated by t. DO NOT EDIT.\n") is None
+    far = '{"name": "n", "deps": {"x": "' + "y" * 500 + '"}, "lockfileVersion"'
+    assert foreign.verdict("a/p.json", "a", far + ": 3}") == "generated" and foreign.verdict("a/p.json", "a", far + ": 3, ") == "generated"
+    assert foreign.verdict("a/p.json", "a", '{"a": {"lockfileVersion": 1}}') is None and foreign.verdict("a/p.json", "a", '{"a": "lockfileVersion"}') is None
+
+
 # p4
 def test_split_frame(spark):
     text = "# Head\n" + "word " * 700 + "\n\ntail"
