@@ -54,23 +54,19 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
-SPREAD_BYTES = 128 << 20
-
-
 def width(spark: SparkSession) -> int:
     """Tasks of a CPU-heavy Python stage: two a core, or the session's shuffle partitions if those are more."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "0")))
+    # Spark's own default counts where the session sets none; a fallback value given here would be validated and refused
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input of few files over all cores before a CPU-heavy Python stage.
 
-    An input of as many files as cores, or of more than SPREAD_BYTES a core, is split well enough by its scan and is not shuffled.
+    An input of as many files as cores, or of many splits, is split well enough by its scan and is not shuffled. Few files of few
+    splits are shuffled: a file of one row group is one task, whatever its splits.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    if not 0 < files < cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < cores or df.rdd.getNumPartitions() > 2 * cores:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size > cores * SPREAD_BYTES else df.repartition(2 * cores)
+    return df.repartition(2 * cores)
