@@ -4,8 +4,11 @@
    words (a fixed table) the text uses most, because the stored code may be wrong or missing.
 2. ``tail_probabilities``: equal values are counted first, the distinct values are range-partitioned and sorted, and
    partition offsets turn positions inside partitions into exact ranks; no partition holds a whole language.
-3. ``outliers``: -ln of the empirical tail probability, summed over the statistics.
-4. ``forms``: evidence = strength of the best form plus a share of the outlier score.
+3. ``outliers``: -ln of the empirical tail probability, summed over the statistics. Each population is joined by ``PLAIN``
+   documents of least values, so that a language of few documents has tails too. Texts in no known language are ranked
+   among all documents.
+4. ``forms``: a text is no prose when its outlier score and the share of its best form together reach ``LIMIT``; neither
+   does so alone. The line structure then names the form.
 
 Null, empty and blank texts have null form and no score. Repeated texts are counted each. Ties share a rank.
 """
@@ -23,8 +26,11 @@ from pyspark.sql import functions as F
 from sorrel.plans.runtime import cut, spread
 
 STATS = ("list_share", "table_share", "junk_share", "symbol_ratio", "digit_ratio", "repeat_share", "rare_words", "open_lines")
-ENOUGH = 0.5
-OUTLIER_WEIGHT, OUTLIER_CAP = 0.05, 4.0
+# a score of FULL counts as one, and so does a text that is all of one form; more score than that says nothing more
+FULL, LIMIT = 6.0, 1.47
+PLAIN = 400
+UNKNOWN, EVERY = "und", "*"
+HOT_SHARE = 1000  # a value is common when it is a thousandth of its population: at most so many for each statistic
 MAX_COMMON_WORDS = 100_000
 
 LONG_ITEM = 7  # words of a list item beyond which it reads as prose
@@ -47,12 +53,15 @@ MOJIBAKE = re.compile(r"[ÃÂâåçéäèæïðãê][\x80-\xbfŒ-Ÿˆ˜–-›
 WORD = re.compile(r"[^\W\d_]+")
 CJK = re.compile(r"[一-鿿]")
 ODD = re.compile(r"[←-⯿\U0001f000-\U0001faff�\x00-\x08\x0e-\x1f\x7f-\x9f-]")
-MARKS = re.compile(r"[|\t<&\\/+=_]|  |[,;]\S|^.[.)]|^\(")
+MARKS = re.compile(r"[|\t<&\\/+=_]|  |[,;]\S|^\w{1,5}[.)]\s|^\(")
+MARKER = re.compile(r"\s*([-*+•–—▪◦·‣>|#%;]|//)\s")
+INNER_END = re.compile(r"[^\W\d]{2}[.!?;] +\w")
 NO_DIGITS = str.maketrans("", "", "0123456789")
 NO_PUNCT = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
 LATIN1 = re.compile(r"[\x80-\xff]")
 PUNCT = re.compile(r"[^\w\s]")
 DIGIT = re.compile(r"\d")
+SIGNS = re.compile(r"[^\w\s]{4,}")
 RUN = re.compile(r"([^\w\s])\1{3,}")
 VOWEL = re.compile(r"[aeiouyäöüáéíóúàèâêîôûåæøœ]", re.I)
 NAV_SEP = re.compile(r"\s*(?:\||>|»|·|/|•|::)\s*|\s{2,}")
@@ -71,7 +80,7 @@ def line_forms(text: str) -> tuple[float, float, float, float, int]:
             kinds.append("code")
         elif fenced:
             kinds.append("code")
-        elif n > 60 and s[-1] in ".!?" and s[0].isupper() and not MARKS.search(x):
+        elif s[-1] in ".!?" and s[0].isupper() and not MARKS.search(x):
             kinds.append("prose")
         elif HEX.match(s) and not re.search(r"[g-zG-Z]{3}", s[:40]):
             kinds.append("hex")
@@ -102,6 +111,7 @@ def line_forms(text: str) -> tuple[float, float, float, float, int]:
             kinds.append("short")
         else:
             kinds.append("prose")
+    _unwrap(lines, kinds)
     size = Counter()
     k, m = 0, len(lines)
     while k < m:
@@ -134,6 +144,35 @@ def line_forms(text: str) -> tuple[float, float, float, float, int]:
     return size["list"] / body, size["table"] / body, size["hex"] / total, repeated, ended / len(lines)
 
 
+def _unwrap(lines: list[str], kinds: list[str]) -> None:
+    """Sentences that run on over lines, be it behind one mark on each (quotations, comments), are prose, not items."""
+    marks = [m.group(1) if (m := MARKER.match(x)) else "" for x in lines]
+    k, m = 0, len(lines)
+    while k < m:
+        e = k + 1
+        while e < m and marks[e] == marks[k] and (marks[k] or kinds[e] in ("short", "prose")):
+            e += 1
+        if e - k >= 3 and any(kinds[i] in ("list", "short") for i in range(k, e)):
+            run = [x.strip() for x in lines[k:e]]
+            open_ = 2 * sum(x[-1] in ".!?" for x in run) <= len(run)
+            inner = sum(bool(INNER_END.search(x)) for x in run)  # items end with their line
+            if open_ and (inner >= 2 and 8 * inner >= len(run) if marks[k] else inner) or _filled(run, marks[k]):
+                for i in range(k, e):
+                    if kinds[i] in ("list", "short"):
+                        kinds[i] = "prose"
+        k = e
+
+
+def _filled(run: list[str], mark: str) -> bool:
+    """Whether lines end where the next word would not fit any more."""
+    rest = [x[len(mark) :].split() for x in run]
+    if len(run) < 4 or sum(map(len, rest)) < 4.5 * len(run) or not all(rest):
+        return False
+    width = max(map(len, run))
+    fits = sum(len(a) + 1 + len(b[0]) <= width for a, b in zip(run, rest[1:]))
+    return 10 * fits <= len(run)
+
+
 def repetition(words: list[str]) -> float:
     """Share of word trigrams that are copies of an earlier one."""
     if len(words) < 12:
@@ -173,9 +212,9 @@ class Stats:
         odd = len(ODD.findall(text)) / solid
         moji = 0 if plain else len(MOJIBAKE.findall(text))
         latin1 = 0.0 if plain else len(LATIN1.findall(text)) / solid
-        runs = sum(len(m.group(0)) for m in RUN.finditer(text)) / solid if symbols > 0.1 else 0.0
-        # the mean token of spaced letters is one character long
-        single = sum(len(t) == 1 and t.isalpha() and not CJK.match(t) for t in tokens) / len(tokens) if tokens and solid < 2 * len(tokens) and tables < 0.5 else 0.0
+        runs = sum(len(r.group(0)) for m in SIGNS.findall(text) for r in RUN.finditer(m)) / solid
+        # counted letter by letter only where tokens of one character are many enough
+        single = sum(len(t) == 1 and t.isalpha() and not CJK.match(t) for t in tokens) / len(tokens) if tables < 0.5 and list(map(len, tokens)).count(1) > 0.6 * len(tokens) else 0.0
         again = repetition(tokens) if cjk <= 0.2 * solid else repetition(re.split(r"[,。,；;!?\s]+", text))
         bare = [w for w in counts if len(w) > 3] if share < 0.12 else []
         # letters that form no words: few vowels, or runs of consonants
@@ -192,9 +231,9 @@ class Stats:
             0.7 if n_words < 3 and cjk < 3 and solid > 12 else 0.0,
         )
         return {
-            "lang_found": best, "n_words": n_words, "mean_word_length": round(sum(map(len, words)) / (n_words or 1), 4), "symbol_ratio": round(symbols, 4),
-            "ended_lines": round(ended, 4), "common_share": round(share, 4), "list_share": round(lists, 4), "table_share": round(tables, 4), "junk_share": round(min(1.0, junk), 4),
-            "digit_ratio": round(digits, 4), "repeat_share": round(max(again, repeated), 4), "rare_words": round(max(0.0, 1 - share), 4), "open_lines": round(1 - ended, 4),
+            "lang_found": best, "n_words": n_words, "mean_word_length": sum(map(len, words)) / (n_words or 1), "symbol_ratio": symbols,
+            "ended_lines": ended, "common_share": share, "list_share": lists, "table_share": tables, "junk_share": min(1.0, junk),
+            "digit_ratio": digits, "repeat_share": max(again, repeated), "rare_words": max(0.0, 1 - share), "open_lines": 1 - ended,
         }
 
 
@@ -224,43 +263,49 @@ def document_stats(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
 
 def tail_probabilities(values: DataFrame, parts: int) -> DataFrame:
-    """Of (lang, stat, value) rows: lang, stat, value, tail = share of the language's rows with that value or more. Exact."""
+    """Of (lang, stat, value) rows: lang, stat, value, n, all, tail = share of the population, plain documents included, with that value or more. Exact."""
     counts = values.groupBy("lang", "stat", "value").agg(F.count("*").alias("n"))
-    placed = cut(counts.repartitionByRange(parts, "lang", "stat", "value").withColumn("part", F.spark_partition_id()))
+    # the population of texts in no known language is the whole corpus
+    pooled = counts.groupBy("stat", "value").agg(F.sum("n").alias("n")).select(F.lit(EVERY).alias("lang"), "stat", "value", "n")
+    placed = cut(counts.unionByName(pooled).repartitionByRange(parts, "lang", "stat", "value").withColumn("part", F.spark_partition_id()))
     sums = placed.groupBy("lang", "stat", "part").agg(F.sum("n").alias("s"))
     # one row for each partition that holds a piece of a language's statistic: bounded by parts, not by documents
     by = W.partitionBy("lang", "stat")
     offsets = sums.select("lang", "stat", "part", (F.sum("s").over(by.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(by).alias("all"))
     inside = W.partitionBy("lang", "stat", "part").orderBy("value")
     ranked = placed.withColumn("upto", F.sum("n").over(inside) - F.col("n"))
-    return ranked.join(offsets, ["lang", "stat", "part"]).select("lang", "stat", "value", (1 - (F.col("before") + F.col("upto")) / F.col("all")).alias("tail"))
+    plain = F.when(F.col("value") > 0, 0).otherwise(PLAIN)
+    tail = (F.col("all") - F.col("before") - F.col("upto") + plain) / (F.col("all") + PLAIN)
+    return ranked.join(offsets, ["lang", "stat", "part"]).select("lang", "stat", "value", "n", "all", tail.alias("tail"))
 
 
 def outliers(stats: DataFrame, parts: int | None = None) -> DataFrame:
-    """``stats`` with ``outlier``: the sum of -ln(tail) over the statistics. The least value of a statistic adds nothing."""
+    """``stats`` with ``outlier``: the sum of -ln(tail) over the statistics. A value of zero, the least, adds nothing."""
     parts = parts or max(8, stats.sparkSession.sparkContext.defaultParallelism)
     long = stats.where("n_words is not null").select(
         "doc_id", F.col("lang_found").alias("lang"),
         F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(k).alias("value")) for k in STATS])).alias("s"),
     ).select("doc_id", "lang", "s.stat", "s.value")
-    tails = tail_probabilities(long.select("lang", "stat", "value"), parts).where("tail < 1")
-    # the commonest value is nearly always the least, 0: those rows add nothing and need no join
-    scored = long.where("value > 0").join(tails, ["lang", "stat", "value"]).groupBy("doc_id").agg(F.sum(-F.log("tail")).alias("outlier"))
+    # zeros take part in the ranks
+    tails = cut(tail_probabilities(long.select("lang", "stat", "value"), parts))
+    mine = long.where("value > 0").withColumn("lang", F.when(F.col("lang") == UNKNOWN, EVERY).otherwise(F.col("lang")))
+    # a common value may stand in a third of all documents: the few common ones are broadcast, the rest are joined by a shuffle
+    hot = tails.where(F.col("n") * HOT_SHARE >= F.col("all")).select("lang", "stat", "value", F.col("tail").alias("hot"))
+    rest = tails.where(F.col("n") * HOT_SHARE < F.col("all")).select("lang", "stat", "value", "tail")
+    met = mine.join(F.broadcast(hot), ["lang", "stat", "value"], "left")
+    score = met.where("hot is not null").select("doc_id", F.col("hot").alias("tail")).unionAll(met.where("hot is null").join(rest, ["lang", "stat", "value"]).select("doc_id", "tail"))
+    scored = score.groupBy("doc_id").agg(F.sum(-F.log("tail")).alias("outlier"))
     return stats.join(scored, "doc_id", "left").withColumn("outlier", F.round(F.when(F.col("n_words").isNotNull(), F.coalesce("outlier", F.lit(0.0))), 6))
 
 
 def forms(scored: DataFrame) -> DataFrame:
     """``scored`` with ``form``: list, table, junk, prose, or null for blank texts."""
-    bonus = F.lit(OUTLIER_WEIGHT) * F.least("outlier", F.lit(OUTLIER_CAP)) / OUTLIER_CAP
     lists, tables, junk = F.col("list_share"), F.col("table_share"), F.col("junk_share")
-    structured = F.greatest(lists, tables)
+    structured = lists + tables
+    evidence = F.least(F.lit(1.0), F.greatest(structured, junk)) + F.least(F.col("outlier") / FULL, F.lit(1.0))
     form = (
-        F.when(F.col("n_words").isNull(), F.lit(None).cast("string"))
-        .when((junk + bonus >= 0.55) & (junk >= structured - 0.05), "junk")
-        .when((lists + tables + bonus >= ENOUGH + OUTLIER_WEIGHT / 2) & (tables >= lists), "table")
-        .when(lists + tables + bonus >= ENOUGH + OUTLIER_WEIGHT / 2, "list")
-        .when(junk + bonus >= 0.55, "junk")
-        .otherwise("prose")
+        F.when(F.col("n_words").isNull(), F.lit(None).cast("string")).when(evidence < LIMIT, "prose")
+        .when(junk >= F.greatest(lists, tables) - 0.05, "junk").when(tables >= lists, "table").otherwise("list")
     )
     return scored.withColumn("form", form)
 

@@ -313,4 +313,26 @@ def test_tail_probabilities_are_exact(spark):
     got = {(r.lang, r.stat, r.value): r.tail for r in quality.tail_probabilities(spark.createDataFrame(rows, "lang string, stat string, value double"), 5).collect()}
     for key in set(rows):
         same = [v for a, b, v in rows if (a, b) == key[:2]]
-        assert abs(got[key] - sum(v >= key[2] for v in same) / len(same)) < 1e-12
+        plain = quality.PLAIN
+        assert abs(got[key] - (sum(v >= key[2] for v in same) + plain * (key[2] <= 0)) / (len(same) + plain)) < 1e-12
+        pooled = [v for _, b, v in rows if b == key[1]]
+        assert abs(got[quality.EVERY, *key[1:]] - (sum(v >= key[2] for v in pooled) + plain * (key[2] <= 0)) / (len(pooled) + plain)) < 1e-12
+
+
+def test_quoted_prose_is_no_list():
+    words = (PROSE * 3).split()
+    lines, cur = [], ""
+    for w in words:
+        if len(cur) + len(w) > 44:
+            lines.append(cur.strip())
+            cur = ""
+        cur += w + " "
+    for mark in ("> ", "* ", "# ", ""):
+        assert quality.line_forms("\n".join(mark + x for x in lines))[0] < 0.1, mark
+    assert quality.line_forms("* one cold frame\n* two ledgers of the silo\n* three drops\n* four long lanes")[0] > 0.9
+
+
+def test_score_and_structure_decide_together(spark):
+    rows = [(1, 1.0, 0.0), (2, 1.0, 9.0), (3, 0.2, 9.0), (4, 0.6, 5.5)]
+    df = spark.createDataFrame([(k, 3, e, 0.0, 0.0, o) for k, e, o in rows], "doc_id long, n_words long, list_share double, table_share double, junk_share double, outlier double")
+    assert {r.doc_id: r.form for r in quality.forms(df).collect()} == {1: "prose", 2: "list", 3: "prose", 4: "list"}
