@@ -33,7 +33,12 @@ def p1_paths(spark, d):
 
 
 def p1_descendants(spark, d):
-    return _ungroup(H.descendants(H.paths(_links(spark, d))), F.col("node").alias("qname"), "descendant", "distance")
+    return _ungroup(H.descendants(_links(spark, d)), F.col("node").alias("qname"), "descendant", "distance")
+
+
+def p1_contracted(spark, d):
+    """The nodes of p1_found with contraction to the end: no reduced graph is solved in one step."""
+    return _ungroup(H.cycle_nodes(_links(spark, d), 0), F.col("node").alias("qname"))
 
 
 def _orphans(spark, d):
@@ -48,7 +53,7 @@ def p6_report(spark, d):
     return O.orphan_report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_contracted, p1_paths, p1_descendants, p6_found, p6_report)}
 
 _LINKS = """links AS (
   SELECT DISTINCT 'inheritance' AS hierarchy, repo_name, type_qname AS child, base_qname AS parent FROM inheritance WHERE type_qname IS NOT NULL AND base_qname IS NOT NULL
@@ -91,8 +96,14 @@ ORACLES = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT hierarchy, repo_name, qname FROM cyc",
     "p1_paths": _CHAINS + """ SELECT w.hierarchy, w.repo_name, w.qname, w.path, w.depth, w.root, c.qname IS NOT NULL AS root_on_cycle, (c.qname IS NOT NULL AND w.depth = 0) AS on_cycle
   FROM whole w LEFT JOIN cyc c ON c.hierarchy = w.hierarchy AND c.repo_name = w.repo_name AND c.qname = w.root""",
-    "p1_descendants": _CHAINS + """, pairs AS (SELECT hierarchy, repo_name, qname AS descendant, depth, unnest(ns) AS qname, unnest(range(depth + 1)) AS pos FROM whole)
-  SELECT hierarchy, repo_name, qname, descendant, CAST(min(depth - pos) AS INTEGER) AS distance FROM pairs WHERE pos < depth GROUP BY ALL""",
+    "p1_contracted": f"WITH RECURSIVE {_LINKS} SELECT hierarchy, repo_name, qname FROM cyc",
+    # simple ways up, and back to their start; the shortest way between two nodes is one of them
+    "p1_descendants": f"""WITH RECURSIVE {_LINKS}, ways AS (
+  SELECT hierarchy, repo_name, child AS descendant, parent AS qname, 1 AS distance, [child, parent] AS seen FROM links
+  UNION ALL
+  SELECT w.hierarchy, w.repo_name, w.descendant, l.parent, w.distance + 1, list_append(w.seen, l.parent) FROM ways w JOIN links l ON l.hierarchy = w.hierarchy AND l.repo_name = w.repo_name AND l.child = w.qname
+  WHERE w.descendant <> w.qname AND (NOT list_contains(w.seen, l.parent) OR l.parent = w.descendant)
+) SELECT hierarchy, repo_name, qname, descendant, min(distance) AS distance FROM ways GROUP BY ALL""",
     "p6_found": _P6 + " SELECT ref_field, row_key, kind FROM o WHERE kind IS NOT NULL",
     "p6_report": _P6 + " SELECT ref_field, strftime(ref_at, '%Y-%m') AS month, kind, count(*) AS n FROM o WHERE kind IS NOT NULL GROUP BY 1, 2, 3",
 }

@@ -51,14 +51,40 @@ def test_cycles_against_brute_force(spark, bound):
     assert got == brute_cycles(rows)[0]
 
 
-def test_paths_and_descendants_against_brute_force(spark):
+def test_paths_against_brute_force(spark):
     rows = [(g, c, p) for g, c, p in sample(5) if not (g == "a" and int(c[1:]) < 22)]
     want = brute_paths(rows)
     paths = H.paths(spark.createDataFrame(rows, SCHEMA)).cache()
     assert sorted((r.grp, r.node, tuple(r.path)) for r in paths.collect()) == want
     assert all(r.depth == len(r.path) - 1 and r.root == r.path[0] for r in paths.collect())
-    pairs = {(g, x, n) for g, n, path in want for x in path[:-1]}
-    assert {(r.grp, r.node, r.descendant) for r in H.descendants(paths).collect()} == pairs
+
+
+def brute_pairs(rows):
+    up = brute_cycles(rows)[1]
+    out = {}
+    for s in up:
+        front, d = set(up[s]), 1
+        while front:
+            for x in front:
+                out[x[0], x[1], s[1]] = d
+            front, d = {y for x in front for y in up.get(x, ()) if (y[0], y[1], s[1]) not in out}, d + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 8])
+def test_descendants_through_cycles_against_brute_force(spark, seed):
+    rows = sample(seed)
+    got = {(r.grp, r.node, r.descendant): r.distance for r in H.descendants(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_pairs(rows)
+
+
+def test_shared_codes_are_dealt_again(spark, monkeypatch):
+    # the first seed gives every node of a group one code
+    monkeypatch.setattr(H, "_code", lambda name, seed: F.xxhash64("grp", name, F.lit(seed)) if seed else F.xxhash64("grp"))
+    rows = sample(3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in H.cycle_nodes(df).collect()} == brute_cycles(rows)[0]
+    assert H.paths(df.where("grp = 'b'")).count() == len(brute_paths([r for r in rows if r[0] == "b"]))
 
 
 def test_nulls_repeats_extra_columns_and_empty_tables(spark):
@@ -67,4 +93,4 @@ def test_nulls_repeats_extra_columns_and_empty_tables(spark):
     assert links.count() == 2
     assert {r.node for r in H.cycle_nodes(links).collect()} == {"x", "y"}
     none = spark.createDataFrame([], SCHEMA)
-    assert H.cycle_nodes(none).count() == 0 and H.paths(none).count() == 0
+    assert H.cycle_nodes(none).count() == 0 and H.paths(none).count() == 0 and H.descendants(none).count() == 0
