@@ -1,17 +1,19 @@
 """Files that were not written by hand in their repository: generated, minified, data, vendored.
 
-1. Token-composition rules look at one file: the leading comment, the share of numbered definitions, line lengths,
-   literals against names, lock files, record dumps, and directories that hold third-party code.
-2. For the rest, an inverted index of rare line hashes (hashes of three consecutive lines, blank and trivial lines left
-   out) finds copies from other repositories: each hash names one file of its first and one of its last repository (by
-   hash order), so every file gets a partner in another repository without any pairs within a hash. The partner that
-   holds most of a file's rarest hashes is verified by exact containment. Files whose partner fails are counted against
-   all files of other repositories: files that share the same of their hashes are one, and a file that holds enough of
-   another one must hold one of its rarest hashes, so that only those make pairs.
+1. An inverted index of line hashes (hashes of three consecutive lines, blank and trivial lines left out) finds copies from
+   other repositories. Each hash names one file of its first and one of its last repository (in the order of their codes),
+   so every file gets a partner in another repository without any pairs within a hash; a file's rarest hashes weigh most
+   in the choice. The partner is verified by exact containment. Files whose partner fails are counted against all files
+   of other repositories: files that share the same of their hashes are one, and a file that holds enough of another one
+   must hold one of its rarest hashes, so that only those make pairs.
+2. For the rest, rules over the composition of a file: its tokens by kind (names, literals and their characters, numbered
+   definitions, line lengths), the marks of its leading comment, lock files, record dumps, and directories that hold
+   third-party code.
 3. A library's own files, in the repository of its name, are no copies.
 
 Null contents and null paths give no case; an empty file is none. Repeated rows count once per file key. A hash that a
 third of all files share costs one row per file and no pair, unless it is among the rarest of a file whose partner fails.
+Fewer than ``LEAST_HASHES`` hashes are no evidence of a copy.
 """
 
 from __future__ import annotations
@@ -25,22 +27,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sorrel.plans.runtime import cut, spread
+from sorrel.plans.runtime import cut, is_empty, spread
 
 SHARED = 0.6  # of a file's line hashes in other repositories
 CONTAINED = 0.5  # of a file's line hashes in its partner
-LEAST_LINES = 5
+LEAST_HASHES = 5
 
 VENDOR_DIR = re.compile(r"(?:^|/)(?:node_modules|third[_-]?party|vendor|vendored|_vendor|bower_components|site-packages|external_libs|jspm_packages)/|(?:^|/)(?:deps|externals?|contrib)/[\w.-]+[_-]v?\d+(?:\.\d+)+/")
 VENDOR_NAME = re.compile(r"(?:^|/)(?:node_modules|vendor|vendored|_vendor|bower_components|site-packages)/(?:@[\w-]+/)?([\w-]+)/|(?:^|/)deps/([\w]+?)[_-]v?\d+(?:\.\d+)+/|(?:^|/)third[_-]?party/(?:[\w-]+/)*?([\w-]+)/[^/]+$")
 PART_OF = re.compile(r"\b(?:part of|[Cc]opied from|[Vv]endored from|[Tt]aken from|[Ff]orked from)\s+([\w-]+)\s+v?\d+(?:\.\d+)+|\b[Cc]opied from ([\w-]+)[ ,]")
 COPIED = re.compile(r"\b(?:copied|vendored|taken verbatim|forked|imported) from\s+([\w.-]+)\s+v?\d", re.I)
+# fixed values: what tools write into the files they make
 GENERATED = re.compile(
-    r"@generated\b|\bauto-?\s?generated\b|\b(?:code|file|module|stubs?|sources?|this) (?:is |was |were |has been )?(?:automatically |auto-?)?generated\b|\bgenerated (?:automatically|by|from|with|using)\b|\bdo not (?:edit|modify)\b|"
-    r"\bmachine[ -](?:written|generated|made)\b|\bproduced by\b.*\b(?:do not|don't)\b|\boutput, regenerate with\b|\bregenerate with\b|\bchanges will be (?:lost|overwritten)\b|\bwritten by the \w+ tool\b|\bautomatisch (?:erzeugt|generiert)\b|"
+    r"@generated\b|\bauto-?\s?generated\b|\b(?:automatically|machine)[ -](?:written|generated|made)\b|\bgenerated automatically\b|\bdo not (?:edit|modify)\b|"
+    r"\bproduced by\b.*\b(?:do not|don't)\b|\boutput, regenerate with\b|\bregenerate with\b|\bchanges will be (?:lost|overwritten)\b|\bwritten by the \w+ tool\b|\bautomatisch (?:erzeugt|generiert)\b|"
     r"\bgenerad[oa] autom[aá]ticamente\b|\bgénéré automatiquement\b|自动生成|\block ?file\b.*\bdo not\b", re.I)
+# says little by itself: a version, a file, a command or a tool's name in capitals must stand beside it
+MADE = re.compile(r"\bgenerated (?:by|from|with|using)\b[^\n]*?(?:\bv?\d+(?:\.\d+)+|\b[\w-]+\.[a-z]\w{1,8}\b|`[^`\n]+`|\b\w+[-_/]\w+)", re.I)
 LOCK_NAME = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|shrinkwrap\.json|yarn\.lock|pnpm-lock\.ya?ml|poetry\.lock|pipfile\.lock|cargo\.lock|composer\.lock|gemfile\.lock|uv\.lock|pdm\.lock|[\w.-]+\.lock)$", re.I)
 MIN_NAME = re.compile(r"[.-](?:min|bundle|chunk|packed)\.(?:js|mjs|cjs)$|\.[0-9a-f]{8,}\.(?:js|mjs)$|_pb2(?:_grpc)?\.py$", re.I)
+BUILT = re.compile(r"[.-](?:min|bundle|chunk)\.")
 NUMBERED = re.compile(r"^\s*(?:async\s+)?(?:def|class|function|static|const|let|var)?\s*[A-Za-z_]\w*?_?(\d+)\s*(?:\(|=|:)", re.M)
 DEFINED = re.compile(r"^\s*(?:async\s+)?(?:def|class|function)\s+(\w+)", re.M)
 LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b\d[\w.]*")
@@ -89,18 +95,6 @@ def _lock(path: str, content: str) -> bool:
     return False
 
 
-def _minified(path: str, content: str) -> bool:
-    if not path.endswith((".js", ".mjs", ".cjs")):
-        return False
-    lines = [x for x in content.split("\n") if x.strip() and not x.lstrip().startswith(("//", "/*"))]
-    body = sum(map(len, lines))
-    if not lines or body < 200:
-        return False
-    longest = max(map(len, lines))
-    space = sum(x.count(" ") for x in lines) / body
-    return longest >= 400 and longest >= 0.5 * body and space < 0.12 or body / len(lines) > 180 and space < 0.12
-
-
 def _numbered(content: str) -> bool:
     """Definitions named by a running number."""
     defs = DEFINED.findall(content)
@@ -110,23 +104,19 @@ def _numbered(content: str) -> bool:
     return len(marked) >= 0.8 * len(defs) and len({re.sub(r"^.*?(\d+)$", r"\1", d) for d in marked}) >= 2
 
 
-def _data(path: str, content: str) -> bool:
-    """Literals instead of code."""
-    if path.endswith(".json"):
-        return _records(content)
-    if not path.endswith((".py", ".js", ".mjs", ".cjs")):
-        return False
+def _tokens(path: str, content: str) -> dict[str, int]:
+    """Tokens of the code by kind, comments left out; a docstring is an empty literal unless it holds hardly any words."""
     code = re.sub(r"^\s*(?:#|//).*$", "", content, flags=re.M)
     if path.endswith(".py"):
-        code = re.sub(r'("""|\'\'\')[\s\S]*?\1', lambda m: '""' if len(m.group(0)) < 400 or m.group(0).count(" ") > len(m.group(0)) / 12 else m.group(0), code)
-    size = len(re.sub(r"\s", "", code)) or 1
-    if size < 300:
-        return False
-    lits = LITERAL.findall(code)
-    mass = sum(map(len, lits))
-    bare = LITERAL.sub("", code)
-    names = len(NAME.findall(bare))
-    return len(lits) >= 40 and mass > 0.5 * size and names < 0.12 * len(lits) or len(lits) >= 8 and mass > 0.8 * size and names < 0.3 * len(lits) or max(map(len, lits), default=0) > 800 and mass > 0.85 * size and names < 40
+        code = re.sub(r'("""|\'\'\')[\s\S]*?\1', lambda m: '""' if m.group(0).count(" ") > len(m.group(0)) / 12 else m.group(0), code)
+    literals = LITERAL.findall(code)
+    sizes = list(map(len, literals))
+    return {"names": len(NAME.findall(LITERAL.sub("", code))), "literals": len(literals), "literal_chars": sum(sizes), "longest_literal": max(sizes, default=0), "solid": len(re.sub(r"\s", "", code))}
+
+
+def _lines(content: str) -> dict[str, int]:
+    lines = [x for x in content.split("\n") if x.strip() and not x.lstrip().startswith(("//", "/*"))]
+    return {"lines": len(lines), "body": sum(map(len, lines)), "longest_line": max(map(len, lines), default=0), "blanks": sum(x.count(" ") for x in lines)}
 
 
 def _records(content: str) -> bool:
@@ -176,95 +166,140 @@ def library(path: str, head: str) -> str | None:
     return next((g for g in m.groups() if g), None) if m else None
 
 
-def verdict(path: str | None, repo: str | None, content: str | None) -> str | None:
-    """Why the file alone is no hand-written one: vendored, generated, minified, data; or None."""
-    if not path or not content or not content.strip():
-        return None
+FLAGS = ("blank", "vendor_dir", "names_library", "copied", "made", "lock", "built_name", "numbered", "records")
+COUNTS = ("names", "literals", "literal_chars", "longest_literal", "solid", "lines", "body", "longest_line", "blanks")
+
+
+def composition(path: str, content: str) -> dict:
+    """What the rules look at, of one file."""
+    out: dict = dict.fromkeys(FLAGS, False) | dict.fromkeys(COUNTS, 0) | {"library": None}
+    if not content.strip():
+        return out | {"blank": True}
     head = leading_comment(content)
-    lib = library(path, head)
-    if (VENDOR_DIR.search(path) or COPIED.search(head)) and not (lib and lib == repo):
-        return "vendored"
-    if lib and lib != repo and PART_OF.search(head):
-        return "vendored"
-    if GENERATED.search(head) or MIN_NAME.search(path) or _lock(path, content):
-        return "generated" if not re.search(r"[.-](?:min|bundle|chunk)\.", path) else "minified"
-    if path.endswith(".py") and _numbered(content):
-        return "generated"
-    if _minified(path, content):
-        return "minified"
-    if _data(path, content):
-        return "data"
-    return None
+    out |= {
+        "library": library(path, head), "vendor_dir": bool(VENDOR_DIR.search(path)), "names_library": bool(PART_OF.search(head)), "copied": bool(COPIED.search(head)),
+        "made": bool(GENERATED.search(head) or MADE.search(head)), "lock": _lock(path, content), "built_name": bool(MIN_NAME.search(path)),
+    }
+    script = path.endswith((".js", ".mjs", ".cjs"))
+    if path.endswith(".json"):
+        out["records"] = _records(content)
+    elif script or path.endswith(".py"):
+        out |= _tokens(path, content)
+    if path.endswith(".py"):
+        out["numbered"] = _numbered(content)
+    if script:
+        out |= _lines(content)
+    return out
+
+
+def ruled(rest: DataFrame) -> DataFrame:
+    """file_key, reason (vendored, generated, minified, data) of files by their composition alone."""
+    c = lambda name: F.col("of")[name]
+    foreign = c("library").isNull() | F.col("repo_name").isNull() | (c("library") != F.col("repo_name"))
+    small_space = c("blanks") < 0.12 * c("body")
+    minified = small_space & (((c("longest_line") >= 400) & (2 * c("longest_line") >= c("body"))) | (c("body") > 180 * c("lines")))
+    mass, n, names = c("literal_chars") / F.greatest(c("solid"), F.lit(1)), c("literals"), c("names")
+    data = ((n >= 40) & (mass > 0.5) & (names < 0.12 * n)) | ((n >= 8) & (c("solid") >= 300) & (mass > 0.8) & (names < 0.3 * n)) | ((c("longest_literal") > 800) & (mass > 0.85) & (names < 40))
+    reason = (
+        F.when(c("blank"), F.lit(None).cast("string"))
+        .when((c("vendor_dir") | c("copied") | (c("names_library") & c("library").isNotNull())) & foreign, "vendored")
+        .when(c("made") | c("built_name") | c("lock"), F.when(c("built"), "minified").otherwise("generated"))
+        .when(c("numbered"), "generated").when((c("lines") > 0) & minified, "minified").when(c("records") | data, "data")
+    )
+    return rest.withColumn("reason", reason).where("reason is not null").select("file_key", "reason")
 
 
 def line_hashes(content: str) -> list[int]:
-    """Distinct hashes of three consecutive lines that say something."""
+    """Distinct hashes of three consecutive lines that say something, in order."""
     lines = [s for s in (x.strip() for x in content.split("\n")) if len(s) >= 4 and not s.startswith(("import ", "from "))]
     found = {"\n".join(w) for w in zip(lines, lines[1:], lines[2:])}
-    return [int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for w in found]
+    return sorted(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for w in found)
+
+
+SCHEMA = "struct<" + ",".join(f"{f}:boolean" for f in (*FLAGS, "built")) + "," + ",".join(f"{c}:int" for c in COUNTS) + ",library:string>"
 
 
 def examined(files: DataFrame) -> DataFrame:
-    """file_key, repo_name, library, verdict, hashes of each distinct row."""
-    schema = "file_key string, repo_name string, library string, verdict string, hashes array<long>"
+    """file_key, repo_name, library, of (the composition), hashes of each row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kind = pa.struct([*((f, pa.bool_()) for f in (*FLAGS, "built")), *((c, pa.int32()) for c in COUNTS), ("library", pa.string())])
         for batch in batches:
             keys, repos, paths, contents = (batch.column(k).to_pylist() for k in range(4))
-            verdicts = [verdict(p, r, c) for p, r, c in zip(paths, repos, contents)]
-            libs = [library(p, leading_comment(c)) for p, c in zip(paths, contents)]
+            parts = [composition(p, c) | {"built": bool(BUILT.search(p))} for p, c in zip(paths, contents)]
             yield pa.record_batch(
-                [pa.array(keys, pa.string()), pa.array(repos, pa.string()), pa.array(libs, pa.string()), pa.array(verdicts, pa.string()), pa.array([line_hashes(c) for c in contents], pa.list_(pa.int64()))],
-                names=["file_key", "repo_name", "library", "verdict", "hashes"])
+                [pa.array(keys, pa.string()), pa.array(repos, pa.string()), pa.array([x["library"] for x in parts], pa.string()), pa.array(parts, kind), pa.array([line_hashes(c) for c in contents], pa.list_(pa.int64()))],
+                names=["file_key", "repo_name", "library", "of", "hashes"])
+
+    return spread(files.where("content is not null and path is not null").select("file_key", "repo_name", "path", "content")).mapInArrow(run, f"file_key string, repo_name string, library string, of {SCHEMA}, hashes array<long>")
 
-    return spread(files.where("content is not null and path is not null").select("file_key", "repo_name", "path", "content")).mapInArrow(run, schema)
+
+def _repository_seed(seen: DataFrame) -> int:
+    """A seed with which no two repositories have one code."""
+    names, seed = cut(seen.select("repo").distinct()), 0
+    while not is_empty(names.groupBy(F.xxhash64("repo", F.lit(seed))).count().where("count > 1")):
+        seed += 1
+    return seed
 
 
 def copies(seen: DataFrame) -> DataFrame:
-    """file_key, partner, contained: files held by a file of another repository. ``seen``: rows of ``examined``."""
-    post = cut(seen.select("file_key", F.coalesce("repo_name", F.lit("")).alias("repo"), "library", F.explode("hashes").alias("h")).dropDuplicates(["file_key", "h"]))
-    place = F.struct(F.xxhash64("repo").alias("o"), F.col("repo"), F.col("file_key"))
-    index = post.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("df"), F.max("library").alias("lib")).where("lo.repo <> hi.repo")
-    hits = post.join(index, "h").select(
-        "file_key", "repo", "h", "df", F.coalesce(index["lib"], F.lit("")).alias("lib"), F.when(F.col("lo.repo") != F.col("repo"), F.col("lo.file_key")).otherwise(F.col("hi.file_key")).alias("partner"))
+    """file_key, partner, contained: files held by a file of another repository. ``seen``: file_key, repo_name, library, hashes.
+
+    Distinct rows of one key are judged each; equal rows are one."""
+    rows = cut(seen.select("file_key", F.coalesce("repo_name", F.lit("")).alias("repo"), "library", "hashes").distinct().withColumn("file", F.monotonically_increasing_id()))
+    seed = _repository_seed(rows)
+    coded = rows.select("file", F.xxhash64("repo", F.lit(seed)).alias("origin"), "library", "hashes")
+    post = coded.select("file", "origin", "library", F.explode("hashes").alias("h"))
+    place = F.struct("origin", "file")
+    index = post.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("df"), F.max("library").alias("lib")).where("lo.origin <> hi.origin")
+    hits = post.select("file", "origin", "h").join(index, "h").select("file", "df", F.coalesce("lib", F.lit("")).alias("lib"), F.when(F.col("lo.origin") != F.col("origin"), F.col("lo.file")).otherwise(F.col("hi.file")).alias("partner"))
     # pre-aggregated by file and partner; a file's rarest hashes weigh most in the choice of its partner
-    by = hits.groupBy("file_key", "repo", "partner", "lib").agg(F.count("*").alias("n"), F.sum(1 / F.col("df")).alias("w"))
-    top = by.groupBy("file_key", "repo").agg(F.sum("n").alias("shared"), F.max_by("partner", F.struct("w", "partner")).alias("partner"), F.max_by("lib", F.struct("n", "lib")).alias("lib"))
-    sizes = post.groupBy("file_key").agg(F.count("*").alias("size"))
-    likely = cut(top.join(sizes, "file_key").where((F.col("size") >= LEAST_LINES) & (F.col("shared") >= SHARED * F.col("size")) & (F.col("lib") != F.col("repo"))))
-    mine = post.join(likely.select("file_key", "partner", "size"), "file_key").select("file_key", "partner", "size", "h")
-    theirs = post.join(likely.select(F.col("partner").alias("file_key")).distinct(), "file_key", "left_semi").select(F.col("file_key").alias("partner"), "h")
-    held = cut(mine.join(theirs, ["partner", "h"]).groupBy("file_key", "partner", "size").agg(F.count("*").alias("n")).where(F.col("n") >= CONTAINED * F.col("size")).select("file_key", "partner", (F.col("n") / F.col("size")).alias("contained")))
-    return held.unionAll(elsewhere(post, cut(likely.join(held, "file_key", "left_anti").select("file_key", "size"))))
+    by = hits.groupBy("file", "partner", "lib").agg(F.count("*").alias("n"), F.sum(1 / F.col("df")).alias("w"))
+    top = by.groupBy("file").agg(F.sum("n").alias("shared"), F.max_by("partner", F.struct("w", "partner")).alias("partner"), F.max_by("lib", F.struct("n", "lib")).alias("lib"))
+    size = F.size("hashes")
+    likely = cut(top.join(rows, "file").where((size >= LEAST_HASHES) & (F.col("shared") >= SHARED * size) & (F.col("lib") != F.col("repo"))).select("file", "file_key", "hashes", "partner"))
+    theirs = rows.select(F.col("file").alias("partner"), F.col("file_key").alias("partner_key"), F.col("hashes").alias("held"))
+    share = F.size(F.array_intersect("hashes", "held")) / size
+    tried = cut(likely.join(theirs, "partner").select("file", "file_key", size.alias("size"), F.col("partner_key").alias("partner"), share.alias("contained")))
+    held = tried.where(F.col("contained") >= CONTAINED).select("file_key", "partner", "contained")
+    failed = tried.where(F.col("contained") < CONTAINED).select("file", "size")
+    if is_empty(failed):
+        return held
+    names = rows.select("file", "file_key")
+    other = elsewhere(cut(post.select("file", "origin", "h")), failed)
+    other = other.join(names, "file").join(names.select(F.col("file").alias("partner"), F.col("file_key").alias("partner_key")), "partner")
+    return held.unionAll(other.select("file_key", F.col("partner_key").alias("partner"), "contained"))
 
 
 def elsewhere(post: DataFrame, failed: DataFrame) -> DataFrame:
-    """file_key, partner, contained of those of the failed files that any file of another repository holds."""
-    near = cut(post.join(post.join(failed, "file_key", "left_semi").select("h").distinct(), "h", "left_semi").select("file_key", "repo", "h"))
+    """file, partner, contained of those of the failed files that any file of another repository holds."""
+    near = cut(post.join(post.join(failed, "file", "left_semi").select("h").distinct(), "h", "left_semi").select("file", "origin", "h"))
     # files with the same of these hashes are one set, named by one of them
-    signed = near.groupBy("file_key", "repo").agg(F.count("*").alias("c"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
-    place = F.struct("repo", "file_key")
-    sets = cut(signed.groupBy("c", "x", "y").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("file_key").alias("set")))
-    hashes = cut(near.join(sets.select(F.col("set").alias("file_key")), "file_key", "left_semi").select(F.col("file_key").alias("set"), "h"))
+    signed = near.groupBy("file", "origin").agg(F.count("*").alias("c"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
+    place = F.struct("origin", "file")
+    sets = cut(signed.groupBy("c", "x", "y").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("file").alias("set")))
+    hashes = cut(near.join(sets.select(F.col("set").alias("file")), "file", "left_semi").select(F.col("file").alias("set"), "h"))
     others = hashes.withColumnRenamed("set", "other")
-    asked = cut(signed.join(failed, "file_key").join(sets, ["c", "x", "y"]).select("file_key", "repo", "size", "set"))
-    wanted = asked.select("set", "repo", "size").distinct()
+    asked = cut(signed.join(failed, "file").join(sets, ["c", "x", "y"]).select("file", "origin", "size", "set"))
+    wanted = asked.select("set", "origin", "size").distinct()
     # all but the last need - 1 hashes, rarest first: who holds enough holds one of them
     rank = F.row_number().over(W.partitionBy("set").orderBy("df", "h"))
     rare = hashes.join(wanted.select("set", "size").distinct(), "set").join(hashes.groupBy("h").agg(F.count("*").alias("df")), "h").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(CONTAINED * F.col("size")) + 1)
-    partner = F.when(F.col("lo.repo") != F.col("repo"), F.col("lo.file_key")).when(F.col("hi.repo") != F.col("repo"), F.col("hi.file_key"))
+    partner = F.when(F.col("lo.origin") != F.col("origin"), F.col("lo.file")).when(F.col("hi.origin") != F.col("origin"), F.col("hi.file"))
     pairs = rare.select("set", "h").join(others, "h").select("set", "other").distinct().join(wanted, "set").join(sets.select(F.col("set").alias("other"), "lo", "hi"), "other").withColumn("partner", partner).where("partner is not null")
-    counted = pairs.select("set", "repo", "size", "other", "partner").join(hashes, "set").join(others, ["other", "h"]).groupBy("set", "repo", "size", "partner").agg(F.count("*").alias("n")).where(F.col("n") >= CONTAINED * F.col("size"))
-    best = counted.groupBy("set", "repo").agg(F.max(F.struct("n", "partner")).alias("best"))
-    return asked.join(best, ["set", "repo"]).select("file_key", F.col("best.partner").alias("partner"), (F.col("best.n") / F.col("size")).alias("contained"))
+    counted = pairs.select("set", "origin", "size", "other", "partner").join(hashes, "set").join(others, ["other", "h"]).groupBy("set", "origin", "size", "partner").agg(F.count("*").alias("n")).where(F.col("n") >= CONTAINED * F.col("size"))
+    best = counted.groupBy("set", "origin").agg(F.max(F.struct("n", "partner")).alias("best"))
+    return asked.join(best, ["set", "origin"]).select("file", F.col("best.partner").alias("partner"), (F.col("best.n") / F.col("size")).alias("contained"))
 
 
 def foreign_files(files: DataFrame) -> DataFrame:
-    """file_key, reason of each file that was not written by hand in its repository (one row per key)."""
+    """file_key, reason of each file that was not written by hand in its repository (one row per key).
+
+    The index comes first; the rules see what it leaves."""
     seen = cut(examined(files))
-    ruled = seen.where("verdict is not null").select("file_key", F.col("verdict").alias("reason"))
     own = seen.where(F.col("library") == F.col("repo_name")).select("file_key")
-    copied = copies(seen).select("file_key", F.lit("vendored").alias("reason")).join(own, "file_key", "left_anti")
-    return ruled.unionAll(copied).groupBy("file_key").agg(F.min("reason").alias("reason"))
+    copied = cut(copies(seen).select("file_key").distinct().join(own, "file_key", "left_anti"))
+    left = ruled(seen.select("file_key", "repo_name", "of").join(copied, "file_key", "left_anti"))
+    return copied.withColumn("reason", F.lit("vendored")).unionAll(left.groupBy("file_key").agg(F.min("reason").alias("reason")))

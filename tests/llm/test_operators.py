@@ -110,7 +110,7 @@ def test_foreign_files(spark):
 
 
 def seen_frame(spark, rows):
-    return spark.createDataFrame([(k, r, None, None, list(h)) for k, r, h in rows], "file_key string, repo_name string, library string, verdict string, hashes array<long>")
+    return spark.createDataFrame([(k, r, None, list(h)) for k, r, h in rows], "file_key string, repo_name string, library string, hashes array<long>")
 
 
 def test_copies_whose_partner_fails(spark):
@@ -126,7 +126,7 @@ def test_copies_are_those_of_all_pairs(spark):
     expected = set()
     for k, r, h in rows:
         other = [set(g) for _, q, g in rows if q != r]
-        if len(h) >= foreign.LEAST_LINES and len(set(h) & set().union(*other)) >= foreign.SHARED * len(h) and any(len(set(h) & g) >= foreign.CONTAINED * len(h) for g in other):
+        if len(h) >= foreign.LEAST_HASHES and len(set(h) & set().union(*other)) >= foreign.SHARED * len(h) and any(len(set(h) & g) >= foreign.CONTAINED * len(h) for g in other):
             expected.add(k)
     got = foreign.copies(seen_frame(spark, rows)).collect()
     held, repo = {k: set(h) for k, _, h in rows}, {k: r for k, r, _ in rows}
@@ -134,13 +134,24 @@ def test_copies_are_those_of_all_pairs(spark):
     assert all(repo[r.file_key] != repo[r.partner] and r.contained == len(held[r.file_key] & held[r.partner]) / len(held[r.file_key]) for r in got)
 
 
-def test_marks_far_from_the_start():
+def test_marks_far_from_the_start(spark):
     licence = "".join(f"# Line {k} of a licence.\n" for k in range(60))
-    assert foreign.verdict("a/x.py", "a", licence + "# Code generated by t. DO NOT EDIT.\nx = 1\n") == "generated"
-    assert foreign.verdict("a/x.py", "a", licence + "x = 1\n# Code generated by t. DO NOT EDIT.\n") is None
     far = '{"name": "n", "deps": {"x": "' + "y" * 500 + '"}, "lockfileVersion"'
-    assert foreign.verdict("a/p.json", "a", far + ": 3}") == "generated" and foreign.verdict("a/p.json", "a", far + ": 3, ") == "generated"
-    assert foreign.verdict("a/p.json", "a", '{"a": {"lockfileVersion": 1}}') is None and foreign.verdict("a/p.json", "a", '{"a": "lockfileVersion"}') is None
+    rows = [
+        ("a/x.py", licence + "# Code generated by t. DO NOT EDIT.\nx = 1\n", "generated"), ("a/y.py", licence + "x = 1\n# Code generated by t. DO NOT EDIT.\n", None),
+        ("a/p.json", far + ": 3}", "generated"), ("a/q.json", far + ": 3, ", "generated"), ("a/r.json", '{"a": {"lockfileVersion": 1}}', None), ("a/s.json", '{"a": "lockfileVersion"}', None),
+        ("a/love.py", "# This module is generated with love\nx = 1\n", None), ("a/tool.py", "# Generated by protoc-gen 3.1.2 from the api\nx = 1\n", "generated"), ("a/few.py", "X = [" + "12345," * 45 + "]\n", "data"),
+    ]
+    df = spark.createDataFrame([(p, "a", p, t) for p, t, _ in rows], "file_key string, repo_name string, path string, content string")
+    got = {r.file_key: r.reason for r in foreign.foreign_files(df).collect()}
+    assert got == {p: r for p, _, r in rows if r}
+
+
+def test_copies_without_any_mark(spark):
+    """The index alone finds them: no banner, no directory of third-party code."""
+    rows = [("home", "kiln", "kiln/x.py", library_file(1)), ("copy", "app", "app/util/z.py", library_file(1).replace("return mill", "return None")), ("own", "app", "app/y.py", library_file(2)), ("own2", "web", "web/y.py", library_file(3))]
+    df = spark.createDataFrame(rows, "file_key string, repo_name string, path string, content string")
+    assert {r.file_key: r.reason for r in foreign.foreign_files(df).collect()} == {"home": "vendored", "copy": "vendored"}
 
 
 # p4
