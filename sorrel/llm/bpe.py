@@ -1,10 +1,13 @@
-"""Encoding a corpus with a public byte-level BPE tokenizer by merge replay.
+"""Encoding a corpus with a public byte-level BPE tokenizer by merge replay over the corpus's words.
 
-Texts are cut into pre-tokens; equal pre-tokens are one word. An inverted index maps each token pair to the positions
-of the words that hold it. Merges are applied in rank order, each to all positions of its pair at once, and only the
-touched neighbours get new pairs. Every task replays the words of its own rows, so nothing is shuffled: joining word
-occurrences with a corpus-wide table would move the whole corpus twice. Words stay in a cache of at most
-``CACHE_WORDS`` entries between batches, which bounds the memory.
+1. Texts are cut into pre-tokens; equal pre-tokens are one word. Words are counted over the whole corpus, combined in each
+   task before the shuffle.
+2. The words of the corpus are replayed once: an inverted index maps each token pair to the positions of the words that
+   hold it; merges are applied in rank order, each to all positions of its pair at once, and only the touched neighbours
+   get new pairs. The index is cut by word, never by document.
+3. The ``TABLE_WORDS`` most frequent words of at most ``TABLE_CHARS`` characters are broadcast with their ids, a table of
+   fixed size. The words beyond it, rare or long ones, are replayed where they stand: joining their occurrences would
+   move every text. Those of a task are replayed together and stay in a cache of at most ``CACHE_WORDS`` entries.
 
 Null and empty texts give an empty list. Strings that look like special tokens are ordinary text.
 """
@@ -13,15 +16,18 @@ from __future__ import annotations
 
 import heapq
 import json
-import struct
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sorrel.plans.runtime import spread
+from sorrel.plans.runtime import cut, spread, width
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+TABLE_WORDS = 200_000
+TABLE_CHARS = 32
 CACHE_WORDS = 200_000
 BATCH_CHARS = 4_000_000
 BASE = 1 << 20
@@ -48,9 +54,10 @@ def load_merges(path: str = VOCABULARY) -> tuple[list[int], list[tuple[int, int,
 
 
 class MergeReplay:
-    def __init__(self, byte_ids: list[int], merges: list[tuple[int, int, int]]):
+    def __init__(self, byte_ids: list[int], merges: list[tuple[int, int, int]], table: dict[str, tuple[int, ...]] | None = None):
         import regex
 
+        self.table = table or {}
         self.byte_ids = byte_ids
         self.rank = {a * BASE + b: r for r, (a, b, _) in enumerate(merges)}
         self.merged = [m for _, _, m in merges]
@@ -121,25 +128,69 @@ class MergeReplay:
 
     def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
         split = [self.find(t) if t else [] for t in texts]
-        cache = self.cache
-        fresh = list({w for ws in split for w in ws if w not in cache})
+        table, cache = self.table, self.cache
+        fresh = list({w for ws in split for w in ws if w not in table and w not in cache})
         if len(cache) + len(fresh) > CACHE_WORDS:
             cache.clear()
-            fresh = list({w for ws in split for w in ws})
+            fresh = list({w for ws in split for w in ws if w not in table})
         cache.update(zip(fresh, self.replay(fresh)))
         out = []
         for ws in split:
             ids: list[int] = []
             for w in ws:
-                ids += cache[w]
+                ids += table[w] if w in table else cache[w]
             out.append(ids)
         return out
 
 
-def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def corpus_words(texts: DataFrame) -> DataFrame:
+    """word, n: how often each pre-token of at most TABLE_CHARS characters stands in the corpus (one column of texts)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import regex
+
+        find = regex.compile(PATTERN).findall
+        counts: Counter = Counter()
+        rows = lambda: pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            for t in batch.column(0):
+                if t.is_valid:
+                    counts.update([w for w in find(t.as_py()) if len(w) <= TABLE_CHARS])
+                if len(counts) > CACHE_WORDS:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    return spread(texts).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def replayed(words: DataFrame, shared) -> DataFrame:
+    """word, n, ids: all merges over all words of a partition, in rank order."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        coder = MergeReplay(*shared.value)
+        for batch in batches:
+            ids = coder.replay(batch.column(0).to_pylist())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+
+    return words.mapInArrow(run, "word string, n long, ids array<int>")
+
+
+def word_table(texts: DataFrame, shared, table_words: int = TABLE_WORDS) -> dict[str, tuple[int, ...]]:
+    """The ids of the corpus's most frequent words, at most ``table_words``."""
+    spark = texts.sparkSession
+    known = cut(replayed(corpus_words(texts).where("n > 1").repartition(width(spark), "word"), shared))
+    return {r.word: tuple(r.ids) for r in known.orderBy(F.desc("n"), "word").limit(table_words).collect()}
+
+
+def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, table_words: int = TABLE_WORDS) -> DataFrame:
     """``id_col`` and ``ids`` (array<int>) of every row. The vocabulary (50,000 merges) is read on the driver and broadcast."""
     spark: SparkSession = df.sparkSession
-    shared = spark.sparkContext.broadcast(load_merges(vocabulary))
+    merges = spark.sparkContext.broadcast(load_merges(vocabulary))
+    shared = spark.sparkContext.broadcast((*merges.value, word_table(df.select(text_col), merges, table_words)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

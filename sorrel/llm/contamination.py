@@ -1,14 +1,16 @@
 """Evaluation texts that leak into training text.
 
-The test items (a fixed set; at most ``MAX_ITEMS`` rows, checked) are normalised to words, and their word trigrams
-form a hash set that is broadcast. Training texts are scanned by window: each text's words become small integers
-through the items' vocabulary, all its trigrams are looked up at once, and the hits of each item are verified by
-aligning the item's words with the text's words in order. Letter case, punctuation, markup, line prefixes and line
-breaks are normalised away; a replaced word costs no more than itself.
-
+The test items (a fixed set; at most ``MAX_ITEMS`` rows of ``MAX_ITEM_BYTES`` in all, checked) are normalised to words, and
+their word trigrams form a hash set that is broadcast: sorted arrays of codes, items and positions. Training texts are
+scanned by window: each text's words become small integers through the items' vocabulary, all its trigrams are looked up
+at once, and the hits of each item are verified by aligning the item's words with the text's words in order. Letter case,
+punctuation, markup, line prefixes and line breaks are normalised away; a replaced word costs no more than itself.
+
+What a passage is: equal words in the order of the item, at most ``GAP`` other words of the text (line prefixes, replaced
+words) and ``ITEM_GAP`` words of the item apart, ``MIN_RUN`` of them (all of a shorter item) and ``DENSE`` of the words it spans.
 A document leaks an item when its best one or two passages, in the item's order, span at least ``SHARE`` of the item's
 words. Null and empty texts leak nothing; repeated documents are reported each under its own id; an item shorter than
-three words never leaks.
+three words has no trigram and never leaks.
 """
 
 from __future__ import annotations
@@ -18,20 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sorrel.plans.runtime import spread
 
 SHARE = 0.4
 GRAM = 3
 MAX_ITEMS = 100_000
-GAP = 14  # text words that a passage may hold between two matches (line prefixes, replaced words)
-ITEM_GAP = 6  # item words that a passage may leave out between two matches
+MAX_ITEM_BYTES = 64 << 20
+GAP = 14  # text words from one match to the next
+ITEM_GAP = 6  # item words from one match to the next
 MIN_RUN = 5  # matched words of a passage
 STEPS = sorted((i + j + 3 * abs(i - j), i, j) for i in range(1, GAP + 1) for j in range(1, ITEM_GAP + 1))  # cost, text words, item words from one match to the next
 DENSE = 0.7  # matched words against the item words a passage spans; one in ten may be replaced
 BATCH_CHARS = 8_000_000
 
-TAG = r"</?[a-zA-Z][^<>\n]{0,200}>|<!--.*?-->|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);|\]\([^()\s]*\)"
+TAG = r"</?[a-zA-Z][^<>\n]*>|<!--.*?-->|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);|\]\([^()\s]*\)"
 WORD = r"[^\W_]+"
 
 
@@ -42,7 +46,7 @@ def _tools():
 
 
 class ItemIndex:
-    """Trigrams of all items."""
+    """Trigrams of all items. A pair of words is a number of its own, so that no code outgrows 64 bits."""
 
     def __init__(self, items: list[tuple[int, str]]):
         strip, words = _tools()
@@ -54,15 +58,22 @@ class ItemIndex:
                 self.items[item] = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64)
         self.n = len(self.vocab) + 1
         self.upto = np.arange(1, max(map(len, self.items.values()), default=0) + 1)
-        grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, ids in self.items.items():
-            for j, g in enumerate(self.codes(ids).tolist()):
-                grams[g].append((item, j))
-        self.places, self.known = dict(grams), np.array(sorted(grams), np.int64)
+        none = [np.zeros(0, np.int64)]
+        self.pairs = np.unique(np.concatenate([w[:-1] * self.n + w[1:] for w in self.items.values()] or none))
+        code = np.concatenate([self.codes(w) for w in self.items.values()] or none)
+        order = np.argsort(code, kind="stable")
+        self.known, first = np.unique(code[order], return_index=True)
+        self.bounds = np.append(first, len(code))
+        self.item_at = np.concatenate([np.full(len(w) - GRAM + 1, k, np.int64) for k, w in self.items.items()] or none)[order]
+        self.place_at = np.concatenate([np.arange(len(w) - GRAM + 1) for w in self.items.values()] or none)[order]
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
-        c = (ids[:-2] * self.n + ids[1:-1]) * self.n + ids[2:]
-        return np.where((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0), c, -1)
+        """Codes of the trigrams; -1 where no item has the pair or the word."""
+        pair = ids[:-1] * self.n + ids[1:]
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = 0
+        known = (ids[:-1] > 0) & (ids[1:] > 0) & (self.pairs[at] == pair if len(self.pairs) else False)
+        return np.where(known[:-1] & known[1:], at[:-1] * self.n + ids[2:], -1)
 
     def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """item -> (text position, item position) of each shared trigram."""
@@ -73,7 +84,8 @@ class ItemIndex:
         at = np.searchsorted(self.known, c)
         at[at == len(self.known)] = 0
         for i in np.flatnonzero(self.known[at] == c).tolist():
-            for item, j in self.places[int(c[i])]:
+            here = slice(self.bounds[at[i]], self.bounds[at[i] + 1])
+            for item, j in zip(self.item_at[here].tolist(), self.place_at[here].tolist()):
                 found[item].append((i, j))
         return found
 
@@ -111,7 +123,7 @@ class ItemIndex:
                     while i1 + step < len(ids) and j1 + step < len(want) and ids[i1 + step] == want[j1 + step]:
                         i1, j1, m = i1 + step, j1 + step, m + 1
                         step = 1
-            if m >= MIN_RUN and m >= DENSE * (j1 - j0 + 1):
+            if m >= min(MIN_RUN, len(want)) and m >= DENSE * (j1 - j0 + 1):
                 out.append((i0, i1, j0, j1, m))
         return out
 
@@ -165,10 +177,11 @@ class ItemIndex:
 
 
 def build_index(items: DataFrame) -> ItemIndex:
-    rows = items.select("item_id", "text").where("text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items: split them and scan once for each part")
-    return ItemIndex([(r.item_id, r.text) for r in rows])
+    known = items.select("item_id", "text").where("text is not null")
+    rows, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if rows > MAX_ITEMS or size > MAX_ITEM_BYTES:
+        raise ValueError(f"more than {MAX_ITEMS} test items or {MAX_ITEM_BYTES} bytes: split them and scan once for each part")
+    return ItemIndex([(r.item_id, r.text) for r in known.collect()])
 
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:

@@ -1,14 +1,16 @@
 """Functions paired with their documentation.
 
-A qualified symbol table (symbols) is joined with the declarations found in the files' text by file and normalised
-signature (name and parameter names, without annotations, defaults and separators); among overloads, the declaration
-whose line is nearest to the symbol's line wins. Documentation is the docstring, the comment directly above the
-definition (decorators included), or the Markdown description at the end of the symbol document. Documentation that
-says nothing is dropped: placeholders, rulers, tool directives, commented-out code, the bare or reworded name, parameter
-names without explanation, and mere pointers elsewhere.
+A qualified symbol table (symbols) is joined with the declarations found in the files' text by normalised signature (name
+and parameter names, without annotations, defaults and separators): with those of its own file, where the declaration of
+the symbol's qualified name wins and among overloads the one whose line is nearest to the symbol's line; and, by snapshot
+and qualified name, with those of other files (stubs, re-declarations). Documentation is the docstring, the comment
+directly above the definition (decorators included), or the Markdown description at the end of the symbol document.
+Documentation that says nothing is dropped: placeholders, rulers, tool directives, commented-out code, the bare or
+reworded name, parameter names without explanation, and mere pointers elsewhere.
 
 Null contents, docstrings and texts have no documentation; files that do not parse are read all the same, by line.
-Repeated rows count once per key. Ties in line distance take the longer documentation.
+Repeated rows count once per key; the distinct rows of a key are joined each, and one that is documented documents it.
+Ties in line distance take the longer documentation.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.plans.runtime import spread
+from sorrel.plans.runtime import cut, spread
 
 KINDS = ("function", "method")
 
@@ -145,52 +147,87 @@ def norm(name: str, params: list[str]) -> str:
     return f"{name}({','.join(params)})"
 
 
+CLASS = re.compile(r"^([ \t]*)class[ \t]+(\w+)", re.M)
+JS_CLASS = re.compile(r"\bclass[ \t]+([\w$]+)[^{;\n]*\{")
+ARROW, BRACE = re.compile(r"\s*=>"), re.compile(r"\s*\{")
 DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?\(", re.M)
+# the parameter list may go on over lines: what follows its closing bracket is looked at then
 JS_DEF = re.compile(
-    r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:(?:async[ \t]+)?function[ \t]*\*?[ \t]*([\w$]+)[ \t]*\(|(?:const|let|var)[ \t]+([\w$]+)[ \t]*=[ \t]*(?:async[ \t]*)?(?:function[ \t]*\*?[ \t]*[\w$]*[ \t]*)?\((?=[^\n]*(?:=>|\{))"
-    r"|(?:static[ \t]+)?(?:async[ \t]+)?\*?[ \t]*(?:[gs]et[ \t]+)?(?!(?:if|for|while|switch|catch|return|with|function)\b)([\w$#]+)[ \t]*\((?=[^;\n]*\)[ \t]*\{))", re.M)
+    r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<function>[\w$]+)[ \t]*\(|(?:const|let|var)[ \t]+(?P<bound>[\w$]+)[ \t]*=[ \t]*(?:async[ \t]*)?(?:function[ \t]*\*?[ \t]*[\w$]*[ \t]*)?\((?=[^\n]*(?:=>|\{)|[^;\n)]*$)"
+    r"|(?:static[ \t]+)?(?:async[ \t]+)?\*?[ \t]*(?:[gs]et[ \t]+)?(?!(?:if|for|while|switch|catch|return|with|function)\b)(?P<method>[\w$#]+)[ \t]*\((?=[^;\n]*\)[ \t]*\{|[^;\n)]*$))", re.M)
 STRING = re.compile(r"\s*(?:[rRuU]{0,2})(\"\"\"|'''|\"|')")
 
 
+STOP = re.compile(r"[\\\"'`()\[\]{}]")
+
+
 def _close(text: str, at: int) -> int:
-    """Place after the bracket that closes the one before ``at``; -1 if there is none within reach."""
-    depth, quote, n = 1, "", len(text)
-    while at < n:
-        c = text[at]
-        if quote:
-            if c == "\\":
-                at += 1
-            elif c == quote:
+    """Place after the bracket that closes the one before ``at``; -1 if there is none."""
+    depth, quote = 1, ""
+    while m := STOP.search(text, at):
+        c, at = m.group(0), m.end()
+        if c == "\\":
+            at += bool(quote)
+        elif quote:
+            if c == quote:
                 quote = ""
         elif c in "\"'`":
             quote = c
         elif c in "([{":
             depth += 1
-        elif c in ")]}":
+        else:
             depth -= 1
             if not depth:
-                return at + 1
-        elif c == "\n" and depth > 40:
-            return -1
-        at += 1
+                return at
     return -1
 
 
-def declarations(path: str, content: str) -> list[tuple[str, str, int, str, str]]:
-    """(normalised signature, name, line, docstring, comment above) of each definition, in order."""
+def _python_scopes(content: str) -> list[tuple[int, int, str, str]]:
+    """(place, indent, name, mark that stands between it and what it holds) of classes and functions, in order."""
+    found = [(m.start(), len(m.group(1).expandtabs()), m.group(2), ".") for m in CLASS.finditer(content)]
+    return sorted(found + [(m.start(), len(m.group(1).expandtabs()), m.group(2), ".<locals>.") for m in DEF.finditer(content)])
+
+
+def _python_names(content: str) -> dict[int, str]:
+    """place of a definition -> its name with those around it."""
+    out: dict[int, str] = {}
+    around: list[tuple[int, str]] = []
+    for at, indent, name, mark in _python_scopes(content):
+        while around and around[-1][0] >= indent:
+            around.pop()
+        out[at] = (around[-1][1] if around else "") + name
+        around.append((indent, out[at] + mark))
+    return out
+
+
+def _js_classes(content: str) -> list[tuple[int, int, str]]:
+    """(start of the body, its end, name) of each class, in order."""
+    return [(m.end(), end if (end := _close(content, m.end())) >= 0 else len(content), m.group(1)) for m in JS_CLASS.finditer(content)]
+
+
+def declarations(path: str, content: str) -> list[tuple[str, str, int, str, str, str]]:
+    """(normalised signature, name, line, docstring, comment above, name with those around it) of each definition, in order."""
     out = []
     lines = content.split("\n")
     python = path.endswith((".py", ".pyi"))
     if not python and not path.endswith((".js", ".mjs", ".cjs", ".jsx", ".ts")):
         return out
+    nested, classes = (_python_names(content), []) if python else ({}, _js_classes(content))
     line, seen = 1, 0
     for m in (DEF if python else JS_DEF).finditer(content):
         line += content.count("\n", seen, m.end())
         seen = m.end()
-        name = m.group(2) if python else next(g for g in m.groups() if g)
+        name = m.group(2) if python else m[m.lastgroup]
         end = _close(content, m.end())
         if end < 0:
             continue
+        if not python and m.lastgroup != "function" and not (BRACE.match(content, end) or m.lastgroup == "bound" and ARROW.match(content, end)):
+            continue
+        if python:
+            full = nested.get(m.start(), name)
+        else:
+            holder = [c for a, e, c in classes if a <= m.start() < e] if m.lastgroup == "method" else []
+            full = f"{holder[-1]}.{name}" if holder else name
         params = split_parameters(content[m.end() : end - 1])
         doc = ""
         if python:
@@ -219,7 +256,7 @@ def declarations(path: str, content: str) -> list[tuple[str, str, int, str, str]
             while k >= 0 and re.match(r"[ \t]*//", lines[k]):
                 above.append(lines[k])
                 k -= 1
-        out.append((norm(name, params), name, line, doc, "\n".join(reversed(above))))
+        out.append((norm(name, params), name, line, doc, "\n".join(reversed(above)), full))
     return out
 
 
@@ -243,30 +280,31 @@ def body(path: str, lines: list[str], line: int) -> str:
 
 
 def documented_declarations(files: DataFrame, with_code: bool = False) -> DataFrame:
-    """file_key, sig, found: array of (line, doc, source, code), for signatures of which a declaration is documented."""
-    schema = "file_key string, sig string, found array<struct<line:int,doc:string,source:string,code:string>>"
+    """file_key, module_qname, sig, found: array of (full, line, doc, source, code), for signatures of which a declaration is documented."""
+    schema = "file_key string, module_qname string, sig string, found array<struct<full:string,line:int,doc:string,source:string,code:string>>"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("line", pa.int32()), ("doc", pa.string()), ("source", pa.string()), ("code", pa.string())]))
+        kind = pa.list_(pa.struct([("full", pa.string()), ("line", pa.int32()), ("doc", pa.string()), ("source", pa.string()), ("code", pa.string())]))
         for batch in batches:
-            keys, sigs, founds = [], [], []
-            for key, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            keys, modules, sigs, founds = [], [], [], []
+            for key, path, content, module in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 by: dict[str, list] = {}
                 lines = content.split("\n") if with_code else []
-                for sig, name, line, doc, above in declarations(path, content):
+                for sig, name, line, doc, above, full in declarations(path, content):
                     params = tuple(p.lstrip("*") for p in sig.split("(", 1)[1][:-1].split(",") if p)
                     text, source = (doc, "docstring") if says(doc, name, params) else (above, "comment") if says(above, name, params) else (None, None)
-                    by.setdefault(sig, []).append({"line": line, "doc": text, "source": source, "code": body(path, lines, line) if with_code else None})
+                    by.setdefault(sig, []).append({"full": full, "line": line, "doc": text, "source": source, "code": body(path, lines, line) if with_code else None})
                 for sig, rows in by.items():
                     if with_code or any(r["doc"] for r in rows):
                         keys.append(key)
+                        modules.append(module)
                         sigs.append(sig)
                         founds.append(rows)
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(sigs, pa.string()), pa.array(founds, kind)], names=["file_key", "sig", "found"])
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(modules, pa.string()), pa.array(sigs, pa.string()), pa.array(founds, kind)], names=["file_key", "module_qname", "sig", "found"])
 
-    source = files.where("content is not null and path is not null").select("file_key", "path", "content")
+    source = files.where("content is not null and path is not null").select("file_key", "path", "content", "module_qname")
     return spread(source.where(F.col("path").rlike(r"\.(py|pyi|js|mjs|cjs|jsx|ts)$"))).mapInArrow(run, schema)
 
 
@@ -297,6 +335,7 @@ def _callables(symbols: DataFrame) -> DataFrame:
 
 def _own_texts(symbols: DataFrame, symbol_docs: DataFrame) -> DataFrame:
     """Judged docstrings, and judged Markdown descriptions after the four heading lines of a symbol document."""
+    # two words, or four signs of a script without spaces, are longer than three characters
     doc = _callables(symbols).where("length(trim(docstring)) > 3").select("symbol_key", "signature", F.col("docstring").alias("doc"), F.lit("docstring").alias("source"))
     head = "substring_index(text, '\\n', 4)"
     tail = F.expr(f"CASE WHEN endswith({head}, signature) THEN substring(text, length({head}) + 2) ELSE text END")
@@ -304,13 +343,25 @@ def _own_texts(symbols: DataFrame, symbol_docs: DataFrame) -> DataFrame:
     return judged(doc.unionAll(md))
 
 
+def _snapshot(key: str = "file_key"):
+    return F.substring_index(key, ":", 1)
+
+
 def _declared(symbols: DataFrame, files: DataFrame, with_code: bool = False) -> DataFrame:
-    """symbol_key, signature, doc, source, code of the nearest declaration with the symbol's file and signature."""
-    sym = _callables(symbols).where("signature is not null").groupBy("symbol_key").agg(F.first("file_key").alias("file_key"), F.first("signature").alias("signature"), F.min("start_line").alias("start_line")).withColumn("sig", signature_key())
-    decl = documented_declarations(files, with_code)
-    distance = lambda x: F.struct(F.abs(x["line"] - F.coalesce("start_line", F.lit(0))).alias("d"), (-F.coalesce(F.length(x["doc"]), F.lit(0))).alias("n"), x["doc"].alias("doc"), x["source"].alias("source"), x["code"].alias("code"))
-    near = sym.join(decl, ["file_key", "sig"]).withColumn("near", F.array_min(F.transform("found", distance)))
-    return near.select("symbol_key", "signature", "near.doc", "near.source", "near.code")
+    """symbol_key, signature, doc, source, code of the declaration that each distinct row of a symbol means."""
+    sym = _callables(symbols).where("signature is not null and file_key is not null").groupBy("symbol_key", "file_key", "qname", "signature").agg(F.min("start_line").alias("start_line")).withColumn("sig", signature_key())
+    decl = cut(documented_declarations(files, with_code))
+    rank = lambda x: F.struct(
+        F.when(F.concat_ws(".", "module_qname", x["full"]) == F.coalesce("qname", F.lit("")), 0).otherwise(1).alias("q"), F.abs(x["line"] - F.coalesce("start_line", F.lit(0))).alias("d"), (-F.coalesce(F.length(x["doc"]), F.lit(0))).alias("n"),
+        x["doc"].alias("doc"), x["source"].alias("source"), x["code"].alias("code"))
+    near = sym.join(decl, ["file_key", "sig"]).withColumn("near", F.array_min(F.transform("found", rank)))
+    own = near.select("symbol_key", "signature", "near.doc", "near.source", "near.code")
+    # only a module that stands in several files of a snapshot is declared elsewhere
+    several = files.where("module_qname is not null").groupBy(_snapshot().alias("snap"), "module_qname").agg((F.min("file_key") != F.max("file_key")).alias("several")).where("several").select("snap", "module_qname")
+    other = decl.withColumn("snap", _snapshot()).join(several, ["snap", "module_qname"], "left_semi").select("snap", F.col("file_key").alias("other"), "sig", "module_qname", F.explode("found").alias("x"))
+    other = other.where("x.doc is not null").select("snap", "other", "sig", F.concat_ws(".", "module_qname", "x.full").alias("qname"), "x.doc", "x.source", F.lit(None).cast("string").alias("code"))
+    far = sym.withColumn("snap", _snapshot()).join(other, ["snap", "qname", "sig"]).where("file_key <> other").select("symbol_key", "signature", "doc", "source", "code")
+    return own.unionAll(far)
 
 
 def documented(symbols: DataFrame, files: DataFrame, symbol_docs: DataFrame) -> DataFrame:

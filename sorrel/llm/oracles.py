@@ -1,5 +1,7 @@
 """SQL of the llm queries that SQL can express."""
 
 ORACLES: dict[str, str] = {
+    "p4_rebuilt": """SELECT DISTINCT chunk_key, md5(text) AS text_md5, md5(text) AS rebuilt, true AS fits, true AS lapped, start_line AS first_line,
+  CAST(start_line + length(text) - length(replace(text, chr(10), '')) - CAST(ends_with(text, chr(10)) AS INTEGER) AS INTEGER) AS last_line FROM doc_chunks WHERE length(text) > 1600""",
     "p4_found": "SELECT DISTINCT chunk_key FROM doc_chunks WHERE length(text) > 1600",
 }

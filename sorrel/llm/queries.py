@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sorrel.llm import bpe, contamination, documentation, foreign, markup, parsing, quality, splitting
@@ -48,6 +49,22 @@ def p4_pieces_of_long(spark, d):
     return splitting.split_oversized(long.select("chunk_key", "chunk_index", "heading_path", "start_line", "end_line", "text").distinct()).where("pieces > 1")
 
 
+def p4_rebuilt(spark, d):
+    """Of each distinct text that had to be cut: the text put together again from its pieces, and whether all pieces keep the rules."""
+    mark = "\x1f"
+    long = table(spark, d, "doc_chunks").where(F.length("text") > splitting.LIMIT).select("chunk_key", "start_line", "text").distinct()
+    named = long.select(F.concat_ws(mark, "chunk_key", F.coalesce(F.col("start_line").cast("string"), F.lit("")), F.md5("text")).alias("chunk_key"), F.lit(0).alias("chunk_index"), F.lit("").alias("heading_path"), "start_line", F.lit(None).cast("int").alias("end_line"), "text")
+    before = W.partitionBy("chunk_key").orderBy("piece_index")
+    pieces = splitting.split_oversized(named).withColumn("prev", F.lag("text").over(before))
+    laps = F.col("overlap") <= splitting.OVERLAP
+    lapped = F.when(F.col("piece_index") == 0, F.col("overlap") == 0).otherwise(laps & (F.expr("left(text, overlap)") == F.expr("right(prev, overlap)")))
+    whole = pieces.groupBy("chunk_key").agg(
+        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_index", F.expr("substring(text, overlap + 1)").alias("t")))), lambda x: x["t"]), "")).alias("rebuilt"),
+        F.min(F.length("text") <= splitting.LIMIT).alias("fits"), F.min(lapped).alias("lapped"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
+    part = F.split("chunk_key", mark)
+    return whole.select(part[0].alias("chunk_key"), part[2].alias("text_md5"), "rebuilt", "fits", "lapped", "first_line", "last_line")
+
+
 def p5_found(spark, d):
     return documentation.documented(table(spark, d, "symbols"), table(spark, d, "files"), table(spark, d, "symbol_docs"))
 
@@ -92,4 +109,4 @@ def p10_found(spark, d):
     return p10_stats(spark, d).where("form in ('list', 'table', 'junk')").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_reasons, p3_handwritten, p4_pieces, p4_pieces_of_long, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_reasons, p3_handwritten, p4_pieces, p4_pieces_of_long, p4_rebuilt, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}

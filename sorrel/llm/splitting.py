@@ -112,8 +112,8 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list
 
 
 def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """chunk_key, chunk_index, heading_path, piece_index, pieces (their number), start_line, end_line, text."""
-    schema = "chunk_key string, chunk_index int, heading_path string, piece_index int, pieces int, start_line int, end_line int, text string"
+    """chunk_key, chunk_index, heading_path, piece_index, pieces (their number), start_line, end_line, overlap (characters of the piece before), text."""
+    schema = "chunk_key string, chunk_index int, heading_path string, piece_index int, pieces int, start_line int, end_line int, overlap int, text string"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -123,18 +123,18 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
             for key, index, path, line, last, text in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 cuts = pieces(text, limit, overlap)
                 if len(cuts) == 1:
-                    rows.append((key, index, path, 0, 1, line, last, text))
+                    rows.append((key, index, path, 0, 1, line, last, 0, text))
                     continue
                 at, passed = 0, 0
-                for k, (lap, _, end) in enumerate(cuts):
+                for k, (lap, new, end) in enumerate(cuts):
                     # newlines are counted once, from piece to piece
                     passed += text.count("\n", at, lap) if lap >= at else -text.count("\n", lap, at)
                     at = lap
                     body = text[lap:end]
                     inside = body.count("\n") - body.endswith("\n")
-                    rows.append((key, index, path, k, len(cuts), None if line is None else line + passed, None if line is None else line + passed + inside, body))
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            cols = list(zip(*rows)) if rows else [[]] * 8
+                    rows.append((key, index, path, k, len(cuts), None if line is None else line + passed, None if line is None else line + passed + inside, new - lap, body))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            cols = list(zip(*rows)) if rows else [[]] * 9
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     return chunks.select("chunk_key", "chunk_index", "heading_path", "start_line", "end_line", "text").mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,7 +184,7 @@ def test_says():
 def test_documented_symbols_and_pairs(spark):
     py = 'class A:\n    # Keeps the ledger closed until noon.\n    @staticmethod\n    def one(x: int = 3, *y):\n        return x\n\n    def two(self):\n        """TODO"""\n\ndef two(self):\n    """Opens both harbours at the same hour."""\n\n# TODO\ndef three():\n    pass\n'
     js = "/**\n * Counts lanterns that burn after dusk.\n */\nexport async function four(a, {b}) {\n  return a;\n}\n\n// eslint-disable-next-line no-unused-vars\nfunction five() {}\n"
-    files = spark.createDataFrame([("f1", "a.py", py, "r"), ("f2", "b.js", js, "r"), ("f3", "c.py", None, "r"), ("f1", "a.py", py, "r")], "file_key string, path string, content string, sig string")
+    files = spark.createDataFrame([("f1", "a.py", py, "r", None), ("f2", "b.js", js, "r", None), ("f3", "c.py", None, "r", None), ("f1", "a.py", py, "r", None)], "file_key string, path string, content string, sig string, module_qname string")
     sym = [("s1", "f1", "method", "A.one", "def one(x, *y)", 4, None), ("s2", "f1", "method", "A.two", "def two(self)", 7, "TODO"), ("s3", "f1", "function", "two", "def two(self)", 10, None), ("s4", "f1", "function", "three", "def three()", 14, None), ("s5", "f2", "function", "four", "function four(a, {b})", 4, None), ("s6", "f2", "function", "five", "function five()", 9, None), ("s7", "f3", "function", "six", "def six()", 1, "Sorts pallets by weight first."), ("s8", "f1", "type", "A", "class A", 1, "Holds every quarry of the region."), ("s9", "f9", "function", "nine", None, None, None), ("s1", "f1", "method", "A.one", "def one(x, *y)", 4, None)]
     symbols = spark.createDataFrame(sym, "symbol_key string, file_key string, kind string, qname string, signature string, start_line int, docstring string")
     docs = spark.createDataFrame([("s4", "def three()", "three\nthree\nthree\ndef three()\nSee `x.y`."), ("s6", "function five()", "five\nfive\nfive\nfunction five()\nThis keeps the gauge remote until morning."), ("s9", "def nine()", None), ("zz", "def zz()", "zz\nzz\nzz\ndef zz()\nThis keeps the gauge remote until morning.")], "symbol_key string, signature string, text string")
@@ -193,6 +194,18 @@ def test_documented_symbols_and_pairs(spark):
     assert documentation.documented(symbols.limit(0), files, docs).count() == 0
 
 
+def test_declarations_elsewhere_and_wrapped(spark):
+    stub = 'class A:\n    def run(self, x: int) -> None:\n        """Opens both harbours at the same hour."""\n'
+    py = 'class A:\n    def run(self, x):\n        pass\n\nclass B:\n    def run(self, x):\n        """Counts lanterns that burn after dusk."""\n'
+    js = "class C {\n  // Keeps the ledger closed until noon.\n  put(\n    a,\n    b\n  ) {\n  }\n}\n// Moves every pallet before winter.\nconst go = (\n  x\n) => x;\nput(\n  1\n);\n"
+    files = spark.createDataFrame([("r@1:a.py", "a.py", py, "a"), ("r@1:a.pyi", "a.pyi", stub, "a"), ("r@2:a.py", "a.py", py, "a"), ("r@1:c.js", "c.js", js, "c")], "file_key string, path string, content string, module_qname string")
+    sym = [(f"{f}:{q}", f, "method", q, sig, line) for f, q, sig, line in [
+        ("r@1:a.py", "a.A.run", "def run(self, x)", 7), ("r@1:a.py", "a.B.run", "def run(self, x)", None), ("r@2:a.py", "a.A.run", "def run(self, x)", 7), ("r@2:a.py", "a.B.run", "def run(self, x)", 1), ("r@1:c.js", "c.C.put", "put(a, b)", 3), ("r@1:c.js", "c.go", "go(x)", 9)]]
+    symbols = spark.createDataFrame([(*x, None) for x in sym], "symbol_key string, file_key string, kind string, qname string, signature string, start_line int, docstring string")
+    docs = spark.createDataFrame([], "symbol_key string, signature string, text string")
+    assert {r.symbol_key for r in documentation.documented(symbols, files, docs).collect()} == {x[0] for x in sym} - {"r@2:a.py:a.A.run"}
+
+
 # p7
 KINDS = [
     ("A <b>x</b> &amp; y", {"html"}), ("# Head\n- item", {"markdown"}), ("[[Page|label]] and ''it''", {"wiki"}), ("$x_i^2$ and \\textbf{b}", {"latex"}), ("```\n<b>x</b> $a_1$ [[P]]\n```", {"markdown"}), ("{| class=\"w\"\n|-\n| a || b\n|}", {"wiki"}), ("| a |\n|---|:--:|\n| b |", {"markdown"}),
@@ -244,9 +257,10 @@ def test_encoding_equals_the_library(spark):
     rng = random.Random(2)
     texts = ["", None, "Hello's  world\n\n 123", "aaaaaaaaaaaa", "<|endoftext|> x", "你好,世界。Ünïcödé 🚀👩‍💻", " \t \r\n", "x" * 5000, "a" * 3001 + " b"] + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x4E00, 0x4F00), 10, 0x301])) for _ in range(rng.randrange(200))) for _ in range(60)]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(0, "", "x")], "doc_id long, text string, ids string")
-    got = {r.doc_id: list(r.ids) for r in bpe.encode_corpus(df).collect()}
-    for k, t in enumerate(texts):
-        assert got[k] == (lib.encode(t, add_special_tokens=False).ids if t else []), repr(t)
+    for table_words in (bpe.TABLE_WORDS, 3, 0):
+        got = {r.doc_id: list(r.ids) for r in bpe.encode_corpus(df, table_words=table_words).collect()}
+        for k, t in enumerate(texts):
+            assert got[k] == (lib.encode(t, add_special_tokens=False).ids if t else []), repr(t)
     assert bpe.encode_corpus(df.limit(0)).count() == 0
 
 
@@ -299,6 +313,26 @@ def test_coverage_is_that_of_all_pairs():
         assert share == max([one, *two]) / n and set(used) <= set(found)
 
 
+def test_short_items_and_many_words(spark):
+    d = spark.createDataFrame([(1, "Then the keeper sold four grey mills, and left."), (2, "grey mills"), (3, "<p " + "x" * 400 + ">the keeper sold</p> four grey mills")], "doc_id long, text string")
+    i = spark.createDataFrame([(0, "sold four grey mills"), (1, "the keeper sold"), (2, "four mills")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contamination.leaks(d, i).collect()} == {(1, 0), (1, 1), (3, 0), (3, 1)}
+
+
+def test_item_codes_do_not_overflow():
+    index = contamination.ItemIndex([(0, " ".join(f"w{k}" for k in range(50)))])
+    index.n = 1 << 31  # as many words as two billion items would have
+    index.pairs = np.unique(index.items[0][:-1] * index.n + index.items[0][1:])
+    codes = index.codes(index.items[0])
+    assert (codes > 0).all() and len(set(codes.tolist())) == 48
+
+
+def test_too_many_item_bytes(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "MAX_ITEM_BYTES", 10)
+    with pytest.raises(ValueError):
+        contamination.build_index(spark.createDataFrame([(0, "a text of more bytes")], "item_id long, text string"))
+
+
 # p10
 PROSE = "The keeper of the mill says that all of the ledgers are kept there, and nobody has ever asked for more than one of them. It was a long way to the water. "
 FORMS = [
