@@ -45,6 +45,8 @@ PARAM = re.compile(r"^\s*(?:[:@](?:param|arg|argument|parameter|type|key|keyword
 CODE_LINE = re.compile(
     r"^(?:return\b[^.]*[(\[.;=]|return\s+\w+;?$|(?:if|for|while|elif|else|try|except|with|def|class|switch|catch)\b.*[:{]\s*$|(?:const|let|var)\s+\w+\s*=|import\s+[\w.{*]+|from\s+[\w.]+\s+import\b|"
     r"[\w.\[\]'\"]+\s*(?:[-+*/|&]?=)(?!=)\s*\S+|[\w.]+\([^()]*(?:\([^()]*\)[^()]*)*\);?$|print\s*\(|console\.\w+\(|await\s+\w+[\w.]*\(|raise\s+\w+|assert\s+\w|del\s+\w|pass$|break;?$|continue;?$|[{}()\[\];]+$|.*;\s*$|@\w+\(.*\)$)")
+# what comes back in which case
+RESULT = re.compile(r"^\W*returns?\s+[\w.]+\s+(?:for|if|when|unless|on)\s+\w+\s+\w+", re.I)
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 WORD = re.compile(r"[^\W\d_]+")
 CJK = re.compile(r"[一-鿿぀-ヿ가-힯]")
@@ -97,6 +99,8 @@ def says(text: str | None, name: str = "", params: tuple[str, ...] = ()) -> bool
             continue
         if CODE_LINE.match(line):
             continue
+        if RESULT.match(line):
+            return True
         own = known
         m = PARAM.match(line)
         if m and (m.group(1) or not m.group(2) or m.group(2).lstrip("*") in params or m.group(2).isidentifier()):

@@ -170,7 +170,7 @@ def test_split_frame(spark):
 
 
 # p5
-SAYS = ["Drop paths older than the reader.", "Returns None for a local crane.", "没有记录的话,迟到的符号就不能被拆分。", "TODO: check the limits.\nEs dauert sechs Läufe, bis der Index schreibt.", ":param pointer: valid digest to compare\n:param timer: hot parser", "Never call this before the frame locks."]
+SAYS = ["Returns None for a internal account.", "Drop paths older than the reader.", "Returns None for a local crane.", "没有记录的话,迟到的符号就不能被拆分。", "TODO: check the limits.\nEs dauert sechs Läufe, bis der Index schreibt.", ":param pointer: valid digest to compare\n:param timer: hot parser", "Never call this before the frame locks."]
 SILENT = ["", "  ", None, "TODO", "FIXME docs", "...", "See above.", "N/A", "----------", "noqa", "Docstring.", "Description goes here.", "The pack account function.", "Pack account.", "Packs accounts", "pack_account", ":param pointer:\n:return:", "Args:\n    pointer: pointer", "# return cache.get(key)", "# ---- helpers ----", "# pylint: disable=invalid-name", "/* eslint-disable */\n// @generated by x", "- `a.b.pack_account`", "See `a.b`.", "TODO: describe a.b.pack_account"]
 
 
