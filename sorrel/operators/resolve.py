@@ -6,6 +6,7 @@ holds a whole repository. Ambiguity stays visible: equal qualified names are nev
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -64,39 +65,49 @@ def base_rows(inheritance: DataFrame, bound: DataFrame, types: DataFrame) -> Dat
         F.transform(F.sort_array(F.collect_list(F.when(ok, F.struct("path", "ord", "parent")))), lambda x: x["parent"]).alias("parents"), F.max(~F.coalesce(ok, F.lit(False))).alias("incomplete"))
 
 
-def c3_merge(sequences: list[list[str]]) -> list[str] | None:
-    """C3: take the first head that stands in no tail; None if there is no such head."""
-    todo = [s for s in map(list, sequences) if s]
+def c3_merge(orders: list[list[str]]) -> list[str] | None:
+    """C3: the first head that stands behind no other one goes next; None if every head does."""
+    left = [order[::-1] for order in orders if order]  # heads at the end
+    behind = Counter(x for order in left for x in order[:-1])
     out: list[str] = []
-    while todo:
-        tails = {x for s in todo for x in s[1:]}
-        head = next((s[0] for s in todo if s[0] not in tails), None)
-        if head is None:
+    while left:
+        free = [order[-1] for order in left if not behind[order[-1]]]
+        if not free:
             return None
-        out.append(head)
-        todo = [t for t in ([x for x in s if x != head] for s in todo) if t]
+        out.append(free[0])
+        for order in left:
+            if order[-1] == free[0]:
+                order.pop()
+                if order:
+                    behind[order[-1]] -= 1
+        left = [order for order in left if order]
     return out
 
 
 def linearize(start: str, parents: dict[str, list[str]], broken: set[str]) -> list[str] | None:
-    """The method resolution order of a type, or None when a cycle, an incomplete or repeated type, or C3 prevents it."""
-    done: dict[str, list[str] | None] = {}
-    active: set[str] = set()
-
-    def mro(t: str) -> list[str] | None:
-        if t in done:
-            return done[t]
-        if t in active or t in broken:
-            done[t] = None
-            return None
-        active.add(t)
-        above = [mro(p) for p in parents.get(t, [])]
-        active.discard(t)
-        merged = None if None in above else c3_merge([*above, parents.get(t, [])])
-        done[t] = None if merged is None else [t, *merged]
-        return done[t]
-
-    return mro(start)
+    """The method resolution order of a type, or None when a cycle, an incomplete or repeated type, or C3 prevents it.
+
+    Types are settled when all their parents are: depth costs no frames."""
+    if start in broken:
+        return None
+    waits = {t: len(parents.get(t, [])) for t in {start, *parents, *(p for ps in parents.values() for p in ps)}}
+    children: dict[str, list[str]] = {}
+    for t, ps in parents.items():
+        for p in ps:
+            children.setdefault(p, []).append(t)
+    settled: dict[str, list[str] | None] = {}
+    ready = [t for t, n in waits.items() if not n]
+    while ready:
+        t = ready.pop()
+        above = parents.get(t, [])
+        known = [settled[p] for p in above]
+        merged = None if t in broken or None in known else c3_merge([*known, above])
+        settled[t] = None if merged is None else [t, *merged]
+        for c in children.get(t, []):
+            waits[c] -= 1
+            if not waits[c]:
+                ready.append(c)
+    return settled.get(start)  # what a cycle holds up is never settled
 
 
 def linearizations(types: DataFrame, bases: DataFrame) -> DataFrame:

@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.functions.scalars import clamp_rows
+from sorrel.plans.runtime import cut
 
 K1, B = 1.2, 0.75
+SALTS = 8
+WORD = r"[\p{L}\p{M}\p{N}]+"  # letters with their marks, digits
 
 
 def name_tokens(c) -> Column:
     """Whole dotted or underscored tokens and their parts, in lower case."""
-    whole = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_.]+"), F.lit(0))
-    parts = F.regexp_extract_all(F.lower(F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2")), F.lit(r"[a-z0-9]+"), F.lit(0))
+    whole = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}_.]+"), F.lit(0))
+    parts = F.regexp_extract_all(F.lower(F.regexp_replace(c, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")), F.lit(WORD), F.lit(0))
     return F.array_distinct(F.concat(whole, parts))
 
 
@@ -33,7 +36,7 @@ def search_names(symbols: DataFrame, query: str, fields: tuple[str, ...] = ("nam
 
 
 def doc_tokens(c="text") -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
 def postings(docs: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
@@ -42,22 +45,24 @@ def postings(docs: DataFrame, key: str = "key", text: str = "text") -> DataFrame
     return t.select("key", "dl", F.explode("ts").alias("term")).groupBy("term", "key", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n documents, mean length."""
-    return docs.where(F.col(text).isNotNull()).agg(F.count("*").alias("n"), F.avg(F.size(doc_tokens(text))).alias("avgdl"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """``queries``: query_id, query. query_id, key, score (six decimals) of every document that shares a word with a query."""
+    """``queries``: query_id, query. query_id, key, score (six decimals) of every document that shares a word with a query.
+
+    The corpus is read once for its size and once for the queries' words; documents without words count in the size."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(doc_tokens("query"))).alias("term"))
+    t = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), doc_tokens(text).alias("ts"))
+    size = t.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).first()
     # only the queries' words are counted: the semi join comes before the aggregation
-    t = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), doc_tokens(text).alias("ts")).withColumn("dl", F.size("ts"))
-    hit = t.select("key", "dl", F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "key", "dl").agg(F.count("*").alias("tf"))
+    words = t.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hit = cut(words.groupBy("term", "key", "dl").agg(F.count("*").alias("tf")))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    size = F.broadcast(corpus_size(docs, text))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = wanted.join(hit, "term").join(df, "term").join(size)
+    # a word's documents are spread over SALTS parts, so that one in every document burdens no single task
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    terms = wanted.join(df, "term").select("query_id", "term", "df", salts)
+    n, avgdl = F.lit(size.n), F.lit(float(size.avgdl or 1.0) or 1.0)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    scored = hit.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(terms, ["term", "salt"])
     return scored.groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("score"))
 
 

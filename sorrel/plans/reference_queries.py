@@ -14,7 +14,7 @@ from sorrel.plans.runtime import table
 from sorrel.sources import extract as X
 from sorrel.sources import markdown as M
 
-GRAPH_QUERY = "table load manifest"
+GRAPH_QUERY = "self def table"
 LEXICAL_QUERY = "oldest snapshot of the ledger moves the index"
 
 
@@ -58,8 +58,8 @@ def callers_d3(spark, d):
 
 
 def call_path(spark, d):
-    """Shortest path length of every pair within depth 8, and the smallest such path."""
-    return T.shortest_paths(G.from_tables(spark, d).edges, None, 8).select("start", "node", "depth")
+    """The shortest path of every pair within depth 8; among equals the smallest sequence of keys."""
+    return T.shortest_paths(G.from_tables(spark, d).edges, None, 8).select("start", "node", "depth", F.array_join("path", " > ").alias("path"))
 
 
 def hierarchy_up(spark, d):
@@ -92,7 +92,7 @@ def complexity_per_repository(spark, d):
 
 
 def search_graph(spark, d):
-    return S.search_names(G.from_tables(spark, d).symbols, GRAPH_QUERY.split()[0]).select("key", "qname", "score")
+    return S.search_names(G.from_tables(spark, d).symbols, GRAPH_QUERY).select("key", "qname", "score")
 
 
 def search_lexical_bm25(spark, d):
@@ -286,7 +286,7 @@ def _trails(prefix: str, source: str, a: str, b: str, depth: int, key: str = "ed
 ) SELECT DISTINCT start, node, depth FROM t"""
 
 
-_BM25 = """d AS (SELECT symbol_key AS key, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM symbol_docs WHERE text IS NOT NULL
+_BM25 = r"""d AS (SELECT symbol_key AS key, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS ts FROM symbol_docs WHERE text IS NOT NULL
 ), size AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d
 ), tf AS (SELECT term, key, dl, count(*) AS tf FROM (SELECT key, len(ts) AS dl, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3
 ), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1
@@ -294,9 +294,19 @@ _BM25 = """d AS (SELECT symbol_key AS key, regexp_extract_all(lower(text), '[a-z
   SELECT q.query_id, tf.key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN size GROUP BY 1, 2)"""
 
-_TOKENS = "list_concat(regexp_extract_all(lower({0}), '[a-z0-9_.]+'), regexp_extract_all(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+'))"
+_LETTERS = r"[\p{L}\p{M}\p{N}]+"
+
+
+def _tokens(c: str) -> str:
+    c = f"coalesce({c}, '')"
+    return rf"list_concat(regexp_extract_all(lower({c}), '[\p{{L}}\p{{M}}\p{{N}}_.]+'), regexp_extract_all(lower(regexp_replace({c}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g')), '{_LETTERS}'))"
+
+
+def _hits(word: str) -> str:
+    return "(" + " + ".join(f"CAST(list_contains({c}, '{word}') AS INT)" for c in ("a", "b", "c")) + ")"
+
+
 _NORMAL = "trim(lower(regexp_replace(regexp_replace(regexp_extract({0}, '[^.]*$'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\W]+', ' ', 'g')))"
-_WORD = GRAPH_QUERY.split()[0]
 
 ORACLES = {
     "list_repositories": """WITH f AS (SELECT repo_name, count(DISTINCT file_key) AS files FROM (SELECT file_key, arg_max(repo_name, arrived_at) AS repo_name FROM files GROUP BY 1) GROUP BY 1)
@@ -310,18 +320,18 @@ ORACLES = {
     "callees_d3": _trails(_EDGES, "edges", "src", "dst", 3),
     "callers_d3": _trails(_EDGES, "edges", "dst", "src", 3),
     "call_path": f"""WITH RECURSIVE {_EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), r AS (
-  SELECT src AS start, dst AS node, 1 AS depth FROM e UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 8
-) SELECT start, node, min(depth) AS depth FROM r WHERE start <> node GROUP BY 1, 2""",
+  SELECT src AS start, dst AS node, 1 AS depth, [src, dst] AS path FROM e UNION ALL SELECT r.start, e.dst, r.depth + 1, list_append(r.path, e.dst) FROM r JOIN e ON e.src = r.node WHERE r.depth < 8 AND NOT list_contains(r.path, e.dst)
+) SELECT start, node, min(depth) AS depth, array_to_string(arg_min(path, struct_pack(d := depth, p := path)), ' > ') AS path FROM r GROUP BY 1, 2""",
     "hierarchy_up": _trails(_INH, "inherits", "child_key", "parent_key", 5, "child_key || '|' || parent_key"),
     "hierarchy_down": _trails(_INH, "inherits", "parent_key", "child_key", 5, "child_key || '|' || parent_key"),
     "dead_code": f"WITH {_SYM}, {_SITES} SELECT key, repo_name, qname, 'unreferenced_candidate' AS confidence FROM sym WHERE kind IN ('function', 'method') AND key NOT IN (SELECT target_key FROM sites WHERE target_key IS NOT NULL)",
     "complexity_topn": f"WITH {_SYM} SELECT key, qname, signature, cyclomatic FROM sym WHERE kind IN ('function', 'method') ORDER BY cyclomatic DESC NULLS LAST, qname, key LIMIT 25",
     "complexity_per_repository": f"WITH {_SYM} SELECT repo_name, max(cyclomatic) AS largest, CAST(sum(cyclomatic) AS BIGINT) AS total, CAST(quantile_disc(cyclomatic, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(cyclomatic, 0.95) AS DOUBLE) AS p95 FROM sym WHERE kind IN ('function', 'method') GROUP BY 1",
-    "search_graph": f"""WITH {_SYM}, s AS (SELECT key, qname, CAST(list_contains({_TOKENS.format("coalesce(name, '')")}, '{_WORD}') AS INT) + CAST(list_contains({_TOKENS.format("coalesce(qname, '')")}, '{_WORD}') AS INT)
-  + CAST(list_contains({_TOKENS.format("coalesce(signature, '')")}, '{_WORD}') AS INT) AS score FROM sym) SELECT * FROM s WHERE score > 0""",
-    "search_lexical_bm25": f"WITH q AS (SELECT DISTINCT 1 AS query_id, unnest(regexp_extract_all(lower('{LEXICAL_QUERY}'), '[a-z0-9]+')) AS term), {_BM25} SELECT key, score FROM scored ORDER BY score DESC, key LIMIT 25",
-    "lexical_items": f"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM eval_items), {_BM25} SELECT query_id, count(*) AS documents, max(score) AS best FROM scored GROUP BY 1",
-    "index_terms": "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT term, key, count(*) AS tf FROM (SELECT symbol_key AS key, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM symbol_docs) GROUP BY 1, 2) GROUP BY 1",
+    "search_graph": f"""WITH {_SYM}, t AS (SELECT key, qname, {_tokens("name")} AS a, {_tokens("qname")} AS b, {_tokens("signature")} AS c FROM sym)
+  SELECT key, qname, {" + ".join(map(_hits, GRAPH_QUERY.split()))} AS score FROM t WHERE {" AND ".join(f"{_hits(w)} > 0" for w in GRAPH_QUERY.split())}""",
+    "search_lexical_bm25": f"WITH q AS (SELECT DISTINCT 1 AS query_id, unnest(regexp_extract_all(lower('{LEXICAL_QUERY}'), '{_LETTERS}')) AS term), {_BM25} SELECT key, score FROM scored ORDER BY score DESC, key LIMIT 25",
+    "lexical_items": f"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS term FROM eval_items), {_BM25} SELECT query_id, count(*) AS documents, max(score) AS best FROM scored GROUP BY 1",
+    "index_terms": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT term, key, count(*) AS tf FROM (SELECT symbol_key AS key, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS term FROM symbol_docs) GROUP BY 1, 2) GROUP BY 1",
     "normalize_name": f"SELECT DISTINCT qname, {_NORMAL.format('qname')} AS normal FROM symbols",
     "symbol_texts": f"""WITH {_SYM} SELECT key, sha256(trim(array_to_string(list_filter([name, {_NORMAL.format('qname').replace('qname', 'name')}, qname, signature, docstring], lambda x: x IS NOT NULL AND x <> ''), chr(10)), ' ')) AS text_hash
   FROM sym WHERE kind IN ('function', 'method')""",

@@ -76,17 +76,19 @@ class Facts:
     bound: set[str] = field(default_factory=set)  # names imported so far
 
     def read(self, tree: ast.Module) -> "Facts":
-        for node in tree.body:
-            self.visit(node, (), f"{self.module}.__module__")
+        # a stack of its own: expressions may be nested deeper than Python's frames. A definition around is (is function, qualified name)
+        todo = [(node, (), f"{self.module}.__module__") for node in reversed(tree.body)]
+        while todo:
+            node, around, owner = todo.pop()
+            todo += [(n, a, o) for n, a, o in reversed(list(self.visit(node, around, owner)))]
         # the order on the page, then the order of the visit; numbered from 1
         self.calls.sort(key=lambda c: (c["start_line"], c["start_column"]))
         for k, c in enumerate(self.calls, 1):
             c["ordinal"] = k
         return self
 
-    def visit(self, node: ast.AST, around: tuple[tuple[bool, str], ...], owner: str) -> None:
-        """``around``: (is function, qualified name) of the definitions around, outermost first."""
-        go = lambda nodes, a=around, o=owner: [self.visit(n, a, o) for n in nodes]
+    def visit(self, node: ast.AST, around: tuple[tuple[bool, str], ...], owner: str) -> Iterator[tuple[ast.AST, tuple, str]]:
+        """Record a node; gives the nodes below it with what stands around them (outermost first) and their owner."""
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             is_class = isinstance(node, ast.ClassDef)
             qname = self.child(node.name, around)
@@ -100,10 +102,9 @@ class Facts:
             if is_class:
                 self.inheritance += [{"type_qname": qname, "base_name": n, "base_qname": q} for n, q in map(self.base, node.bases) if n]
             # what runs at definition time belongs to the callable around
-            go(node.decorator_list)
-            go([*node.bases, *(k.value for k in node.keywords)] if is_class else [node.args, *([node.returns] if node.returns else [])])
-            go(node.type_params)
-            go(node.body, (*around, (not is_class, qname)), owner if is_class else qname)
+            heads = [*node.bases, *(k.value for k in node.keywords)] if is_class else [node.args, *([node.returns] if node.returns else [])]
+            yield from ((n, around, owner) for n in (*node.decorator_list, *heads, *node.type_params))
+            yield from ((n, (*around, (not is_class, qname)), owner if is_class else qname) for n in node.body)
             return
         if isinstance(node, ast.Import):
             for a in node.names:
@@ -115,7 +116,7 @@ class Facts:
                     self.bind(module, a.name, a.asname)
         elif isinstance(node, ast.Call):
             self.call(node, around, owner)
-        go(ast.iter_child_nodes(node))
+        yield from ((n, around, owner) for n in ast.iter_child_nodes(node))
 
     def child(self, name: str, around: tuple[tuple[bool, str], ...]) -> str:
         if not around:
@@ -168,9 +169,9 @@ class Facts:
         })
 
 
-def file_facts(path: str, repo: str, text: str) -> dict:
+def file_facts(path: str, repo: str, text: str, module: str | None = None) -> dict:
     """The nested row of one Python file; a file that does not parse keeps its row, with one diagnostic."""
-    module = module_name(path, repo)
+    module = module or module_name(path, repo)
     row = {"language": "python", "loc": len(text.splitlines()), "module_qname": module, "parse_status": "ok", "diagnostics": [], "imports": [], "symbols": [], "inheritance": [], "calls": []}
     try:
         with warnings.catch_warnings():
@@ -178,22 +179,26 @@ def file_facts(path: str, repo: str, text: str) -> dict:
             tree = ast.parse(text, filename=path)
     except SyntaxError as e:
         return row | {"parse_status": "error", "diagnostics": [{"category": "syntax_error", "severity": "error", "line_no": e.lineno, "column_no": e.offset, "message": e.msg}]}
+    except (RecursionError, MemoryError) as e:
+        return row | {"parse_status": "error", "diagnostics": [{"category": "too_deep", "severity": "error", "line_no": None, "column_no": None, "message": str(e)[:200]}]}
     facts = Facts(path, module, text).read(tree)
     return row | {"imports": facts.imports, "symbols": facts.symbols, "inheritance": facts.inheritance, "calls": facts.calls}
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """``files``: repo_name, commit_sha, path, content. One nested row per Python file with content."""
+    """``files``: repo_name, commit_sha, path, content. One nested row per Python file with content.
+
+    A column module_qname, where there is one, names the modules; else, and where it is null, their paths do."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         names = [x.strip().split(" ")[0] for x in ("repo_name", "commit_sha", "path", "language", "loc", "module_qname", "parse_status", "diagnostics", "imports", "symbols", "inheritance", "calls")]
         for pdf in batches:
-            rows = [{"repo_name": r, "commit_sha": c, "path": p} | file_facts(p, r or "", t) for r, c, p, t in zip(pdf["repo_name"], pdf["commit_sha"], pdf["path"], pdf["content"])]
+            rows = [{"repo_name": r, "commit_sha": c, "path": p} | file_facts(p, r or "", t, m) for r, c, p, t, m in zip(pdf["repo_name"], pdf["commit_sha"], pdf["path"], pdf["content"], pdf["module_qname"])]
             yield pd.DataFrame(rows, columns=names)
 
-    source = files.where(F.lower("path").endswith(".py") & F.col("content").isNotNull()).select("repo_name", "commit_sha", "path", "content")
+    source = files.where(F.lower("path").endswith(".py") & F.col("content").isNotNull()).select("repo_name", "commit_sha", "path", "content", F.col("module_qname") if "module_qname" in files.columns else F.lit(None).cast("string").alias("module_qname"))
     return spread(source).mapInPandas(run, FILE_SCHEMA)
 
 
