@@ -1,12 +1,13 @@
 """Markup residue: which kinds a text holds, and the clean text a reader would see.
 
-``kinds`` names the markup of a text (html, markdown, wiki, latex); what stands in a fenced block counts as markdown
-only. ``render`` builds the HTML tree (implied end tags, invisible elements, preformatted text), lays its blocks, lists
-and table cells out as text, and then turns Markdown, wiki and LaTeX constructs into the text they show; headings, list
-items, code blocks and formulas stay recognisable.
+One parse gives both. A ``Page`` builds the HTML tree (implied end tags, invisible elements, preformatted text), lays its
+blocks, lists and table cells out as text, and turns Markdown, wiki and LaTeX constructs into the text they show; every
+construct that it meets names its kind (html, markdown, wiki, latex). Headings, list items, code blocks and formulas stay
+recognisable. What stands in a fenced block counts as markdown only; what a construct has shown is kept aside, so that
+its signs are not read again as markup.
 
 Null gives null and no kinds; an empty text gives an empty text. Repeated rows give equal results. Extra columns are
-left alone. Every rule is linear in the length of a line.
+left alone. Every rule is linear in the length of a line, but for commands nested in commands, which take a round each.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30}
 CODE = re.compile(r"(?<![`\\])(`{1,3})(?!`)([^\n]+?)(?<!`)\1(?!`)")
 
 MD_BLOCK = re.compile(
-    r"^(?:[ ]{0,3}#{1,6}[ \t]+\S.*|[ \t]*[-*+][ \t]+\S.*|[ \t]*\d{1,3}[.)][ \t]+\S.*|[ ]{0,3}>[ \t]?\S.*|[ ]{0,3}(?:-[ ]?){3,}[ \t]*|[ ]{0,3}(?:\*[ ]?){3,}[ \t]*|[ ]{0,3}(?:_[ ]?){3,}[ \t]*"
+    r"^(?:[ ]{0,3}#{1,6}[ \t]+\S.*|[ \t]*[-*+][ \t]+\S.*|[ \t]*\d{1,9}[.)][ \t]+\S.*|[ ]{0,3}>[ \t]?\S.*|[ ]{0,3}(?:-[ ]?){3,}[ \t]*|[ ]{0,3}(?:\*[ ]?){3,}[ \t]*|[ ]{0,3}(?:_[ ]?){3,}[ \t]*"
     r"|[ ]{0,3}\|?[ ]*:?-{3,}:?[ ]*(?:\|[ ]*:?-{2,}:?[ ]*)+\|?[ \t]*|[ ]{0,3}\[[^\]\n]+\]:[ \t]+\S.*)$", re.M)
 MD_SETEXT = re.compile(r"^(?=[^\n]*\w)[^\n=|{<>#-][^\n]*\n(?:={3,}|-{3,})[ \t]*$", re.M)
 MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\(([^()\s]*(?:\([^()\s]*\))?[^()\s]*)(?:\s+\"[^\"\n]*\")?\)")
@@ -74,7 +75,7 @@ TEX_ENV = re.compile(r"\\(?:begin|end)\s*\{[a-zA-Z*]+\}")
 TEX_CALL = re.compile(r"(?<![\\\w:])\\([a-zA-Z]+)\*?(?:\[[^\]\n]*\])?\{")
 TEX_BARE = re.compile(r"(?<![\\\w:])\\([a-zA-Z]+)(?![a-zA-Z\\{])")
 TEX_DISPLAY = re.compile(r"\$\$(?=\S)([^$]+?)(?<=\S)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
-TEX_INLINE = re.compile(r"(?<![\w$\\])\$(?![\s$])([^$\n]{1,300}?)(?<![\s\\])\$(?![\w$])")
+TEX_INLINE = re.compile(r"(?<![\w$\\])\$(?![\s$])([^$\n]+?)(?<![\s\\])\$(?![\w$])")
 MATH = re.compile(r"[\\^_{}=+*/<>()-]|^\w$|^[a-zA-Z]\w?$")
 
 
@@ -115,57 +116,6 @@ def segments(text: str) -> list[tuple[bool, str]]:
     return [(f, "\n".join(p)) for f, p in parts if p]
 
 
-def kinds(text: str | None) -> set[str]:
-    found: set[str] = set()
-    if not text:
-        return found
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    for fenced, part in segments(text):
-        if fenced:
-            found.add("markdown")
-            continue
-        if CODE.search(part):
-            found.add("markdown")
-            part = CODE.sub(" x ", part)
-
-        def strip(m: re.Match) -> str:
-            kind = _tag(m)
-            if kind:
-                found.add(kind)
-                return "\n" if m.group(2) and m.group(2).lower() in BLOCK else " "
-            return m.group(0)
-
-        if "<" in part:
-            if MD_AUTO.search(part):
-                found.add("markdown")
-                part = MD_AUTO.sub(" ", part)
-            part = TAG.sub(strip, part)
-        if "&" in part and any(_entity(m) for m in ENTITY.finditer(part)):
-            found.add("html")
-        # formulas first: their signs are no Markdown
-        if "\\" in part or "$" in part:
-            masked = TEX_DISPLAY.sub(lambda m: found.add("latex") or " ", part)
-            masked = TEX_INLINE.sub(lambda m: (found.add("latex") or " ") if _math(m.group(1)) else m.group(0), masked)
-            if TEX_ENV.search(masked) or TEX_CALL.search(masked) or any(m.group(1) in TEX_WORDS for m in TEX_BARE.finditer(masked)):
-                found.add("latex")
-                masked = re.sub(r"\\[a-zA-Z]+\*?(?:\{[^{}\n]*\})?", " ", masked)
-            part = masked
-        if WIKI_LINK.search(part) or WIKI_CALL.search(part) or WIKI_QUOTE.search(part) or WIKI_URL.search(part) or WIKI_BLOCK.search(part):
-            found.add("wiki")
-            part = WIKI_QUOTE.sub(r"\2", WIKI_URL.sub(" ", WIKI_LINK.sub(" ", part)))
-            part = WIKI_BLOCK.sub(" ", part)
-        if MD_BLOCK.search(part) or MD_SETEXT.search(part) or MD_LINK.search(part) or MD_REF.search(part) or MD_BOLD.search(part) or MD_EM.search(part) or MD_STRIKE.search(part):
-            found.add("markdown")
-    return found
-
-
-def all_kinds(text: str | None, heading_path: str | None) -> set[str]:
-    found = kinds(text)
-    for part in (heading_path or "").split(" > "):
-        found |= kinds(part)
-    return found
-
-
 def _hides(attrs: str) -> bool:
     """Whether the attribute hidden or a declaration of the style hides the element."""
     seen = {}
@@ -177,7 +127,8 @@ def _hides(attrs: str) -> bool:
 class _Layout:
     """Tree builder and renderer in one pass: the open elements are a stack, tables collect their rows until they close."""
 
-    def __init__(self) -> None:
+    def __init__(self, keep) -> None:
+        self.keep = keep  # puts text aside that is markup no more
         self.out: list[str] = []
         self.stack: list[str] = []
         self.lists: list[list] = []
@@ -197,11 +148,15 @@ class _Layout:
             self.loose[-1].append(s)
 
     def text(self, s: str) -> None:
-        s = ENTITY.sub(lambda m: html.unescape(m.group(0)) if _entity(m) else m.group(0), s)
+        s = ENTITY.sub(lambda m: self.entity(m) if _entity(m) else m.group(0), s)
         if self.stack[-1:] == ["head"] and s.strip():
             self.close("head")
         self.emit(s.replace("\xa0", " "))
 
+    def entity(self, m: re.Match) -> str:
+        c = html.unescape(m.group(0))
+        return c if c.isalnum() or c.isspace() else self.keep(c)
+
     def line(self) -> None:
         self.emit("\n")
 
@@ -241,7 +196,7 @@ class _Layout:
         if name == "br":
             return self.line()
         if name == "hr":
-            return self.emit("\n---\n")
+            return self.emit("\n" + self.keep("---") + "\n")
         if name == "img":
             m = re.search(r"\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", attrs, re.I)
             return self.emit(m.group(1) or m.group(2) or "") if m else None
@@ -258,7 +213,7 @@ class _Layout:
             if self.lists and self.lists[-1][0] == "ol":
                 self.lists[-1][1] += 1
                 mark = f"{self.lists[-1][1]}. "
-            self.emit("\n" + "  " * depth + mark)
+            self.emit("\n" + self.keep("  " * depth + mark))
         elif name == "table":
             self.tables.append([])
             self.loose.append([])
@@ -286,35 +241,11 @@ def align(rows: list[list[str]]) -> str:
     return "\n".join("  ".join(c.ljust(width[k]) for k, c in enumerate(r)).rstrip() for r in rows)
 
 
-def _html(part: str) -> str:
-    if "<" not in part and "&" not in part:
-        return part
-    lay, at = _Layout(), 0
-    for m in TAG.finditer(part):
-        kind = _tag(m)
-        if kind is None:
-            continue
-        lay.text(part[at : m.start()])
-        at = m.end()
-        if m.group(2):
-            name = m.group(2).lower()
-            if kind == "wiki":
-                continue
-            if m.group(1):
-                lay.close(name)
-            else:
-                lay.open(name, m.group(3) or "", bool(m.group(4)))
-    lay.text(part[at:])
-    while lay.stack:
-        lay.close(lay.stack[-1])
-    return "".join(lay.out)
-
-
-def _tex_text(s: str) -> str:
+def _tex_text(s: str, keep=str) -> str:
     """Commands to what they show; formulas keep their source without the delimiters."""
     s = re.sub(r"\\(?:begin|end)\s*\{(?:itemize|enumerate|description|document|quote|center|equation\*?|align\*?|abstract|verbatim|figure|table)\}(?:\[[^\]\n]*\])?", "", s)
-    s = re.sub(r"^[ \t]*\\item\b[ \t]*(?:\[([^\]\n]*)\])?", lambda m: "- " + (m.group(1) + " " if m.group(1) else ""), s, flags=re.M)
-    for _ in range(4):  # nested commands, from the inside
+    s = re.sub(r"^[ \t]*\\item\b[ \t]*(?:\[([^\]\n]*)\])?", lambda m: keep("- ") + (m.group(1) + " " if m.group(1) else ""), s, flags=re.M)
+    while True:  # nested commands, from the inside; each round takes braces away
         t = re.sub(r"\\(?:part|chapter|(?:sub)*section|paragraph|title)\*?\{([^{}]*)\}", r"\1", s)
         t = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", t)
         t = re.sub(r"\\(?:cite[tp]?|ref|eqref|pageref)\{([^{}]*)\}", r"[\1]", t)
@@ -365,21 +296,6 @@ def _tables(lines: list[str]) -> list[str]:
     return out
 
 
-def _inline(s: str) -> str:
-    s = TEX_DISPLAY.sub(lambda m: next(g for g in m.groups() if g is not None).strip(), s)
-    s = TEX_INLINE.sub(lambda m: m.group(1) if _math(m.group(1)) else m.group(0), s)
-    s = WIKI_CALL.sub(lambda m: m.group(0).strip("{} ").rpartition("|")[2], s)
-    s = WIKI_LINK.sub(lambda m: m.group(2) or m.group(1).partition("Category:")[2] or m.group(1), s)
-    s = WIKI_URL.sub(lambda m: m.group(1) or "", s)
-    s = WIKI_QUOTE.sub(r"\2", s)
-    s = MD_LINK.sub(r"\1", s)
-    s = MD_REF.sub(lambda m: m.group(1) or "", s)
-    s = MD_AUTO.sub(r"\1", s)
-    s = MD_BOLD.sub(lambda m: m.group(1) or m.group(2), s)
-    s = MD_EM.sub(lambda m: m.group(1) or m.group(2), s)
-    return MD_STRIKE.sub(r"\1", s)
-
-
 def _blocks(part: str) -> str:
     lines = _tables(part.split("\n"))
     out: list[str] = []
@@ -396,29 +312,113 @@ def _blocks(part: str) -> str:
     return "\n".join(out)
 
 
+KEPT = re.compile("\x00(\\d+)\x00")
+
+
+class Page:
+    """The parse of one text: ``text``, what a reader sees, and ``kinds``, those of the constructs met."""
+
+    def __init__(self, source: str):
+        self.kinds: set[str] = set()
+        self.kept: list[str] = []
+        done = []
+        for fenced, part in segments(source.replace("\x00", "\ufffd").replace("\r\n", "\n").replace("\r", "\n")):
+            if fenced:
+                self.kinds.add("markdown")
+            done.append(part if fenced else self.part(part))
+        clean = "\n".join(x.rstrip() for x in "\n".join(done).split("\n"))
+        self.text = re.sub(r"\n{3,}", "\n\n", clean).strip()
+
+    def keep(self, s: str) -> str:
+        self.kept.append(s)
+        return f"\x00{len(self.kept) - 1}\x00"
+
+    def shown(self, s: str) -> str:
+        """With everything kept aside put back."""
+        while "\x00" in s:
+            s = KEPT.sub(lambda m: self.kept[int(m.group(1))], s)
+        return s
+
+    def met(self, kind: str, s: str) -> str:
+        self.kinds.add(kind)
+        return s
+
+    def sub(self, pattern: re.Pattern, kind: str, show, s: str) -> str:
+        return pattern.sub(lambda m: self.met(kind, show(m)), s)
+
+    def part(self, s: str) -> str:
+        s = self.sub(CODE, "markdown", lambda m: self.keep(m.group(2)), s)
+        if "<" in s:
+            s = self.sub(MD_AUTO, "markdown", lambda m: self.keep(m.group(1)), s)
+        out = []
+        for pre, piece in segments(self.html(s)):
+            read = self.marked(piece)
+            out.append(piece if pre else read)  # preformatted text is read for its kinds, and shown as it stands
+        return self.shown("\n".join(out))
+
+    def html(self, s: str) -> str:
+        """The layout of the element tree."""
+        if "<" not in s and "&" not in s:
+            return s
+        if "&" in s and any(_entity(m) for m in ENTITY.finditer(s)):
+            self.kinds.add("html")
+        lay, at = _Layout(self.keep), 0
+        for m in TAG.finditer(s):
+            kind = _tag(m)
+            if kind is None:
+                continue
+            self.kinds.add(kind)
+            lay.text(s[at : m.start()])
+            at = m.end()
+            if m.group(2) and kind != "wiki":
+                name = m.group(2).lower()
+                if m.group(1):
+                    lay.close(name)
+                else:
+                    lay.open(name, m.group(3) or "", bool(m.group(4)))
+        lay.text(s[at:])
+        while lay.stack:
+            lay.close(lay.stack[-1])
+        return "".join(lay.out)
+
+    def marked(self, s: str) -> str:
+        """LaTeX, wiki and Markdown constructs, in this order: the signs of formulas are no Markdown."""
+        if "\\" in s or "$" in s:
+            s = self.sub(TEX_DISPLAY, "latex", lambda m: self.keep(next(g for g in m.groups() if g is not None).strip()), s)
+            s = TEX_INLINE.sub(lambda m: self.met("latex", self.keep(m.group(1))) if _math(m.group(1)) else m.group(0), s)
+            if TEX_ENV.search(s) or TEX_CALL.search(s) or any(m.group(1) in TEX_WORDS for m in TEX_BARE.finditer(s)):
+                self.kinds.add("latex")
+                s = _tex_text(s, self.keep)
+        s = self.sub(WIKI_CALL, "wiki", lambda m: m.group(0).strip("{} ").rpartition("|")[2], s)
+        s = self.sub(WIKI_LINK, "wiki", lambda m: m.group(2) or m.group(1).partition("Category:")[2] or m.group(1), s)
+        s = self.sub(WIKI_URL, "wiki", lambda m: m.group(1) or "", s)
+        s = self.sub(WIKI_QUOTE, "wiki", lambda m: m.group(2), s)
+        if WIKI_BLOCK.search(s):
+            self.kinds.add("wiki")
+        rest = WIKI_BLOCK.sub(" ", s)
+        if MD_BLOCK.search(rest) or MD_SETEXT.search(rest):
+            self.kinds.add("markdown")
+        s = _blocks(s)
+        s = self.sub(MD_LINK, "markdown", lambda m: m.group(1), s)
+        s = self.sub(MD_REF, "markdown", lambda m: m.group(1) or "", s)
+        s = self.sub(MD_BOLD, "markdown", lambda m: m.group(1) or m.group(2), s)
+        s = self.sub(MD_EM, "markdown", lambda m: m.group(1) or m.group(2), s)
+        return self.sub(MD_STRIKE, "markdown", lambda m: m.group(1), s)
+
+
+def kinds(text: str | None) -> set[str]:
+    return Page(text).kinds if text else set()
+
+
+def all_kinds(text: str | None, heading_path: str | None) -> set[str]:
+    found = kinds(text)
+    for part in (heading_path or "").split(" > "):
+        found = found | kinds(part)
+    return found
+
+
 def render(text: str | None) -> str | None:
-    if text is None:
-        return None
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    done: list[str] = []
-    for fenced, part in segments(text):
-        if fenced:
-            done.append(part)
-            continue
-        kept: list[str] = []
-
-        def keep(m: re.Match) -> str:
-            kept.append(m.group(2))
-            return f"\x00{len(kept) - 1}\x00"
-
-        part = CODE.sub(keep, part)
-        sub = []
-        for pre, piece in segments(_html(part)):
-            sub.append(piece if pre else _inline(_blocks(_tex_text(piece))))
-        part = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], "\n".join(sub))
-        done.append(part)
-    clean = "\n".join(x.rstrip() for x in "\n".join(done).split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", clean).strip()
+    return None if text is None else Page(text).text
 
 
 def render_path(path: str | None) -> str | None:

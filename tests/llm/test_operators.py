@@ -228,6 +228,14 @@ def test_render():
     assert len(markup.render("<b>" * 20_000)) >= 0 and len(markup.render("[" * 20_000)) > 0
 
 
+def test_kinds_come_from_the_parse():
+    # what a construct has shown is no markup: entities, formulas, list marks of other notations
+    assert markup.kinds("&#42;a&#42; and &lt;b&gt;") == {"html"} and markup.render("&#42;a&#42; and &lt;b&gt;") == "*a* and <b>"
+    assert markup.kinds("$a*b*c$ x_1") == {"latex"} and markup.kinds("<ul><li>a<li>b</ul><hr>") == {"html"}
+    deep = "\\emph{" * 9 + "x" + "}" * 9
+    assert markup.render(deep) == "x" and markup.render("a $" + "x+" * 400 + "y$ b").startswith("a x+") and markup.kinds("a\x00b") == set()
+
+
 def test_render_all_visible_text():
     t = markup.render("<table><caption>Cap</caption><tr>loose<td>a</td>between<td>b</td></tr>direct<tr><td>c<td><table><caption>In</caption><tr><td>d</table></table>after")
     assert all(w in t for w in ("Cap", "loose", "a  b", "between", "direct", "In", "c", "d", "after")) and t.index("Cap") < t.index("a  b") < t.index("after")
