@@ -2,10 +2,11 @@
 
 1. Each file is lexed into rows: one row per top-level statement with its token classes, exploded to tokens where a step
    needs them. A token's class says nothing of its text, so literals are judged here: a wrong one is an ``ERR``. The language is that of the path's extension, whatever the language column says.
+   Equal statements are one shape, and each distinct shape is looked at once.
 2. Adjacent token pairs are anti-joined with the pairs that the language's grammar permits (a fixed table, broadcast).
-3. Nesting is validated by windows over the bracket tokens of a statement.
-4. Statement productions: equal statements are one shape; each distinct shape is recognised once, and the statements of
-   shapes that no production makes are flagged. TOML keys and tables that clash with another one of the same name, or
+3. Nesting is validated by windows over the bracket tokens of a shape.
+4. Statement productions: shapes that no production makes are flagged by a recogniser (the host's parser on a text of the
+   shape, or the JavaScript grammar here), because productions nest beyond what windows reduce. TOML keys and tables that clash with another one of the same name, or
    with one that stands above it, are flagged by grouped counts over the prefixes of their names.
 5. An exact check of the flagged files follows, with whole texts; it only removes false alarms.
 
@@ -32,6 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+try:
+    import _tokenize  # the same tokenizer without a named tuple for each token
+except ImportError:
+    _tokenize = None
+
 from sorrel.llm import grammar as G
 from sorrel.llm import js_grammar as js
 from sorrel.plans.runtime import cut, spread, width
@@ -46,60 +52,81 @@ def language(path: str | None) -> str | None:
     return EXTENSIONS.get((path or "").rsplit(".", 1)[-1].lower()) if path and "." in path else None
 
 
+_WORDS = {w: w for w in (*keyword.kwlist, *G.SOFT)}
+_DEPTH = {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}
+
+
+def _tokens(text: str) -> Iterator[tuple]:
+    """(kind, text, start, end, ...) of Python's own tokenizer, as plain tuples where it gives them."""
+    read = io.StringIO(text).readline
+    return _tokenize.TokenizerIter(read, extra_tokens=True) if _tokenize else tokenize.generate_tokens(read)
+
+
 # lexers: (unit of token classes, key name or None)
 def python_units(text: str) -> list[list[str]]:
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    units: list[list[str]] = [[]]
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    unit: list[str] = []
+    units = [unit]
     depth = level = 0
     if "\0" in text:
         return [["ERR"]]
-    rows = list(io.StringIO(text))
+    rows: list[str] = []
     fstart: list[tuple[int, int]] = []
     fresh, decorated = True, False
     try:
-        for tok in tokenize.generate_tokens(io.StringIO(text).readline):
-            kind, s = tok.type, tok.string
-            if kind in (T.COMMENT, T.NL, T.ENCODING):
-                continue
-            if kind == T.FSTRING_START:
-                fstart.append(tok.start)
+        for kind, s, start, end, *_ in _tokens(text):
+            if kind == T.COMMENT or kind == T.NL:
                 continue
-            if kind == T.FSTRING_END:
+            if fstart:
+                if kind == T.FSTRING_START:
+                    fstart.append(start)
+                    continue
+                if kind != T.FSTRING_END:
+                    continue
                 start = fstart.pop()
                 if fstart:
                     continue
-                cls = "FSTR" if _expression(_slice(rows, start, tok.end)) else "ERR"
-            elif fstart:
-                continue
-            elif kind == T.ENDMARKER:
-                break
+                rows = rows or list(io.StringIO(text))
+                cls = "FSTR" if _expression(_slice(rows, start, end)) else "ERR"
             elif kind == T.NAME:
-                cls = s if keyword.iskeyword(s) or s in G.SOFT else "NAME"
-            elif kind == T.NUMBER:
-                cls = "NUM" if s[0] != "0" and len(s) < 4000 or len(s) == 1 or _expression(s) else "ERR"
+                cls = _WORDS.get(s, "NAME")
+            elif kind == T.OP:
+                cls = s
+            elif kind == T.NEWLINE:
+                unit.append("NEWLINE")
+                fresh = level == 0 and depth == 0
+                continue
             elif kind == T.STRING:
                 cls = "BSTR" if "b" in s[: s.find(s[-1])].lower() else "STR"
                 if ("\\" in s or cls == "BSTR" and not s.isascii()) and not _expression(s):
                     cls = "ERR"
+            elif kind == T.NUMBER:
+                cls = "NUM" if s[0] != "0" and len(s) < 4000 or len(s) == 1 or _expression(s) else "ERR"
             elif kind == T.INDENT:
-                cls, level = "INDENT", level + 1
+                unit.append("INDENT")
+                level += 1
+                continue
             elif kind == T.DEDENT:
-                cls, level = "DEDENT", level - 1
-            elif kind == T.NEWLINE:
-                cls = "NEWLINE"
-            elif kind == T.OP:
-                cls = s
+                level -= 1
+                unit.append("DEDENT")
+                fresh = level == 0 and depth == 0
+                continue
+            elif kind == T.FSTRING_START:
+                fstart.append(start)
+                continue
+            elif kind == T.ENDMARKER:
+                break
             else:
                 cls = "ERR"
-            if fresh and level == 0 and depth == 0 and cls not in ("DEDENT", "INDENT", "NEWLINE"):
-                if units[-1] and not MID.match(cls) and not decorated:
-                    units.append([])
+            if fresh and level == 0 and depth == 0:
+                if unit and not MID.match(cls) and not decorated:
+                    unit = []
+                    units.append(unit)
                 decorated = cls == "@"
                 fresh = False
-            units[-1].append(cls)
-            depth += (cls in "([{") - (cls in ")]}") if len(cls) == 1 else 0
-            if cls in ("NEWLINE", "DEDENT"):
-                fresh = level == 0 and depth == 0
+            unit.append(cls)
+            if cls in _DEPTH:
+                depth += _DEPTH[cls]
     except (tokenize.TokenError, SyntaxError, IndexError, ValueError):
         units[-1].append("ERR")
     return [u for u in units if u]
@@ -476,32 +503,39 @@ def _rows(pa, rows: list[tuple], kind):
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["file_key", "lang", "unit", "tokens", "name"])
 
 
-def bad_pairs(units: DataFrame) -> DataFrame:
-    """file_key of files with a token pair that no grammar rule makes. Pairs across statements are covered by the last and first token."""
-    spark = units.sparkSession
+def shapes_of(units: DataFrame) -> DataFrame:
+    """shape, lang, tokens of each distinct statement: what follows looks at every shape once, however many files hold it."""
+    # combined in each task first: a common statement may be a third of all rows. Then a fixed number of partitions: the
+    # shapes are few bytes and much work, which size-based coalescing would put into one task
+    return cut(units.select("lang", "tokens").distinct().repartition(width(units.sparkSession)).withColumn("shape", F.monotonically_increasing_id()))
+
+
+def bad_pairs(shapes: DataFrame) -> DataFrame:
+    """Shapes with a token pair that no grammar rule makes. The ends of a file are tokens, too."""
+    spark = shapes.sparkSession
     allowed = spark.createDataFrame(G.permitted(), "lang string, pair int")
     ints = F.transform("tokens", lambda x: x.cast("int"))
-    inside = units.select("file_key", "lang", ints.alias("t")).where("size(t) > 1").select("file_key", "lang", F.explode(F.array_distinct(F.zip_with(F.expr("slice(t, 1, size(t) - 1)"), F.expr("slice(t, 2, size(t) - 1)"), lambda a, b: a * 2048 + b))).alias("pair"))
-    return inside.join(F.broadcast(allowed), ["lang", "pair"], "left_anti").select("file_key").distinct()
+    inside = shapes.select("shape", "lang", ints.alias("t")).where("size(t) > 1").select("shape", "lang", F.explode(F.array_distinct(F.zip_with(F.expr("slice(t, 1, size(t) - 1)"), F.expr("slice(t, 2, size(t) - 1)"), lambda a, b: a * 2048 + b))).alias("pair"))
+    return inside.join(F.broadcast(allowed), ["lang", "pair"], "left_anti").select("shape")
 
 
-def bad_nesting(units: DataFrame) -> DataFrame:
-    """file_key of files with brackets that do not match, by windows over the bracket tokens of each statement."""
+def bad_nesting(shapes: DataFrame) -> DataFrame:
+    """Shapes with brackets that do not match, by windows over the bracket tokens of each."""
     code = G.codes()
     kinds = {code[m + b]: (k if b in OPENERS else -k) for b, k in (OPENERS | CLOSERS).items() for m in ("", js.NL)}
     lookup = F.create_map(*[F.lit(x) for c, k in kinds.items() for x in (c, k)])
-    brackets = units.select("file_key", "unit", F.posexplode("tokens").alias("pos", "tok")).where(F.col("tok").isin(*kinds)).withColumn("k", F.element_at(lookup, F.col("tok").cast("int")))
-    of = W.partitionBy("file_key", "unit")
+    brackets = shapes.select("shape", F.posexplode("tokens").alias("pos", "tok")).where(F.col("tok").isin(*kinds)).withColumn("k", F.element_at(lookup, F.col("tok").cast("int")))
+    of = W.partitionBy("shape")
     level = F.sum(F.signum("k")).over(of.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) + F.when(F.col("k") < 0, 1).otherwise(0)
     leveled = brackets.withColumn("level", level)
-    at = W.partitionBy("file_key", "unit", "level").orderBy("pos")
+    at = W.partitionBy("shape", "level").orderBy("pos")
     checked = leveled.withColumn("prev", F.lag("k").over(at)).withColumn("next", F.lead("k").over(at))
     wrong = (F.col("level") < 1) | ((F.col("k") < 0) & (F.coalesce(F.col("prev"), F.lit(0)) != -F.col("k"))) | ((F.col("k") > 0) & (F.coalesce(F.col("next"), F.lit(0)) != -F.col("k")))
-    return checked.where(wrong).select("file_key").distinct()
+    return checked.where(wrong).select("shape")
 
 
-def bad_productions(units: DataFrame) -> DataFrame:
-    """file_key of files with a statement whose shape no production makes; each distinct shape is recognised once."""
+def bad_productions(shapes: DataFrame) -> DataFrame:
+    """Shapes that no production makes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -510,16 +544,20 @@ def bad_productions(units: DataFrame) -> DataFrame:
         edge = {G.codes()["BOF"], G.codes()["EOF"]}
         for batch in batches:
             keep = []
-            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 tokens = [js.NL + names[c - G.NLS] if c >= G.NLS else names[c] for c in t if c not in edge]
                 keep.append(not production(lang, tokens))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["shape"])
+
+    return shapes.where("lang <> 'json'").select("shape", "lang", "tokens").mapInArrow(run, "shape long")
+
 
-    shaped = units.where("lang <> 'json'").select("file_key", "lang", "tokens")
-    # a fixed number of partitions: the shapes are few bytes and much work, which size-based coalescing would put into one task
-    shapes = shaped.select("lang", "tokens").repartition(width(units.sparkSession), "lang", "tokens").distinct()
-    wrong = shapes.mapInArrow(run, "lang string, tokens array<short>")
-    return shaped.join(wrong, ["lang", "tokens"], "left_semi").select("file_key").distinct()
+def bad_statements(units: DataFrame) -> DataFrame:
+    """file_key of files with a statement of a wrong shape: by its token pairs, its nesting, or its production."""
+    shapes = shapes_of(units)
+    bad = bad_pairs(shapes).unionAll(bad_nesting(shapes)).unionAll(bad_productions(shapes)).distinct()
+    wrong = cut(shapes.join(bad, "shape", "left_semi").select("lang", "tokens"))
+    return units.join(wrong, ["lang", "tokens"], "left_semi").select("file_key")
 
 
 def repeated_keys(units: DataFrame) -> DataFrame:
@@ -544,7 +582,7 @@ def repeated_keys(units: DataFrame) -> DataFrame:
 def unparsable(files: DataFrame) -> DataFrame:
     """file_key, lang of each file whose content is not valid in the language of its extension."""
     units = cut(lexed(files))
-    flagged = cut(bad_pairs(units).unionAll(bad_nesting(units)).unionAll(bad_productions(units)).unionAll(repeated_keys(units)).distinct())
+    flagged = cut(bad_statements(units).unionAll(repeated_keys(units)).distinct())
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
