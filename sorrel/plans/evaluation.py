@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import subprocess
+import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from sorrel.functions.scalars import stable_json
-from sorrel.sources.scan import git_commit
+from sorrel.operators import evaluate as E
+from sorrel.plans import labelled
+from sorrel.sources.scan import git_head
 
 KINDS = {"synthetic", "dogfood", "external"}
 REQUIRED_KINDS = {"synthetic", "dogfood"}
@@ -48,8 +55,73 @@ def tree_digest(root: Path) -> str:
     return digest.hexdigest()
 
 
+SITE = ["owner_qname", "start_line", "start_column", "ordinal", "raw_callee"]
+EDGES = ("has_method", "inherits", "calls")
+
+
+def load_truth(path: Path) -> dict:
+    """call_sites (rows of SITE and status), all or none of the edge lists (pairs of qualified names), statuses (their counts), lexical (query and target)."""
+    try:
+        truth = json.loads(path.read_text())
+    except (OSError, ValueError) as e:
+        raise EvaluationError(f"no truth at {path}: {e}") from e
+    if not isinstance(truth, dict) or 0 < sum(k in truth for k in EDGES) < len(EDGES):
+        raise EvaluationError(f"{path}: all of {EDGES} or none")
+    if not all(set(SITE) | {"status"} <= set(r) for r in truth.get("call_sites", [])):
+        raise EvaluationError(f"{path}: a call site lacks a field")
+    return truth
+
+
+def compared(g, truth: dict | None) -> dict:
+    """state and the differences of a graph (from sources) from its truth; a corpus without truth passes."""
+    if truth is None:
+        return {"state": "passed"}
+    spark, out = g.symbols.sparkSession, {}
+    if "call_sites" in truth:
+        want = spark.createDataFrame([tuple(r[c] for c in (*SITE, "status")) for r in truth["call_sites"]], "owner_qname string, start_line int, start_column int, ordinal int, raw_callee string, status string")
+        out["call_sites"] = [r.asDict() for r in E.call_site_difference(want, g.resolved, SITE).orderBy(*SITE).take(100)]
+    if EDGES[0] in truth:
+        names = g.symbols.select("key", "qname").unionAll(g.inits.select("key", "qname"))
+        found = labelled.edges(g)
+        for kind in EDGES:
+            e = found[kind.upper()].join(names.select(F.col("key").alias("src"), F.col("qname").alias("a")), "src").join(names.select(F.col("key").alias("dst"), F.col("qname").alias("b")), "dst")
+            want = spark.createDataFrame([tuple(x) for x in truth[kind]], "a string, b string")
+            out[kind] = [r.asDict() for r in E.set_difference(want, e, ["a", "b"]).orderBy("a", "b").take(100)]
+    if "statuses" in truth:
+        got = {r.status: r["count"] for r in g.resolved.groupBy("status").count().collect()}
+        out["statuses"] = [] if got == truth["statuses"] else [{"want": truth["statuses"], "got": got}]
+    result = {"state": "failed" if any(out.values()) else "passed", "differences": out}
+    return result | ({"lexical": lexical(g, truth["lexical"])} if "lexical" in truth else {})
+
+
+def lexical(g, queries: list[dict], runs: int = 5) -> dict:
+    """Rank metrics of the queries, and the times of ``runs`` runs of each (milliseconds, three decimals)."""
+    from sorrel.operators.textsearch import top_documents
+
+    spark, ranked, times = g.docs.sparkSession, [], []
+    for k, q in enumerate(queries):
+        for _ in range(runs):
+            t = time.perf_counter()
+            rows = top_documents(g.docs, q["query"], 25).collect()
+            times.append(1000 * (time.perf_counter() - t))
+        ranked += [(k, r.key, r.rank) for r in rows]
+    metrics = E.lexical_metrics(spark.createDataFrame(ranked, "query_id int, key string, rank int"), spark.createDataFrame([(k, q["target"]) for k, q in enumerate(queries)], "query_id int, target string")).first().asDict()
+    times.sort()
+    n = len(times)
+    return metrics | ({"p50_ms": round(times[(n - 1) // 2], 3), "p95_ms": round(times[max(0, -(-95 * n // 100) - 1)], 3)} if n else {})
+
+
+def working_tree(root: Path) -> dict:
+    """What a tree without a fixed pin is: commit, whether files differ from it (null without git), digest."""
+    try:
+        dirty = bool(subprocess.run(["git", "-C", str(root), "status", "--porcelain"], capture_output=True, text=True, check=True).stdout.strip())
+    except (OSError, subprocess.CalledProcessError):
+        dirty = None
+    return {"commit": git_head(root), "dirty": dirty, "digest": tree_digest(root)}
+
+
 def preflight(corpora: list[dict], project_root: Path, require_pins: bool = False) -> list[dict]:
-    """Resolve and pin-check every corpus before anything changes: id, path, state (ready or skipped), pin state."""
+    """Resolve and pin-check every corpus before anything changes: id, path, state (ready or skipped), pin state, truth."""
     out, names = [], set()
     for c in corpora:
         raw = c.get("path") or os.environ.get(c.get("path_env", ""), "")
@@ -72,10 +144,15 @@ def preflight(corpora: list[dict], project_root: Path, require_pins: bool = Fals
             if not want and not require_pins:
                 ok, state = True, "optional_unpinned"
             else:
-                ok = bool(want) and (git_commit(path) or "") == want[:12]
+                ok = bool(want) and (git_head(path) or "").lower() == want.lower()
         if not ok:
             raise EvaluationError(f"{c['id']}: the pin does not hold")
-        out.append({"id": c["id"], "state": "ready", "path": str(path), "pin": state})
+        ready = {"id": c["id"], "state": "ready", "path": str(path), "pin": state}
+        if kind == "working_tree":
+            ready["tree"] = working_tree(path)
+        if "truth" in c:
+            ready["truth"] = load_truth(project_root / c["truth"])
+        out.append(ready)
     return out
 
 

@@ -3,7 +3,9 @@
 ``Graph`` holds narrow tables of current rows: ``repositories`` (repo_name, commit_sha, root_path, indexed_at), ``files`` (file_key,
 repo_name, path), ``symbols`` (key, repo_name, commit_sha, path, kind, name, qname, signature, start_line, end_line, cyclomatic,
 parent_qname), ``sites`` (site_key, repo_name, commit_sha, owner_key, target_key, resolution), ``inherits`` (child_key, parent_key),
-``imports`` (repo_name, commit_sha, path, module, imported_name, alias) and ``docs`` (key, repo_name, kind, text).
+``imports`` (repo_name, commit_sha, path, module, imported_name, alias), ``docs`` (key, repo_name, kind, text), ``inits`` (the pseudo
+callables of modules: key, repo_name, commit_sha, path, name, qname, start_line, end_line), ``diagnostics`` (diagnostic_key, file_key,
+repo_name, category, severity, line_no, column_no, message) and ``constructs`` (edge_key, src_key, type_key, resolution, repo_name).
 """
 
 from __future__ import annotations
@@ -55,6 +57,10 @@ class Graph:
     inherits: DataFrame
     imports: DataFrame
     docs: DataFrame
+    inits: DataFrame
+    diagnostics: DataFrame
+    constructs: DataFrame
+    resolved: DataFrame | None = None  # the call sites with all their columns, of a graph from sources
 
     @property
     def edges(self) -> DataFrame:
@@ -77,7 +83,12 @@ def from_tables(spark: SparkSession, d: str) -> Graph:
     facts = X.extract(files.where(F.col("content").isNotNull()))
     imports = X.import_rows(facts).select("repo_name", "commit_sha", "path", "module", F.col("name").alias("imported_name"), "alias")
     docs = table(spark, d, "symbol_docs").select(F.col("symbol_key").alias("key"), "repo_name", "kind", "text")
-    return Graph(table(spark, d, "repositories").distinct(), files, sym, cs, inherits, imports, docs)
+    inits = sym.where("kind = 'module_init'")
+    owner = files.select("file_key", "repo_name")
+    diagnostics = current(table(spark, d, "parse_diagnostics"), "diagnostic_key").join(owner, "file_key")
+    built = cs.where("owner_key is not null and target_key is not null").where(F.col("resolution").startswith("constructor_exact"))
+    constructs = built.select(F.col("site_key").alias("edge_key"), F.explode(F.array("site_key", "owner_key")).alias("src_key"), F.col("target_key").alias("type_key"), "resolution", "repo_name")
+    return Graph(table(spark, d, "repositories").distinct(), files, sym, cs, inherits, imports, docs, inits, diagnostics, constructs)
 
 
 def from_sources(files: DataFrame, notes: DataFrame | None = None) -> Graph:
@@ -91,13 +102,17 @@ def from_sources(files: DataFrame, notes: DataFrame | None = None) -> Graph:
     proj = R.projections(res).select(F.col("edge_key").alias("site_key"), F.col("target_key").alias("t"), F.col("resolution").alias("how"))
     sites = res.select("site_key", "repo_name", "commit_sha", "owner_key", "status").join(proj, "site_key", "left").select("site_key", "repo_name", "commit_sha", "owner_key", F.col("t").alias("target_key"), F.coalesce("how", "status").alias("resolution"))
     repos = files.select("repo_name", "commit_sha").distinct().withColumn("root_path", F.lit(None).cast("string")).withColumn("indexed_at", F.current_timestamp())
-    flat = facts.select(X.key("path").alias("file_key"), "repo_name", "commit_sha", "path", "loc", "parse_status", "module_qname")
+    flat = facts.select(X.key("path").alias("file_key"), "repo_name", "commit_sha", "path", "language", "loc", "parse_status", "module_qname")
+    inits = X.init_rows(facts)
+    diagnostics = X.diagnostic_rows(facts).withColumn("file_key", X.key("path")).withColumnRenamed("key", "diagnostic_key")
+    constructs = R.constructions(res).withColumn("repo_name", F.substring_index("snap", "@", 1))
     docs = sym.where(F.col("kind").isin(*CALLABLES))
     if notes is not None:
         docs = docs.join(M.descriptions(M.chunk_notes(notes), sym), ["repo_name", "commit_sha", "qname"], "left")
     docs = docs.select("key", "repo_name", "kind", symbol_text("name", "qname", "signature", "docstring", "texts" if notes is not None else None).alias("text"))
     imports = X.import_rows(facts).select("repo_name", "commit_sha", "path", "module", F.col("name").alias("imported_name"), "alias")
-    return Graph(repos, flat, sym, sites, R.inherits_edges(X.inheritance_rows(facts), X.import_rows(facts), sym).select("child_key", "parent_key"), imports, docs)
+    inherits = R.inherits_edges(X.inheritance_rows(facts), X.import_rows(facts), sym).select("child_key", "parent_key")
+    return Graph(repos, flat, sym, sites, inherits, imports, docs, inits, diagnostics, constructs, res)
 
 
 def _scope(df: DataFrame, repo: str | None, commit: str | None) -> DataFrame:

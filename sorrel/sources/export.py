@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from sorrel.functions.scalars import stable_json
 from sorrel.operators.evaluate import dangling, duplicate_keys
+from sorrel.plans import labelled
 from sorrel.plans.graph import Graph
 
 VERSION = 1
-LABELS = {"type": "Type", "function": "Function", "method": "Method", "module_init": "ModuleInit"}
-SYMBOL_HEADER = ("key:ID", "repo_name", "commit", "path", "name", "qname", "signature", "start_line:int", "end_line:int", "cyclomatic:int")
+TYPED = {"start_line": "start_line:int", "end_line": "end_line:int", "cyclomatic": "cyclomatic:int", "loc": "loc:int", "line_no": "line:int", "column_no": "column:int", "commit_sha": "commit", "edge_key": "key"}
 
 
 class ExportError(ValueError):
@@ -25,38 +25,36 @@ class ExportError(ValueError):
 
 def nodes(g: Graph) -> dict[str, tuple[tuple[str, ...], DataFrame]]:
     """label -> header and rows (first column: the key)."""
-    cols = ("key", "repo_name", "commit_sha", "path", "name", "qname", "signature", "start_line", "end_line", "cyclomatic")
-    syms = g.symbols if "name" in g.symbols.columns else g.symbols.withColumn("name", F.col("qname"))
-    out = {label: (SYMBOL_HEADER, syms.where(F.col("kind") == kind).select(*[c if c in syms.columns else F.lit(None).alias(c) for c in cols])) for kind, label in LABELS.items()}
-    out["CallSite"] = (("key:ID", "repo_name", "commit", "owner_key", "status"), g.sites.select("site_key", "repo_name", "commit_sha", "owner_key", "resolution"))
-    return out
+    return {label: (("key:ID", *(TYPED.get(c, c) for c in df.columns[1:])), df) for label, df in labelled.nodes(g).items()}
 
 
 def edges(g: Graph) -> dict[str, tuple[tuple[str, ...], DataFrame]]:
     """type -> header and rows (start, end first)."""
-    return {
-        "EXACT_CALLS": ((":START_ID", ":END_ID", "key", "resolution"), g.edges.select("src", "dst", "edge_key", "resolution")),
-        "INHERITS": ((":START_ID", ":END_ID"), g.inherits.select("child_key", "parent_key")),
-    }
+    out = {}
+    for kind, df in labelled.edges(g).items():
+        rows = df.drop("repo_name")
+        out[kind] = ((":START_ID", ":END_ID", *(TYPED.get(c, c) for c in rows.columns[2:])), rows)
+    return out
 
 
 def validate(g: Graph) -> None:
-    """Duplicate node keys, dangling ends and duplicate edge keys, found before any file is written."""
-    keys = None
-    for _, df in nodes(g).values():
-        k = df.select(F.col(df.columns[0]).alias("key"))
-        keys = k if keys is None else keys.unionAll(k)
-    twice = duplicate_keys(keys, "key").take(1)
+    """Duplicate node keys, dangling ends and duplicate edge keys, found before any file is written.
+
+    Two files of one module are refused, too. Equal imports are one edge; constructions have one key for two edges."""
+    twice = duplicate_keys(labelled.node_rows(g), "key").take(1)
     if twice:
         raise ExportError(f"node key {twice[0].key} is there twice")
-    for name, (_, df) in edges(g).items():
-        for end in df.columns[:2]:
-            lost = dangling(df.select(F.lit(name).alias("edge_key"), F.col(end).alias("end")), keys).take(1)
-            if lost:
-                raise ExportError(f"{name} ends at {lost[0].end}, which is no node")
-    repeated = duplicate_keys(g.edges, "edge_key").take(1)
+    modules = g.files.where("module_qname is not null").groupBy("repo_name", *(["commit_sha"] if "commit_sha" in g.files.columns else []), "module_qname").agg(F.count_distinct("file_key").alias("n")).where("n > 1").take(1)
+    if modules:
+        raise ExportError(f"module {modules[0].module_qname} has {modules[0].n} files")
+    all_edges = labelled.edge_rows(g)
+    ends = all_edges.select(F.col("type").alias("edge_key"), F.explode(F.array("src", "dst")).alias("end"))
+    lost = dangling(ends, labelled.node_rows(g)).take(1)
+    if lost:
+        raise ExportError(f"{lost[0].edge_key} ends at {lost[0].end}, which is no node")
+    repeated = all_edges.where("edge_key is not null and type <> 'CONSTRUCTS'").groupBy("type", "edge_key").count().where("count > 1").take(1)
     if repeated:
-        raise ExportError(f"edge key {repeated[0].key} is there twice")
+        raise ExportError(f"edge key {repeated[0].edge_key} is there twice")
 
 
 def _text(v: object) -> str:
@@ -114,6 +112,23 @@ def read_manifest(path: str | Path) -> dict:
     return m
 
 
+def reload(spark: SparkSession, manifest: str | Path) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The nodes by label and the edges by type of an export, numbers as numbers; rows are counted against the manifest."""
+    m = read_manifest(manifest)
+    out = []
+    for group in ("nodes", "relationships"):
+        tables = {}
+        for name, item in m[group].items():
+            df = read_back(spark, manifest, group, name)
+            df = df.select(*[F.col(f"`{c}`").cast("int").alias(c[:-4]) if c.endswith(":int") else F.col(f"`{c}`").alias({"key:ID": "key", ":START_ID": "src", ":END_ID": "dst"}.get(c, c)) for c in df.columns])
+            n = df.count()
+            if n != item["count"]:
+                raise ExportError(f"{name}: {n} rows, {item['count']} in the manifest")
+            tables[name] = df
+        out.append(tables)
+    return out[0], out[1]
+
+
 def read_back(spark: SparkSession, manifest: str | Path, group: str, name: str) -> DataFrame:
     """A file of an export as a DataFrame of strings; empty text is null."""
     item = read_manifest(manifest)[group].get(name)

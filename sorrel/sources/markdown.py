@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, takewhile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,45 +23,42 @@ def mentions(text: str) -> list[str]:
     return [m for m in dict.fromkeys(MENTION.findall(text)) if len(m) <= LONGEST_MENTION]
 
 
-def sections(lines: list[str], name: str) -> list[tuple[str, int, int]]:
-    """(heading path, first line, last line), 0-based and half open; what stands before the first heading is left out."""
-    heads = [(k, len(m.group(1)), m.group(2).strip()) for k, m in enumerate(map(HEADING.match, lines)) if m]
-    if not heads:
-        return [(name, 0, len(lines))]
-    out, path = [], []
-    for (k, level, title), end in zip(heads, [h[0] for h in heads[1:]] + [len(lines)]):
-        path = _above(path, level) + [(level, title)]
-        out.append((" > ".join(t for _, t in path), k, end))
-    return out
+Place = tuple[int, int]  # lines, 0-based and half open
+
 
+def sections(lines: list[str], name: str) -> list[tuple[str, Place]]:
+    """Heading path and place of each section; what stands before the first heading is left out."""
+    heads = [(k, m) for k, line in enumerate(lines) if (m := HEADING.match(line))]
+    # the titles above a heading are those of lower level that no heading in between has closed
+    paths = accumulate(((len(m.group(1)), m.group(2).strip()) for _, m in heads), lambda above, head: [*takewhile(lambda t: t[0] < head[0], above), head], initial=[])
+    starts = [k for k, _ in heads] + [len(lines)]
+    named = [" > ".join(title for _, title in path) for path in list(paths)[1:]]
+    return list(zip(named, zip(starts, starts[1:]))) if heads else [(name, (0, len(lines)))]
 
-def _above(path: list[tuple[int, str]], level: int) -> list[tuple[int, str]]:
-    while path and path[-1][0] >= level:
-        path = path[:-1]
-    return path
+
+def fences(lines: list[str], place: Place) -> list[Place]:
+    """Fenced blocks of a section; a fence that nothing closes is a block of one line."""
+    at: dict[str, list[int]] = {mark: [k for k in range(*place) if lines[k].lstrip().startswith(mark)] for mark in FENCES}
+    out: list[Place] = []
+    for k, mark in sorted((k, mark) for mark, ks in at.items() for k in ks):
+        if not out or k >= out[-1][1]:
+            later = bisect_right(at[mark], k)
+            out.append((k, (at[mark][later] if later < len(at[mark]) else k) + 1))
+    return out
 
 
-def ranges(lines: list[str], start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Prose and fenced blocks of a section in order; an unclosed fence is a block of one line."""
-    prose = k = start
-    while k < end:
-        mark = lines[k].lstrip()[:3]
-        if mark not in FENCES:
-            k += 1
-            continue
-        if prose < k:
-            yield prose, k
-        stop = next((j for j in range(k + 1, end) if lines[j].lstrip().startswith(mark)), k)
-        yield k, stop + 1
-        prose = k = stop + 1
-    if prose < end:
-        yield prose, end
+def ranges(lines: list[str], place: Place) -> list[Place]:
+    """Fenced blocks and the prose between them, in order."""
+    blocks = fences(lines, place)
+    edges = [place[0], *(x for b in blocks for x in b), place[1]]
+    prose = [p for p in zip(edges[::2], edges[1::2]) if p[0] < p[1]]
+    return sorted(prose + blocks)
 
 
 def chunks(path: str, text: str) -> list[dict]:
     lines, out = text.splitlines(), []
-    for heading, start, end in sections(lines, path.rsplit("/", 1)[-1]):
-        for a, b in ranges(lines, start, end):
+    for heading, place in sections(lines, path.rsplit("/", 1)[-1]):
+        for a, b in ranges(lines, place):
             body = "\n".join(lines[a:b]).strip()
             if body:
                 out.append({"chunk_index": len(out), "heading_path": heading, "start_line": a + 1, "end_line": b, "text": body, "mentions": mentions(body)})

@@ -1,12 +1,15 @@
-"""Parquet tables of the graph, partitioned by repository, published by generation.
+"""Parquet tables of the graph, by repository, published by generation.
 
-A generation is a folder ``gen=<id>`` with one folder per table; ``CURRENT`` names the one readers use and is replaced
-atomically after validation. Replacing a repository writes a new generation in which only that repository's partition
-changes; rows of one key are merged. Nothing is changed in place, so a failed publish leaves the old generation.
+A generation is what one publication wrote: in each table's folder a folder ``gen=<id>``, and in that one the repository's
+folder ``repo_name=<repository>``. ``CURRENT`` maps every table and repository to the folder that readers use; it is replaced
+atomically after validation. So a repository is replaced without touching the rows of any other one, a failed publish
+leaves everything as it was, and readers of the pointer before still find their files until the next ``prune``. The root
+is a folder of a file system that the driver and all executors share.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import uuid
@@ -17,18 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sorrel.functions.scalars import stable_json
+
 S, I, L = T.StringType(), T.IntegerType(), T.LongType()  # noqa: E741
 _type = lambda *cols: T.StructType([T.StructField(n, t) for n, t in cols])
 SCHEMAS = {
     "repositories": _type(("repo_name", S), ("commit_sha", S), ("root_path", S), ("indexed_at", T.TimestampType())),
-    "files": _type(("file_key", S), ("repo_name", S), ("commit_sha", S), ("path", S), ("loc", I), ("parse_status", S), ("module_qname", S)),
+    "files": _type(("file_key", S), ("repo_name", S), ("commit_sha", S), ("path", S), ("language", S), ("loc", I), ("parse_status", S), ("module_qname", S)),
     "symbols": _type(("key", S), ("repo_name", S), ("commit_sha", S), ("path", S), ("kind", S), ("name", S), ("qname", S), ("signature", S), ("start_line", I), ("end_line", I), ("cyclomatic", I), ("parent_qname", S)),
     "sites": _type(("site_key", S), ("repo_name", S), ("commit_sha", S), ("owner_key", S), ("target_key", S), ("resolution", S)),
     "inherits": _type(("child_key", S), ("parent_key", S), ("repo_name", S)),
     "imports": _type(("repo_name", S), ("commit_sha", S), ("path", S), ("module", S), ("imported_name", S), ("alias", S)),
     "docs": _type(("key", S), ("repo_name", S), ("kind", S), ("text", S)),
+    "inits": _type(("key", S), ("repo_name", S), ("commit_sha", S), ("path", S), ("name", S), ("qname", S), ("start_line", I), ("end_line", I)),
+    "diagnostics": _type(("diagnostic_key", S), ("file_key", S), ("repo_name", S), ("category", S), ("severity", S), ("line_no", I), ("column_no", I), ("message", S)),
+    "constructs": _type(("edge_key", S), ("src_key", S), ("type_key", S), ("resolution", S), ("repo_name", S)),
+    "nodes": _type(("label", S), ("key", S), ("repo_name", S)),
+    "edges": _type(("type", S), ("src", S), ("dst", S), ("repo_name", S), ("edge_key", S), ("resolution", S), ("name", S), ("alias", S)),
 }
-KEYS = {"files": "file_key", "symbols": "key", "sites": "site_key", "docs": "key"}
+DERIVED = ("nodes", "edges")  # rewritten from the other tables with every publication
+KEYS = {"files": "file_key", "symbols": "key", "sites": "site_key", "docs": "key", "inits": "key", "diagnostics": "diagnostic_key", "nodes": "key"}
 
 
 class StoreError(RuntimeError):
@@ -40,65 +51,78 @@ class Store:
         self.spark, self.root = spark, Path(root)
 
     @property
-    def current(self) -> Path | None:
+    def current(self) -> dict | None:
+        """table -> repository -> folder below the root."""
         pointer = self.root / "CURRENT"
-        return self.root / pointer.read_text().strip() if pointer.exists() else None
+        return json.loads(pointer.read_text())["tables"] if pointer.exists() else None
 
     def bootstrap(self) -> None:
-        """Create the folder and an empty first generation; does nothing when there is one."""
+        """Create the folder and an empty pointer; does nothing when there is one."""
         if self.current is None:
             self.root.mkdir(parents=True, exist_ok=True)
-            self.publish({n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
+            self._point({n: {} for n in SCHEMAS})
+
+    def _point(self, tables: dict) -> None:
+        before = self.current or {}
+        staged = self.root / f".CURRENT.{uuid.uuid4().hex[:12]}"
+        staged.write_text(stable_json({"tables": tables, "before": sorted({f.split("/")[1] for t in before.values() for f in t.values()})}))
+        os.replace(staged, self.root / "CURRENT")
 
     def read(self, name: str) -> DataFrame:
-        if self.current is None or not (self.current / name).exists():
+        now = self.current
+        if now is None or name not in now:
             raise StoreError(f"read {name}: no published table")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(str(self.current / name))
+        return self._rows(name, [str(self.root / f) for f in now[name].values()])
+
+    def _rows(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        fields = SCHEMAS[name].fieldNames()
+        return self.spark.read.schema(SCHEMAS[name]).option("basePath", str(self.root / name)).parquet(*folders).select(fields)
+
+    def replace(self, repo: str, tables: dict[str, DataFrame], validate: Callable[[Callable[[str], DataFrame]], None] | None = None) -> str:
+        """All commits of ``repo`` give way to ``tables``, in those tables only; rows of one key are merged.
 
-    def publish(self, tables: dict[str, DataFrame], validate: Callable[[Path], None] | None = None) -> Path:
-        """Stage, validate, swap the pointer; on failure the staged folder goes and the old generation stays."""
-        gen = self.root / f"gen={uuid.uuid4().hex[:12]}"
+        ``validate`` gets a function that reads the repository's new rows of a table. Returns the generation's name."""
+        self.bootstrap()
+        gen = f"gen={uuid.uuid4().hex[:12]}"
+        now = {n: dict(t) for n, t in self.current.items()}
+        new: dict[str, list[str]] = {}
         try:
             for name, df in tables.items():
-                df.select(*SCHEMAS[name].fieldNames()).write.partitionBy("repo_name").parquet(str(gen / name)) if df.take(1) else self._empty(name, gen)
-            self._unique(gen)
+                if name in KEYS:
+                    df = df.dropDuplicates([KEYS[name]])
+                df.select(*SCHEMAS[name].fieldNames()).write.partitionBy("repo_name").parquet(str(self.root / name / gen))
+                written = sorted(p.name for p in (self.root / name / gen).glob("repo_name=*"))
+                if len(written) > 1:
+                    raise ValueError(f"{name}: rows of another repository")
+                new[name] = [f"{name}/{gen}/{p}" for p in written]
+                now.setdefault(name, {}).pop(repo, None)
+                now[name] |= {repo: f for f in new[name]}
             if validate:
-                validate(gen)
+                validate(lambda name: self._rows(name, [str(self.root / f) for f in new.get(name, [])]))
         except Exception as e:
-            shutil.rmtree(gen, ignore_errors=True)
+            for name in tables:
+                shutil.rmtree(self.root / name / gen, ignore_errors=True)
             raise StoreError(f"publish: {e}") from e
-        staged = self.root / f".CURRENT.{gen.name}"
-        staged.write_text(gen.name)
-        os.replace(staged, self.root / "CURRENT")
+        self._point(now)
         return gen
 
-    def _empty(self, name: str, gen: Path) -> None:
-        self.spark.createDataFrame([], SCHEMAS[name]).write.parquet(str(gen / name))
-
-    def _unique(self, gen: Path) -> None:
-        for name, key in KEYS.items():
-            df = self.spark.read.schema(SCHEMAS[name]).parquet(str(gen / name))
-            twice = df.groupBy(key).count().where("count > 1").take(1)
-            if twice:
-                raise ValueError(f"{name}: {twice[0][0]} is there twice")
-
-    def replace(self, repo: str, tables: dict[str, DataFrame], validate: Callable[[Path], None] | None = None) -> Path:
-        """A new generation in which all commits of ``repo`` give way to ``tables``; an empty table removes its rows."""
-        self.bootstrap()
-        out = {}
-        for name in SCHEMAS:
-            kept = self.read(name).where(~F.col("repo_name").eqNullSafe(repo))
-            new = tables.get(name)
-            if new is not None and name in KEYS:
-                new = new.dropDuplicates([KEYS[name]])
-            out[name] = kept if new is None else kept.unionByName(new.select(*SCHEMAS[name].fieldNames()))
-        return self.publish(out, validate)
+    def prune(self) -> list[str]:
+        """Remove generations that neither the pointer nor the one before it names; returns their names."""
+        state = json.loads((self.root / "CURRENT").read_text())
+        used = {f.split("/")[1] for t in state["tables"].values() for f in t.values()} | set(state["before"])
+        gone = [p for p in self.root.glob("*/gen=*") if p.name not in used]
+        for p in gone:
+            shutil.rmtree(p, ignore_errors=True)
+        return sorted({p.name for p in gone})
 
     def delete(self, repo: str) -> int:
         """Rows deleted of all node tables (the repository counts as one); 0 for an unknown repository."""
         self.bootstrap()
+        now = self.current
         n = sum(self.read(t).where(F.col("repo_name") == repo).count() for t in ("files", "symbols", "sites"))
-        n += bool(self.read("repositories").where(F.col("repo_name") == repo).take(1))
+        n += repo in now["repositories"]
         if n:
-            self.replace(repo, {})
+            self._point({name: {r: f for r, f in t.items() if r != repo} for name, t in now.items()})
         return n

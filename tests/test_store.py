@@ -49,7 +49,7 @@ def test_index_replace_delete_export(spark, tree, tmp_path, capsys):
     cli.main([*at, "reindex", str(tree)], spark)
     assert store.current != first and store.read("symbols").count() == 1
 
-    def fail(gen):
+    def fail(read):
         raise ValueError("no")
 
     kept = store.current
@@ -62,6 +62,43 @@ def test_index_replace_delete_export(spark, tree, tmp_path, capsys):
         Store(spark, tmp_path / "none").read("symbols")
 
 
+def test_documents_alone_and_other_repositories(spark, tree, tmp_path):
+    store = Store(spark, tmp_path / "store")
+    cli.index(spark, store, tree)
+    other = tree.parent / "beta"
+    other.mkdir()
+    (other / "b.py").write_text("import os\nclass A:\n    def __init__(self):\n        pass\ndef make():\n    return A()\n")
+    (other / "broken.py").write_text("def f(:\n")
+    before = {n: dict(t) for n, t in store.current.items()}
+    cli.index(spark, store, other)
+    assert all(store.current[n].get("alpha") == before[n].get("alpha") for n in SCHEMAS)  # untouched
+    counts = {n: store.read(n).count() for n in SCHEMAS}
+    assert cli.main(["--store", str(tmp_path / "store"), "bulk-docs", str(tree)], spark) == 0
+    assert {n: store.read(n).count() for n in SCHEMAS} == counts
+    assert cli.main(["--store", str(tmp_path / "store"), "validate-bulk-index", str(tree)], spark) == 0
+    (tree / "pkg" / "a b.py").write_text("def new():\n    pass\n")
+    assert cli.main(["--store", str(tmp_path / "store"), "validate-bulk-index", str(tree)], spark) == 1
+    kinds = {r.type: r["count"] for r in store.read("edges").where("repo_name = 'beta'").groupBy("type").count().collect()}
+    assert kinds == {"CONTAINS": 7, "DEFINES": 2, "HAS_DIAGNOSTIC": 1, "INITIALIZES": 2, "HAS_METHOD": 1, "IMPORTS": 1, "HAS_CALLSITE": 1, "RESOLVES_TO": 1, "CALLS": 1, "EXACT_CALLS": 1, "CONSTRUCTS": 2}
+    labels = {r.label: r["count"] for r in store.read("nodes").where("repo_name = 'beta'").groupBy("label").count().collect()}
+    assert labels == {"Repository": 1, "File": 2, "Module": 3, "ParseDiagnostic": 1, "ModuleInit": 2, "Type": 1, "Function": 1, "Method": 1, "CallSite": 1}
+
+
+def test_truth(spark, tree, tmp_path):
+    _, g = cli.load(spark, tree)
+    sites = [r.asDict() for r in g.resolved.select(*evaluation.SITE, "status").collect()]
+    truth = {"call_sites": sites, "has_method": [["pkg.a b.T", "pkg.a b.T.m"]], "inherits": [], "calls": [["pkg.a b.one", "pkg.a b.two"], ["pkg.a b.T.m", "pkg.a b.T.m"]], "statuses": {"exact_local": 1, "self_direct": 1}, "lexical": [{"query": "one", "target": g.symbols.where("name = 'one'").first().key}]}
+    (tmp_path / "t.json").write_text(json.dumps(truth))
+    got = evaluation.compared(g, evaluation.load_truth(tmp_path / "t.json"))
+    assert got["state"] == "passed" and got["lexical"]["top1"] == 1.0 and got["lexical"]["p95_ms"] > 0
+    wrong = truth | {"call_sites": [sites[0] | {"status": "dynamic"}, *sites[1:]]}
+    assert evaluation.compared(g, wrong)["state"] == "failed"
+    assert evaluation.compared(g, truth | {"inherits": [["a", "b"]]})["differences"]["inherits"][0]["difference"] == "missing"
+    (tmp_path / "u.json").write_text('{"inherits": []}')
+    with pytest.raises(evaluation.EvaluationError):
+        evaluation.load_truth(tmp_path / "u.json")
+
+
 def test_export_round_trip(spark, tree, tmp_path):
     _, g = cli.load(spark, tree)
     a, b = export.export(g, tmp_path / "x"), export.export(g, tmp_path / "y")
@@ -70,6 +107,8 @@ def test_export_round_trip(spark, tree, tmp_path):
     m = export.read_manifest(a)
     assert m["nodes"]["Function"]["count"] == 2 and m["relationships"]["EXACT_CALLS"]["count"] == 2
     assert export.read_back(spark, a, "nodes", "Function").count() == 2
+    nodes, edges = export.reload(spark, a)
+    assert {r.start_line for r in nodes["Function"].collect()} == {1, 4} and edges["CALLS"].count() == 2 and "CONTAINS" in edges
     (a.parent / "nodes_Function.csv").unlink()
     with pytest.raises(export.ExportError):
         export.read_manifest(a)
