@@ -1,9 +1,10 @@
 """References to records that do not exist, found through a Bloom filter of the parent keys.
 
 The filter is register-blocked: a key sets four bits in one 64-bit word. Its words are built with bit_or (partial
-aggregation before the shuffle) and broadcast; their number is at most ``MAX_WORDS``, whatever the key count, so
-the broadcast is bounded (16 MB of words). A saturated filter lets more references through to the exact join, and
-never gives a wrong answer. References whose bits are missing are orphans for certain and skip the exact join.
+aggregation before the shuffle), packed into rows of ``BLOCK`` words and broadcast. There are at most ``MAX_WORDS`` of them,
+whatever the key count, so the broadcast is at most 64 MB; up to some fifty million keys it denies nearly every orphan,
+beyond that ever more references go through to the exact join, and it never gives a wrong answer. References whose bits
+are missing are orphans for certain and skip the exact join.
 
 Null references are none. Repeated rows of a reference count once, from their first arrival. Empty parents make
 every reference ``missing``. Extra columns are ignored.
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from sorrel.plans.runtime import cut
 
-MAX_WORDS = 1 << 20
+MAX_WORDS = 1 << 23
 KEYS_PER_WORD = 4
+BLOCK = 512
 
 
 def _word(key: str, words: int):
@@ -30,18 +32,24 @@ def _mask(key: str):
     return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
 
 
-def bloom_words(keys: DataFrame, key: str, n_keys: int, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
-    words = 64
+def bloom_blocks(keys: DataFrame, key: str, n_keys: int, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
+    """block, bits (array of BLOCK words): every word of the filter; and their number."""
+    words = BLOCK
     while words * KEYS_PER_WORD < n_keys and words < max_words:
         words *= 2
-    return keys.where(F.col(key).isNotNull()).select(_word(key, words).alias("word"), _mask(key).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits")), words
+    marked = keys.where(F.col(key).isNotNull()).select(_word(key, words).alias("word"), _mask(key).alias("mask"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
+    bits = marked.unionAll(every).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    packed = bits.groupBy(F.shiftright("word", BLOCK.bit_length() - 1).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
+    return packed, words
 
 
 def might_contain(refs: DataFrame, key: str, bloom: DataFrame, words: int) -> DataFrame:
     """``refs`` with the boolean column ``maybe``."""
-    b = F.broadcast(bloom.withColumnRenamed("word", "_w"))
-    r = refs.withColumn("_w0", _word(key, words)).withColumn("_m", _mask(key))
-    return r.join(b, F.col("_w0") == F.col("_w"), "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("_m")) == F.col("_m"), F.lit(False))).drop("_w", "_w0", "_m", "bits")
+    b = F.broadcast(bloom.select(F.col("block").alias("_b"), F.col("bits").alias("_bits")))
+    r = refs.withColumn("_w", _word(key, words)).withColumn("_m", _mask(key))
+    bits = F.get("_bits", F.pmod("_w", F.lit(BLOCK)).cast("int"))
+    return r.join(b, F.shiftright("_w", BLOCK.bit_length() - 1) == F.col("_b")).withColumn("maybe", bits.bitwiseAND(F.col("_m")) == F.col("_m")).drop("_w", "_m", "_b", "_bits")
 
 
 def reference_rows(call_sites: DataFrame, inheritance: DataFrame) -> DataFrame:
@@ -77,7 +85,7 @@ def orphan_references(call_sites: DataFrame, inheritance: DataFrame, symbols: Da
     refs = reference_rows(call_sites, inheritance)
     n = symbols.count()
     keys = symbols.select(F.explode(F.array("symbol_key", F.when(F.col("kind") == "type", F.concat_ws("\x1f", F.lit("type"), "repo_name", "qname")))).alias("target"))
-    bloom, words = bloom_words(keys, "target", n, max_words)
+    bloom, words = bloom_blocks(keys, "target", n, max_words)
     tested = cut(might_contain(refs, "target", bloom, words))
     sure = tested.where("not maybe").select("ref_field", "row_key", "target", "ref_at", F.lit("missing").alias("kind"))
     states = target_states(symbols).withColumnRenamed("target", "t2").withColumn("there", F.lit(True))

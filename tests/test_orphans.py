@@ -40,7 +40,8 @@ def test_a_saturated_filter_changes_nothing(spark):
 
 def test_bloom_filter_never_denies_a_key(spark):
     keys = spark.range(3000).selectExpr("cast(id as string) as k")
-    bloom, words = O.bloom_words(keys, "k", 3000)
+    bloom, words = O.bloom_blocks(keys, "k", 3000)
+    assert bloom.count() * O.BLOCK == words
     tested = O.might_contain(spark.range(6000).selectExpr("cast(id as string) as k", "id"), "k", bloom, words)
     assert tested.where("id < 3000 and not maybe").count() == 0
     assert tested.where("id >= 3000 and maybe").count() < 900
