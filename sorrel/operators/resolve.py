@@ -115,16 +115,19 @@ def linearizations(types: DataFrame, bases: DataFrame) -> DataFrame:
     counts = types.groupBy("snap", "qname").agg(F.count("*").alias("n"))
     info = cut(counts.join(bases.withColumnRenamed("type_qname", "qname"), ["snap", "qname"], "left").select(
         "snap", "qname", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), (F.coalesce("incomplete", F.lit(False)) | (F.col("n") > 1)).alias("broken")))
+    # a type without bases is its own order; the closure is that of the others
+    lone = info.where(F.size("parents") == 0).select("snap", "qname", F.when(~F.col("broken"), F.array("qname")).alias("mro"))
     up = info.select("snap", "qname", F.explode("parents").alias("parent")).distinct()
-    near = cut(info.select("snap", "qname", F.col("qname").alias("above")).unionAll(up.select("snap", "qname", F.col("parent").alias("above"))).distinct())
+    near = cut(up.select("snap", "qname", F.col("parent").alias("above")))
     known = near.count()
-    while True:  # doubling: the number of rounds is the logarithm of the depth
+    while known:  # doubling: the number of rounds is the logarithm of the depth
         again = near.select("snap", "qname", F.col("above").alias("mid")).join(near.select("snap", F.col("qname").alias("mid"), "above"), ["snap", "mid"])
-        near = cut(again.select("snap", "qname", "above").distinct())
+        near = cut(near.unionAll(again.select("snap", "qname", "above")).distinct())
         now = near.count()
         if now == known:
             break
         known = now
+    near = near.unionAll(up.select("snap", "qname", F.col("qname").alias("above"))).distinct()
     rows = near.join(info.select("snap", F.col("qname").alias("above"), "parents", "broken"), ["snap", "above"]).groupBy("snap", "qname").agg(F.collect_list(F.struct("above", "parents", "broken")).alias("rows"))
 
     def run(batches: Iterator) -> Iterator:
@@ -132,7 +135,7 @@ def linearizations(types: DataFrame, bases: DataFrame) -> DataFrame:
             pdf["mro"] = [linearize(q, {r["above"]: list(r["parents"]) for r in rows}, {r["above"] for r in rows if r["broken"]}) for q, rows in zip(pdf["qname"], pdf["rows"])]
             yield pdf[["snap", "qname", "mro"]]
 
-    return rows.mapInPandas(run, "snap string, qname string, mro array<string>")
+    return lone.unionAll(rows.mapInPandas(run, "snap string, qname string, mro array<string>"))
 
 
 def methods(symbols: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.functions.scalars import clamp_rows
+from sorrel.functions.scalars import clamp_rows, fulltext_query
 from sorrel.plans.runtime import cut
 
 K1, B = 1.2, 0.75
@@ -24,7 +22,8 @@ def name_tokens(c) -> Column:
 
 def search_names(symbols: DataFrame, query: str, fields: tuple[str, ...] = ("name", "qname", "signature")) -> DataFrame:
     """Symbols of which every query word is a token of some field; ``score``: hits over words and fields. No words: all symbols, score 0."""
-    words = [w.lower() for w in re.findall(r"\w+", query)]
+    wanted = fulltext_query(query)
+    words = [] if wanted == "*:*" else wanted.lower().split(" and ")
     tokens = [name_tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields]
     score = F.lit(0)
     found = symbols

@@ -28,7 +28,8 @@ def trails(edges: DataFrame, starts: DataFrame | None, depth: int) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame | None, depth: int) -> DataFrame:
     """start, node, depth, path: one shortest path for each pair within ``depth``; among equals the smallest node sequence.
 
-    Layer by layer, nodes already reached leave the frontier; a pair of equal ends has no path.
+    Layer by layer, nodes already reached leave the frontier, and so do starts whose pairs are all found; a pair of equal ends
+    has no path.
     """
     e = edges.select("src", "dst").where("src <> dst").distinct()
     starts = pairs.select("start").distinct() if pairs is not None else e.select(F.col("src").alias("start")).distinct()
@@ -41,6 +42,11 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame | None, depth: int) -> Dat
         if is_empty(front):
             break
         seen = seen.unionAll(front)
+        if pairs is not None:
+            missing = cut(pairs.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start").distinct())
+            if is_empty(missing):
+                break
+            front = front.join(missing, "start", "left_semi")
     out = seen.where("depth > 0")
     return out.join(pairs, ["start", "node"], "left_semi") if pairs is not None else out
 

@@ -68,3 +68,16 @@ def test_entry_has_an_oracle_for_known_queries_only():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert F is not None
+
+
+def test_search_reads_words_of_all_scripts(spark):
+    sym = spark.createDataFrame([("k1", "prüfeGröße", "m.prüfeGröße", "def prüfeGröße(ñandú)"), ("k2", "size", "m.size", "def size()")], "key string, name string, qname string, signature string")
+    assert [r.key for r in S.search_names(sym, "größe ñandú").collect()] == ["k1"] and S.search_names(sym, "?!").count() == 2
+    docs = spark.createDataFrame([("a", "Die Größe der Datei"), ("b", "索引 的 规则"), ("c", "size")], "key string, text string")
+    assert [r.key for r in S.top_documents(docs, "größe").collect()] == ["a"] and [r.key for r in S.top_documents(docs, "索引").collect()] == ["b"]
+
+
+def test_path_search_stops_when_all_pairs_are_found(spark):
+    edges = spark.createDataFrame([(str(k), f"n{k}", f"n{k + 1}") for k in range(9)] + [("x", "n0", "m"), ("y", "m", "n2")], "edge_key string, src string, dst string")
+    pairs = spark.createDataFrame([("n0", "n2"), ("n3", "n5"), ("n5", "n3")], "start string, node string")
+    assert {(r.start, r.node): r.path for r in T.shortest_paths(edges, pairs, 8).collect()} == {("n0", "n2"): ["n0", "m", "n2"], ("n3", "n5"): ["n3", "n4", "n5"]}

@@ -117,3 +117,15 @@ def test_linearization():
     assert R.linearize("D", {"D": ["A", "B"], "B": ["A"]}, set()) is None
     assert R.linearize("A", {"A": ["B"], "B": ["A"]}, set()) is None
     assert R.linearize("A", {"A": ["B"]}, {"B"}) is None
+
+
+def test_depth_costs_no_frames(spark):
+    source = "def f(a):\n    return " + " + ".join(["g(a)"] * 3000) + "\n"
+    df = spark.createDataFrame([("r", "c", "a.py", source), ("r", "c", "b.py", "x = " + "(" * 5000 + ")" * 5000)], "repo_name string, commit_sha string, path string, content string")
+    got = {r.path: r for r in X.extract(df).collect()}
+    assert len(got["a.py"].calls) == 3000 and got["b.py"].parse_status == "error" and len(got["b.py"].diagnostics) == 1
+    n = 5000
+    order = R.linearize("t0", {f"t{k}": [f"t{k + 1}"] for k in range(n)}, set())
+    assert order == [f"t{k}" for k in range(n + 1)]
+    assert R.linearize("a", {"a": ["b"], "b": ["a"]}, set()) is None and R.linearize("a", {"a": ["b", "c"], "b": ["d"], "c": ["d"]}, set()) == ["a", "b", "c", "d"]
+    assert R.linearize("a", {"a": ["b", "c"], "b": ["c", "d"], "c": ["d"], "e": ["b"]}, {"d"}) is None
