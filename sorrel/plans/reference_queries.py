@@ -34,8 +34,9 @@ def definition_unique(spark, d):
 
 
 def qname_ambiguity(spark, d):
-    s = G.from_tables(spark, d).symbols.where("kind <> 'module_init'")
-    return s.groupBy("repo_name", "commit_sha", "qname").agg(F.count("*").alias("n")).where("n > 1")
+    """Qualified names that name several symbols, deleted ones too: without a repository no selector accepts them."""
+    s = table(spark, d, "symbols").where("kind <> 'module_init'")
+    return s.groupBy("qname").agg(F.count_distinct("symbol_key").alias("n")).where("n > 1")
 
 
 def callers_d1(spark, d):
@@ -174,11 +175,12 @@ def edge_set_diff(spark, d):
 
 
 def truth_diff(spark, d):
-    """Call sites of the first deliveries (truth) against the current ones: missing, extra, mismatch."""
-    cs = table(spark, d, "call_sites")
+    """Call sites whose owner some symbol row has (truth) against those whose status names an owner: missing, extra, mismatch."""
+    cs = G.current(table(spark, d, "call_sites"), "site_key")
     cols = ["repo_name", "owner_qname", "start_line", "start_column", "ordinal", "raw_callee"]
-    pick = lambda f, name: cs.groupBy("site_key").agg(f(F.struct(*cols, F.col("status")), "arrived_at").alias("r")).select("site_key", "r.*")
-    return E.call_site_difference(pick(F.min_by, "truth").drop("site_key"), pick(F.max_by, "now").drop("site_key"), cols).groupBy("difference").agg(F.count("*").alias("n"))
+    owners = table(spark, d, "symbols").select(F.col("symbol_key").alias("owner_key")).distinct()
+    truth = cs.join(owners, "owner_key", "left_semi").select(*cols, F.when(F.col("target_key").isNull() & F.col("status").startswith("exact"), "unresolved").otherwise(F.col("status")).alias("status"))
+    return E.call_site_difference(truth, cs.where("status <> 'owner_unresolved'").select(*cols, "status"), cols).groupBy("difference").agg(F.count("*").alias("n"))
 
 
 def structural_metrics(spark, d):
@@ -314,7 +316,7 @@ ORACLES = {
   FROM (SELECT repo_name, arg_max(struct_pack(commit_sha := commit_sha, root_path := root_path), struct_pack(a := indexed_at, b := commit_sha)) AS c FROM repositories GROUP BY 1) r LEFT JOIN f USING (repo_name) ORDER BY 1 LIMIT 100""",
     "current_symbols": f"WITH {_SYM} SELECT repo_name, kind, count(*) AS n, max(end_line) AS last_line FROM sym GROUP BY 1, 2",
     "definition_unique": f"WITH {_SYM} SELECT repo_name, commit_sha, qname, max(key) AS key FROM sym WHERE kind <> 'module_init' GROUP BY 1, 2, 3 HAVING count(*) = 1",
-    "qname_ambiguity": f"WITH {_SYM} SELECT repo_name, commit_sha, qname, count(*) AS n FROM sym WHERE kind <> 'module_init' GROUP BY 1, 2, 3 HAVING count(*) > 1",
+    "qname_ambiguity": "SELECT qname, count(DISTINCT symbol_key) AS n FROM symbols WHERE kind <> 'module_init' GROUP BY 1 HAVING count(DISTINCT symbol_key) > 1",
     "callers_d1": f"WITH {_EDGES} SELECT DISTINCT dst AS key, src AS caller, resolution FROM edges",
     "callees_d1": f"WITH {_EDGES} SELECT DISTINCT src AS key, dst AS callee, resolution FROM edges",
     "callees_d3": _trails(_EDGES, "edges", "src", "dst", 3),
@@ -351,10 +353,11 @@ ORACLES = {
   UNION ALL SELECT 'replaced_still_indexed', key FROM r WHERE key NOT IN (SELECT key FROM e) AND key IN (SELECT key FROM i)""",
     "edge_set_diff": """WITH t AS (SELECT DISTINCT repo_name, type_qname AS a, base_qname AS b FROM inheritance WHERE base_qname IS NOT NULL), n AS (SELECT DISTINCT repo_name, qname AS a, parent_qname AS b FROM symbols WHERE parent_qname IS NOT NULL)
   SELECT repo_name, a, b, 'missing' AS difference FROM (SELECT * FROM t EXCEPT SELECT * FROM n) UNION ALL SELECT repo_name, a, b, 'extra' FROM (SELECT * FROM n EXCEPT SELECT * FROM t)""",
-    "truth_diff": """WITH t AS (SELECT site_key, arg_min(struct_pack(repo_name := repo_name, owner_qname := owner_qname, start_line := start_line, start_column := start_column, ordinal := ordinal, raw_callee := raw_callee, status := status), arrived_at) AS r FROM call_sites GROUP BY 1),
-  n AS (SELECT site_key, arg_max(struct_pack(repo_name := repo_name, owner_qname := owner_qname, start_line := start_line, start_column := start_column, ordinal := ordinal, raw_callee := raw_callee, status := status), arrived_at) AS r FROM call_sites GROUP BY 1),
-  a AS (SELECT DISTINCT r.* FROM t), b AS (SELECT DISTINCT r.* FROM n),
-  j AS (SELECT CASE WHEN b.raw_callee IS NULL THEN 'missing' WHEN a.raw_callee IS NULL THEN 'extra' WHEN a.status IS DISTINCT FROM b.status THEN 'mismatch' END AS difference FROM a FULL JOIN b
+    "truth_diff": """WITH c AS (SELECT r.* FROM (SELECT site_key, arg_max(struct_pack(repo_name := repo_name, owner_key := owner_key, owner_qname := owner_qname, start_line := start_line, start_column := start_column, ordinal := ordinal,
+    raw_callee := raw_callee, status := status, target_key := target_key), arrived_at) AS r FROM call_sites GROUP BY 1)
+  ), a AS (SELECT DISTINCT repo_name, owner_qname, start_line, start_column, ordinal, raw_callee, CASE WHEN target_key IS NULL AND status LIKE 'exact%' THEN 'unresolved' ELSE status END AS status FROM c WHERE owner_key IN (SELECT symbol_key FROM symbols)
+  ), b AS (SELECT DISTINCT repo_name, owner_qname, start_line, start_column, ordinal, raw_callee, status FROM c WHERE status <> 'owner_unresolved'
+  ), j AS (SELECT CASE WHEN b.raw_callee IS NULL THEN 'missing' WHEN a.raw_callee IS NULL THEN 'extra' WHEN a.status IS DISTINCT FROM b.status THEN 'mismatch' END AS difference FROM a FULL JOIN b
     ON a.repo_name = b.repo_name AND a.owner_qname = b.owner_qname AND a.start_line = b.start_line AND a.start_column = b.start_column AND a.ordinal = b.ordinal AND a.raw_callee = b.raw_callee)
   SELECT difference, count(*) AS n FROM j WHERE difference IS NOT NULL GROUP BY 1""",
     "structural_metrics": f"""WITH {_EDGES}, {_INH[len(_SYM) + 2 :]} SELECT 'symbols_' || kind AS metric, count(*) AS n FROM sym GROUP BY 1 UNION ALL SELECT 'call_sites', count(*) FROM sites

@@ -10,6 +10,7 @@ from sorrel.operators import resolve as R
 from sorrel.plans import graph as G
 from sorrel.plans.runtime import cut, table
 from sorrel.sources import extract as X
+from sorrel.sources import markdown as M
 
 PLACE = ["file_key", "start_line", "start_column", "end_line", "end_column"]
 
@@ -144,8 +145,32 @@ def scalar_values(spark, d):
     return by.select("repo_name", "sites", "keys", C.ratio(F.col("targets"), F.col("sites")).alias("targeted"), C.ratio(F.col("keys"), F.col("targets")).alias("shaped"))
 
 
+def source_against_graph(spark, d):
+    """Symbols by kind: those the sources hold, and those the graph holds now."""
+    source = extracted_symbols(spark, d).groupBy("kind").agg(F.count("*").alias("source"))
+    graph = G.from_tables(spark, d).symbols.where("kind <> 'module_init' and file_key like '%.py'").groupBy("kind").agg(F.count("*").alias("graph"))
+    return source.join(graph, "kind", "full")
+
+
+def _notes(spark, d):
+    doc = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, d, "documents").where("text is not null").select(F.coalesce("source", F.lit("")).alias("repo_name"), F.lit("").alias("commit_sha"), doc.alias("path"), F.col("text").alias("content"))
+
+
+def note_headings(spark, d):
+    """The headings of the documents read as Markdown notes, with the headings above them."""
+    return M.chunk_notes(_notes(spark, d)).where(F.col("text").rlike(r"^#{1,6}\s+.")).select("path", "start_line", "heading_path")
+
+
+def chunk_mentions(spark, d):
+    """Dotted names in the stored chunks, in order of first use."""
+    chunks = table(spark, d, "doc_chunks").where("text is not null").select("chunk_key", "text").distinct()
+    found = F.pandas_udf(lambda texts: texts.map(M.mentions), "array<string>")
+    return chunks.select("chunk_key", F.md5("text").alias("text_md5"), F.array_join(found("text"), ";").alias("mentions"))
+
+
 QUERIES = {f.__name__: f for f in (
-    extracted_symbols, extracted_methods, extracted_docstrings, extracted_bases, extracted_calls, resolved_sites, resolved_owners, projected_calls, resolved_bases, mro_members, imported_names, built_keys, path_modules, scalar_values,
+    extracted_symbols, extracted_methods, extracted_docstrings, extracted_bases, extracted_calls, resolved_sites, resolved_owners, projected_calls, resolved_bases, mro_members, imported_names, built_keys, path_modules, scalar_values, source_against_graph, note_headings, chunk_mentions,
 )}
 
 _PLACE = ", ".join(PLACE)
@@ -159,6 +184,9 @@ _TYPES = """cur AS (SELECT symbol_key, r.* FROM (SELECT symbol_key, arg_max(stru
 ), inh AS (SELECT inherit_key, r.*, split_part(r.file_key, ':', 1) AS snap FROM (SELECT inherit_key, arg_max(struct_pack(file_key := file_key, type_qname := type_qname, base_name := base_name, base_qname := base_qname), arrived_at) AS r FROM inheritance GROUP BY 1))"""
 _FILES = "f AS (SELECT file_key, r.* FROM (SELECT file_key, arg_max(struct_pack(repo_name := repo_name, commit_sha := commit_sha, path := path, content := content), arrived_at) AS r FROM files GROUP BY 1))"
 
+# line ends as Python sees them
+_NOTES = r"""lines AS (SELECT path, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM (SELECT doc_id || '.md' AS path, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents WHERE text IS NOT NULL))"""
+
 ORACLES = {
     "extracted_symbols": "SELECT DISTINCT symbol_key, file_key, kind, name, qname, signature, start_line, cyclomatic FROM symbols WHERE kind <> 'module_init' AND file_key LIKE '%.py'",
     "extracted_methods": "SELECT DISTINCT symbol_key, left(qname, length(qname) - length(name) - 1) AS parent_qname FROM symbols WHERE kind = 'method' AND file_key LIKE '%.py'",
@@ -181,6 +209,14 @@ ORACLES = {
   SELECT DISTINCT file_key, coalesce(module, regexp_extract(part, '^[\w.]+')) AS module, regexp_extract(part, '^[\w.*]+') AS name, nullif(regexp_extract(part, '\sas\s+(\w+)$', 1), '') AS alias FROM i""",
     "built_keys": f"WITH {_FILES} SELECT file_key AS built, file_key || ':module-init' AS module_init FROM f",
     "path_modules": rf"WITH {_FILES} SELECT DISTINCT path, repo_name, CASE WHEN path = '__init__.py' THEN repo_name ELSE replace(regexp_replace(regexp_replace(path, '\.py$', ''), '/__init__$', ''), '/', '.') END AS module FROM f WHERE path LIKE '%.py' AND content IS NOT NULL",
+    "source_against_graph": f"""WITH {_TYPES} SELECT kind, a.source, b.graph FROM (SELECT kind, count(DISTINCT symbol_key) AS source FROM symbols WHERE kind <> 'module_init' AND file_key LIKE '%.py' GROUP BY 1) a
+  FULL JOIN (SELECT kind, count(*) AS graph FROM cur WHERE kind <> 'module_init' AND file_key LIKE '%.py' GROUP BY 1) b USING (kind)""",
+    # a heading stands above another one when no heading of its level or a higher one comes between
+    "note_headings": rf"""WITH {_NOTES}, h AS (SELECT path, n, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_extract(line, '^#{{1,6}}\s+(.+?)\s*#*$', 1)) AS title FROM lines WHERE regexp_matches(line, '^#{{1,6}}\s+.+?\s*#*$')
+  ), up AS (SELECT i.path, i.n, j.n AS m, j.title FROM h i JOIN h j ON j.path = i.path AND (j.n = i.n OR j.n < i.n AND j.level < i.level AND NOT EXISTS (SELECT 1 FROM h k WHERE k.path = i.path AND k.n > j.n AND k.n < i.n AND k.level <= j.level)))
+  SELECT path, CAST(n AS INTEGER) AS start_line, string_agg(title, ' > ' ORDER BY m) AS heading_path FROM up GROUP BY 1, 2""",
+    "chunk_mentions": r"""SELECT DISTINCT chunk_key, md5(text) AS text_md5, array_to_string(list_filter(list_distinct_ordered, lambda x: length(x) <= 120), ';') AS mentions FROM (SELECT chunk_key, text,
+    list_transform(list_filter(list_zip(m, range(len(m))), lambda z: list_position(m, z[1]) = z[2] + 1), lambda z: z[1]) AS list_distinct_ordered FROM (SELECT DISTINCT chunk_key, text, regexp_extract_all(text, '\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b') AS m FROM doc_chunks WHERE text IS NOT NULL))""",
     "scalar_values": """SELECT repo_name, count(*) AS sites, CAST(count(*) FILTER (WHERE target_key LIKE '%@%' AND target_key LIKE '%:%') AS BIGINT) AS keys, round(count(target_key) / count(*), 6) AS targeted,
   CASE WHEN count(target_key) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE target_key LIKE '%@%' AND target_key LIKE '%:%') / count(target_key), 6) END AS shaped FROM call_sites GROUP BY 1""",
 }
