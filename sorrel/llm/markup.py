@@ -99,6 +99,8 @@ def _entity(m: re.Match) -> bool:
 
 def segments(text: str) -> list[tuple[bool, str]]:
     """(fenced, text) parts in order; an unclosed fence runs to the end."""
+    if "```" not in text and "~~~" not in text:
+        return [(False, text)]
     parts: list[tuple[bool, list[str]]] = [(False, [])]
     mark = ""
     for line in text.split("\n"):
@@ -296,18 +298,23 @@ def _tables(lines: list[str]) -> list[str]:
     return out
 
 
+LINE_HEAD = re.compile(r"[ ]{0,3}#{1,6}[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$|={2,6}[ \t]*(.*?)[ \t]*={2,6}[ \t]*$")
+LINE_RULE = re.compile(r"[ ]{0,3}(?:={3,}|(?:-[ ]?){3,}|(?:\*[ ]?){3,}|(?:_[ ]?){3,})[ \t]*")
+LINE_QUOTE = re.compile(r"^[ ]{0,3}(?:>[ ]?)+")
+LINE_ITEM = re.compile(r"^([ \t]*)[*+-][ \t]+(\[[ xX]\][ \t]+)?")
+
+
 def _blocks(part: str) -> str:
-    lines = _tables(part.split("\n"))
     out: list[str] = []
-    for line in lines:
-        m = re.match(r"[ ]{0,3}#{1,6}[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$", line) or re.match(r"={2,6}[ \t]*(.*?)[ \t]*={2,6}[ \t]*$", line)
-        if m:
-            line = m.group(1)
-        elif re.fullmatch(r"[ ]{0,3}(?:={3,}|(?:-[ ]?){3,}|(?:\*[ ]?){3,}|(?:_[ ]?){3,})[ \t]*", line):
-            continue
-        else:
-            line = re.sub(r"^[ ]{0,3}(?:>[ ]?)+", "", line)
-            line = re.sub(r"^([ \t]*)[*+-][ \t]+(\[[ xX]\][ \t]+)?", r"\1- ", line)
+    for line in _tables(part.split("\n")):
+        if line.lstrip()[:1] in ("#", "=", "-", "*", "_", ">", "+"):
+            m = LINE_HEAD.match(line)
+            if m:
+                line = m.group(1) if m.group(1) is not None else m.group(2)
+            elif LINE_RULE.fullmatch(line):
+                continue
+            else:
+                line = LINE_ITEM.sub(r"\1- ", LINE_QUOTE.sub("", line))
         out.append(line)
     return "\n".join(out)
 
@@ -347,7 +354,8 @@ class Page:
         return pattern.sub(lambda m: self.met(kind, show(m)), s)
 
     def part(self, s: str) -> str:
-        s = self.sub(CODE, "markdown", lambda m: self.keep(m.group(2)), s)
+        if "`" in s:
+            s = self.sub(CODE, "markdown", lambda m: self.keep(m.group(2)), s)
         if "<" in s:
             s = self.sub(MD_AUTO, "markdown", lambda m: self.keep(m.group(1)), s)
         out = []
@@ -389,21 +397,29 @@ class Page:
             if TEX_ENV.search(s) or TEX_CALL.search(s) or any(m.group(1) in TEX_WORDS for m in TEX_BARE.finditer(s)):
                 self.kinds.add("latex")
                 s = _tex_text(s, self.keep)
-        s = self.sub(WIKI_CALL, "wiki", lambda m: m.group(0).strip("{} ").rpartition("|")[2], s)
-        s = self.sub(WIKI_LINK, "wiki", lambda m: m.group(2) or m.group(1).partition("Category:")[2] or m.group(1), s)
-        s = self.sub(WIKI_URL, "wiki", lambda m: m.group(1) or "", s)
-        s = self.sub(WIKI_QUOTE, "wiki", lambda m: m.group(2), s)
+        if "{{" in s:
+            s = self.sub(WIKI_CALL, "wiki", lambda m: m.group(0).strip("{} ").rpartition("|")[2], s)
+        links = "[" in s
+        if links:
+            s = self.sub(WIKI_LINK, "wiki", lambda m: m.group(2) or m.group(1).partition("Category:")[2] or m.group(1), s)
+            s = self.sub(WIKI_URL, "wiki", lambda m: m.group(1) or "", s)
+        if "''" in s:
+            s = self.sub(WIKI_QUOTE, "wiki", lambda m: m.group(2), s)
         if WIKI_BLOCK.search(s):
             self.kinds.add("wiki")
-        rest = WIKI_BLOCK.sub(" ", s)
+            rest = WIKI_BLOCK.sub(" ", s)
+        else:
+            rest = s
         if MD_BLOCK.search(rest) or MD_SETEXT.search(rest):
             self.kinds.add("markdown")
         s = _blocks(s)
-        s = self.sub(MD_LINK, "markdown", lambda m: m.group(1), s)
-        s = self.sub(MD_REF, "markdown", lambda m: m.group(1) or "", s)
-        s = self.sub(MD_BOLD, "markdown", lambda m: m.group(1) or m.group(2), s)
-        s = self.sub(MD_EM, "markdown", lambda m: m.group(1) or m.group(2), s)
-        return self.sub(MD_STRIKE, "markdown", lambda m: m.group(1), s)
+        if links:
+            s = self.sub(MD_LINK, "markdown", lambda m: m.group(1), s)
+            s = self.sub(MD_REF, "markdown", lambda m: m.group(1) or "", s)
+        if "*" in s or "_" in s:
+            s = self.sub(MD_BOLD, "markdown", lambda m: m.group(1) or m.group(2), s)
+            s = self.sub(MD_EM, "markdown", lambda m: m.group(1) or m.group(2), s)
+        return self.sub(MD_STRIKE, "markdown", lambda m: m.group(1), s) if "~~" in s else s
 
 
 def kinds(text: str | None) -> set[str]:
