@@ -156,16 +156,29 @@ class ItemIndex:
                 best, used = both, [a, b]
         return best / n, used
 
-    def scan(self, text: str | None) -> list[tuple[int, float, list]]:
-        """Items of which the text holds something: item, share, passages as word spans."""
+    def ids(self, text: str | None) -> np.ndarray:
+        """The text's words as numbers; 0 for words of no item."""
         if not text:
-            return []
+            return np.zeros(0, np.int64)
         strip, words = _tools()
         get = self.vocab.get
         t = text.lower()
         if "<" in t or "&" in t or "](" in t:
             t = strip(" ", t)
-        ids = np.array([get(w, 0) for w in words(t)], np.int64)
+        return np.array([get(w, 0) for w in words(t)], np.int64)
+
+    def known_windows(self, text: str | None) -> tuple[int, int]:
+        """How many word trigrams the text has, and how many of them stand in an item."""
+        ids = self.ids(text)
+        if len(ids) < GRAM or not len(self.known):
+            return max(0, len(ids) - GRAM + 1), 0
+        return len(ids) - GRAM + 1, int(np.isin(self.codes(ids), self.known).sum())
+
+    def scan(self, text: str | None) -> list[tuple[int, float, list]]:
+        """Items of which the text holds something: item, share, passages as word spans."""
+        if not text:
+            return []
+        ids = self.ids(text)
         out = []
         for item, hits in self.hits(ids).items():
             if (len({j for _, j in hits}) + 2) < 0.15 * len(self.items[item]):
@@ -202,6 +215,21 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     return spread(documents.select("doc_id", "text").where("text is not null")).mapInArrow(run, "doc_id long, item_id long, share double, spans array<int>")
 
 
+def windows(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, windows, hits: the word trigrams of each document, and those that some item has."""
+    shared = documents.sparkSession.sparkContext.broadcast(build_index(items))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index = shared.value
+        for batch in batches:
+            rows = [index.known_windows(t.as_py()) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "windows", "hits"])
+
+    return spread(documents.select("doc_id", "text").where("text is not null")).mapInArrow(run, "doc_id long, windows long, hits long")
+
+
 def without_leaks(documents: DataFrame, leaked: DataFrame) -> DataFrame:
     """The documents that leak no item."""
     return documents.join(leaked.select("doc_id"), "doc_id", "left_anti")

@@ -244,6 +244,15 @@ def _repository_seed(seen: DataFrame) -> int:
     return seed
 
 
+def shared_hashes(seen: DataFrame) -> DataFrame:
+    """file_key, size, shared: the hashes of each distinct row, and those that another repository has, too."""
+    rows = cut(seen.select("file_key", F.coalesce("repo_name", F.lit("")).alias("repo"), "hashes").distinct().withColumn("file", F.monotonically_increasing_id()))
+    post = rows.select("file", "repo", F.explode("hashes").alias("h"))
+    both = post.groupBy("h").agg((F.min("repo") < F.max("repo")).alias("several")).where("several").select("h")
+    n = post.join(both, "h").groupBy("file").agg(F.count("*").alias("shared"))
+    return rows.join(n, "file", "left").select("file_key", F.size("hashes").alias("size"), F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
 def copies(seen: DataFrame) -> DataFrame:
     """file_key, partner, contained: files held by a file of another repository. ``seen``: file_key, repo_name, library, hashes.
 

@@ -27,6 +27,11 @@ def p3_reasons(spark, d):
     return foreign.foreign_files(table(spark, d, "files"))
 
 
+def p3_shared(spark, d):
+    """The index of line hashes: of each file, its hashes and those of other repositories."""
+    return foreign.shared_hashes(foreign.examined(table(spark, d, "files"))).where("size > 0").distinct()
+
+
 def p3_handwritten(spark, d):
     """Keys of the files that remain."""
     files = table(spark, d, "files")
@@ -89,6 +94,11 @@ def p9_found(spark, d):
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_windows(spark, d):
+    """The scan of all word trigrams against the set of the items' trigrams."""
+    return contamination.windows(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_report(spark, d):
     """Per item: leaking documents, the largest share."""
     found = contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -105,8 +115,19 @@ def p10_stats(spark, d):
     return quality.quality(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p10_counts(spark, d):
+    """Words and their mean length."""
+    return quality.document_stats(table(spark, d, "documents"), table(spark, d, "common_words")).where("n_words is not null").select("doc_id", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"))
+
+
+def p10_ranks(spark, d):
+    """The rank operator on stored columns: tails of n_chars per stored language."""
+    values = table(spark, d, "documents").where("lang is not null and n_chars is not null").select("lang", F.lit("n_chars").alias("stat"), F.col("n_chars").cast("double").alias("value"))
+    return quality.tail_probabilities(values, 8).select("lang", "value", "n", "all", F.round("tail", 9).alias("tail"))
+
+
 def p10_found(spark, d):
     return p10_stats(spark, d).where("form in ('list', 'table', 'junk')").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_reasons, p3_handwritten, p4_pieces, p4_pieces_of_long, p4_rebuilt, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_report, p9_clean, p10_stats, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_reasons, p3_shared, p3_handwritten, p4_pieces, p4_pieces_of_long, p4_rebuilt, p4_found, p5_found, p5_pairs, p7_found, p7_clean, p8_ids, p9_found, p9_windows, p9_report, p9_clean, p10_stats, p10_counts, p10_ranks, p10_found)}
