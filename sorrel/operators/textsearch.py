@@ -9,7 +9,7 @@ from sorrel.functions.scalars import clamp_rows, fulltext_query
 from sorrel.plans.runtime import cut
 
 K1, B = 1.2, 0.75
-SALTS = 8
+SALTS, HOT = 8, 50
 WORD = r"[\p{L}\p{M}\p{N}]+"  # letters with their marks, digits
 
 
@@ -55,13 +55,16 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "key", text: str = "tex
     words = t.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     hit = cut(words.groupBy("term", "key", "dl").agg(F.count("*").alias("tf")))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    # a word's documents are spread over SALTS parts, so that one in every document burdens no single task
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    terms = wanted.join(df, "term").select("query_id", "term", "df", salts)
+    # the documents of a word that stands in one of HOT are spread over SALTS parts, so that no task gets them all; there are
+    # at most HOT times as many such words as a document has on average, and they are broadcast
+    hot = F.broadcast(df.where(F.col("df") * HOT >= size.n).select("term", F.lit(SALTS).alias("parts")))
+    split = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt")
+    terms = wanted.join(df, "term").join(hot, "term", "left").select("query_id", "term", "df", split)
+    hit = hit.join(hot, "term", "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int"))
     n, avgdl = F.lit(size.n), F.lit(float(size.avgdl or 1.0) or 1.0)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = hit.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(terms, ["term", "salt"])
+    scored = hit.join(terms, ["term", "salt"])
     return scored.groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("score"))
 
 
