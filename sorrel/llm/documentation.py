@@ -21,9 +21,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.plans.runtime import cut, spread
+from sorrel.plans.runtime import cut, is_empty, spread
 
 KINDS = ("function", "method")
+SOURCES = r"\.(py|pyi|js|mjs|cjs|jsx|ts)$"
 
 # fixed values: words that carry no description by themselves
 EMPTY_WORDS = set(
@@ -309,7 +310,7 @@ def documented_declarations(files: DataFrame, with_code: bool = False) -> DataFr
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array(modules, pa.string()), pa.array(sigs, pa.string()), pa.array(founds, kind)], names=["file_key", "module_qname", "sig", "found"])
 
     source = files.where("content is not null and path is not null").select("file_key", "path", "content", "module_qname")
-    return spread(source.where(F.col("path").rlike(r"\.(py|pyi|js|mjs|cjs|jsx|ts)$"))).mapInArrow(run, schema)
+    return spread(source.where(F.col("path").rlike(SOURCES))).mapInArrow(run, schema)
 
 
 def signature_key(signature="signature"):
@@ -354,14 +355,19 @@ def _snapshot(key: str = "file_key"):
 def _declared(symbols: DataFrame, files: DataFrame, with_code: bool = False) -> DataFrame:
     """symbol_key, signature, doc, source, code of the declaration that each distinct row of a symbol means."""
     sym = _callables(symbols).where("signature is not null and file_key is not null").groupBy("symbol_key", "file_key", "qname", "signature").agg(F.min("start_line").alias("start_line")).withColumn("sig", signature_key())
-    decl = cut(documented_declarations(files, with_code))
+    # only a module that stands in several files of a snapshot is declared elsewhere
+    code = files.where(F.col("path").rlike(SOURCES) & F.col("module_qname").isNotNull())
+    several = cut(code.groupBy(_snapshot().alias("snap"), "module_qname").agg((F.min("file_key") != F.max("file_key")).alias("several")).where("several").select("snap", "module_qname"))
+    elsewhere = not is_empty(several)
+    decl = documented_declarations(files, with_code)
+    decl = cut(decl) if elsewhere else decl
     rank = lambda x: F.struct(
         F.when(F.concat_ws(".", "module_qname", x["full"]) == F.coalesce("qname", F.lit("")), 0).otherwise(1).alias("q"), F.abs(x["line"] - F.coalesce("start_line", F.lit(0))).alias("d"), (-F.coalesce(F.length(x["doc"]), F.lit(0))).alias("n"),
         x["doc"].alias("doc"), x["source"].alias("source"), x["code"].alias("code"))
     near = sym.join(decl, ["file_key", "sig"]).withColumn("near", F.array_min(F.transform("found", rank)))
     own = near.select("symbol_key", "signature", "near.doc", "near.source", "near.code")
-    # only a module that stands in several files of a snapshot is declared elsewhere
-    several = files.where("module_qname is not null").groupBy(_snapshot().alias("snap"), "module_qname").agg((F.min("file_key") != F.max("file_key")).alias("several")).where("several").select("snap", "module_qname")
+    if not elsewhere:
+        return own
     other = decl.withColumn("snap", _snapshot()).join(several, ["snap", "module_qname"], "left_semi").select("snap", F.col("file_key").alias("other"), "sig", "module_qname", F.explode("found").alias("x"))
     other = other.where("x.doc is not null").select("snap", "other", "sig", F.concat_ws(".", "module_qname", "x.full").alias("qname"), "x.doc", "x.source", F.lit(None).cast("string").alias("code"))
     far = sym.withColumn("snap", _snapshot()).join(other, ["snap", "qname", "sig"]).where("file_key <> other").select("symbol_key", "signature", "doc", "source", "code")
