@@ -75,15 +75,21 @@ class ItemIndex:
         known = (ids[:-1] > 0) & (ids[1:] > 0) & (self.pairs[at] == pair if len(self.pairs) else False)
         return np.where(known[:-1] & known[1:], at[:-1] * self.n + ids[2:], -1)
 
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """item -> (text position, item position) of each shared trigram."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def looked_up(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each trigram of a text: its place among the items' trigrams, and whether it is one of them."""
         if len(ids) < GRAM or not len(self.known):
-            return found
+            n = max(0, len(ids) - GRAM + 1)
+            return np.zeros(n, np.int64), np.zeros(n, bool)
         c = self.codes(ids)
         at = np.searchsorted(self.known, c)
         at[at == len(self.known)] = 0
-        for i in np.flatnonzero(self.known[at] == c).tolist():
+        return at, self.known[at] == c
+
+    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """item -> (text position, item position) of each shared trigram."""
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        at, same = self.looked_up(ids)
+        for i in np.flatnonzero(same).tolist():
             here = slice(self.bounds[at[i]], self.bounds[at[i] + 1])
             for item, j in zip(self.item_at[here].tolist(), self.place_at[here].tolist()):
                 found[item].append((i, j))
@@ -169,10 +175,8 @@ class ItemIndex:
 
     def known_windows(self, text: str | None) -> tuple[int, int]:
         """How many word trigrams the text has, and how many of them stand in an item."""
-        ids = self.ids(text)
-        if len(ids) < GRAM or not len(self.known):
-            return max(0, len(ids) - GRAM + 1), 0
-        return len(ids) - GRAM + 1, int(np.isin(self.codes(ids), self.known).sum())
+        _, same = self.looked_up(self.ids(text))
+        return len(same), int(same.sum())
 
     def scan(self, text: str | None) -> list[tuple[int, float, list]]:
         """Items of which the text holds something: item, share, passages as word spans."""
