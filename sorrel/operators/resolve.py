@@ -101,7 +101,8 @@ def linearize(start: str, parents: dict[str, list[str]], broken: set[str]) -> li
         t = ready.pop()
         above = parents.get(t, [])
         known = [settled[p] for p in above]
-        merged = None if t in broken or None in known else c3_merge([*known, above])
+        # the order of a single base goes on as it is
+        merged = None if t in broken or None in known else known[0] if len(known) == 1 else c3_merge([*known, above])
         settled[t] = None if merged is None else [t, *merged]
         for c in children.get(t, []):
             waits[c] -= 1

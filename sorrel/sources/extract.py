@@ -7,6 +7,7 @@ as arguments; files are independent, so the step is one ``mapInPandas`` without
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +24,7 @@ FILE_SCHEMA = (
     "diagnostics array<struct<category:string,severity:string,line_no:int,column_no:int,message:string>>, imports array<struct<module:string,name:string,alias:string>>, "
     f"symbols array<{SYMBOL}>, inheritance array<struct<type_qname:string,base_name:string,base_qname:string>>, calls array<{CALL}>"
 )
+LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z")
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.BoolOp, ast.Try, ast.Match)
 NESTED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
 
@@ -75,6 +77,19 @@ class Facts:
     calls: list[dict] = field(default_factory=list)
     bound: set[str] = field(default_factory=set)  # names imported so far
 
+    def __post_init__(self) -> None:
+        # cut once for all segments; columns count bytes
+        self.lines = [x.encode("utf-8", "surrogatepass") for x in LINE.findall(self.source)]
+
+    def segment(self, node: ast.expr) -> str:
+        """The text of an expression."""
+        first, last = node.lineno - 1, node.end_lineno - 1
+        if first == last:
+            part = self.lines[first][node.col_offset : node.end_col_offset]
+        else:
+            part = b"".join([self.lines[first][node.col_offset :], *self.lines[first + 1 : last], self.lines[last][: node.end_col_offset]])
+        return part.decode("utf-8", "surrogatepass")
+
     def read(self, tree: ast.Module) -> "Facts":
         # a stack of its own: expressions may be nested deeper than Python's frames. A definition around is (is function, qualified name)
         todo = [(node, (), f"{self.module}.__module__") for node in reversed(tree.body)]
@@ -162,7 +177,7 @@ class Facts:
                 hint, kind = ".".join(chain), "name" if len(chain) == 2 and chain[0] in self.bound else "attribute"
             elif isinstance(f.value, ast.Call) and isinstance(f.value.func, ast.Name) and f.value.func.id == "super":
                 kind = "super"
-        raw = ast.get_source_segment(self.source, f)
+        raw = self.segment(f)
         self.calls.append({
             "owner_qname": owner, "raw_callee": raw or ast.unparse(f), "callee_name": name, "callee_qname_hint": hint, "receiver_kind": kind,
             "start_line": node.lineno, "start_column": node.col_offset, "end_line": node.end_lineno, "end_column": node.end_col_offset, "ordinal": 0,
