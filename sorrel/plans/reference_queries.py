@@ -104,8 +104,7 @@ def search_lexical_bm25(spark, d):
 def lexical_items(spark, d):
     """Every evaluation item as a query: its number of matching symbol documents and the best score."""
     docs = G.from_tables(spark, d).docs
-    hit = S.bm25(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    return hit.groupBy("query_id").agg(F.count("*").alias("documents"), F.max("score").alias("best"))
+    return S.bm25_best(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 def index_terms(spark, d):

@@ -81,3 +81,43 @@ def test_path_search_stops_when_all_pairs_are_found(spark):
     edges = spark.createDataFrame([(str(k), f"n{k}", f"n{k + 1}") for k in range(9)] + [("x", "n0", "m"), ("y", "m", "n2")], "edge_key string, src string, dst string")
     pairs = spark.createDataFrame([("n0", "n2"), ("n3", "n5"), ("n5", "n3")], "start string, node string")
     assert {(r.start, r.node): r.path for r in T.shortest_paths(edges, pairs, 8).collect()} == {("n0", "n2"): ["n0", "m", "n2"], ("n3", "n5"): ["n3", "n4", "n5"]}
+
+
+def test_pairs_of_query_and_document_are_not_shuffled(spark, monkeypatch):
+    import duckdb
+
+    from sorrel.plans import reference_queries as Q
+
+    # keys that stand twice with one length and with two, a null key, documents without words or text, an item in two rows
+    docs = [(f"k{k}", f"the w{k % 7} the of w{k % 3} {'x ' * (k % 5)}") for k in range(300)]
+    docs += [("k1", docs[1][1]), ("k2", "the the of w1 and more"), (None, "The w2"), (None, "w2 again"), ("none", None), ("empty", ""), ("other", "nothing known")]
+    items = [(k, f"w{k % 11} the of THE") for k in range(60)] + [(0, "the of w3"), (None, "of w2"), (99, "?!"), (100, None)]
+    symbol_docs, eval_items = spark.createDataFrame(docs, "key string, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(Q.G, "from_tables", lambda *_: type("Tables", (), {"docs": symbol_docs}))
+    monkeypatch.setattr(Q, "table", lambda *_: eval_items)
+    sc = spark.sparkContext
+
+    def shuffled() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = shuffled()
+    got = {tuple(r) for r in Q.lexical_items(spark, "").collect()}
+    moved = shuffled() - before
+
+    def sql(name: str) -> set:
+        with duckdb.connect() as c:
+            c.execute("CREATE TABLE symbol_docs (symbol_key VARCHAR, text VARCHAR)").executemany("INSERT INTO symbol_docs VALUES (?, ?)", docs)
+            c.execute("CREATE TABLE eval_items (item_id BIGINT, text VARCHAR)").executemany("INSERT INTO eval_items VALUES (?, ?)", items)
+            return set(c.execute(Q.ORACLES[name]).fetchall())
+
+    assert got == sql("lexical_items") and len(got) == 61
+    # 18,000 pairs; documents, words of the queries and one row of each query and task are fewer
+    assert moved < 3000
+    # the same scores when blocks hold few documents, and none over no documents
+    monkeypatch.setattr(S, "CELLS", 200)
+    queries = eval_items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    pairs = S.bm25(symbol_docs, queries).groupBy("query_id").agg(F.count("*"), F.max("score"))
+    assert {tuple(r) for r in pairs.collect()} == got
+    assert S.bm25(symbol_docs.limit(0), queries).count() == 0 and S.bm25(symbol_docs, queries.limit(0)).count() == 0
